@@ -1,0 +1,13 @@
+"""Queries over the shared tables, by name, and the SQL each must agree with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+FLAGSHIP = "match_metrics"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+SQL: dict[str, str] = {}
