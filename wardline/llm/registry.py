@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import packing as _packing
 from . import quality_rules as _rules
+from . import trie_bpe as _trie_bpe
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file, the same on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = _packing.pack(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), keep_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _rules.quality_rules(_documents(spark, sf_dir))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -23,8 +37,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = _trie_bpe.bpe_encode_decode(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op10_trie_bpe": op10_trie_bpe,
 }
 
 SQL: dict[str, str] = {}
