@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_dedup as _near
 from . import packing as _packing
 from . import quality_rules as _rules
 from . import trie_bpe as _trie_bpe
@@ -37,6 +38,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near.near_duplicates(_documents(spark, sf_dir))
+
+
 def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = _trie_bpe.bpe_encode_decode(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
     return coded.select(
@@ -48,6 +53,7 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_trie_bpe": op10_trie_bpe,
 }
 
