@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import near_dedup as _near
 from . import packing as _packing
 from . import quality_rules as _rules
+from . import substring_dedup as _substrings
 from . import trie_bpe as _trie_bpe
 
 
@@ -38,6 +39,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = _substrings.remove_repeats(_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_duplicates(_documents(spark, sf_dir))
 
@@ -53,6 +59,7 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_trie_bpe": op10_trie_bpe,
 }
