@@ -1,27 +1,19 @@
-"""Shared pieces of the operators that tokenize: rows in Arrow batches, bounded caches, chunks of text."""
+"""Shared pieces of the operators that tokenize: rows in Arrow batches, bounded caches, byte-level ids."""
 
 from __future__ import annotations
 
-import re
+import json
 from array import array
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
 #: Entries a cache of chunks may hold before it starts anew; a worker process keeps it between tasks.
 CACHE_ENTRIES = 300_000
-#: Chunks joined for one call of the library.
-JOINED = 500
 #: Rows that are worked on at once inside an Arrow batch.
 ROWS = 256
 
-_clean = re.compile(r"\s\s|^\s|\s$")
-_breaks = re.compile(r"\s\s|^$|[^\S ]|\s$|[\x1c-\x1f]|<\|")
-_single = re.compile(r"(?<=\S) (?=\S)")
-
-
 def slices(batch: pa.RecordBatch, rows: int = ROWS, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most ``rows`` rows, cut earlier where texts are long."""
     start = 0
@@ -62,55 +54,56 @@ class ChunkCache:
         return young
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable Latin-1 bytes themselves, the rest in order from U+0100."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in kept else chr(next(others)) for b in range(256)]
+
+
 class ByteTokenizer:
-    """Ids of a byte-level tokenizers file, as little-endian uint32 bytes, by way of a cache of chunks.
+    """Ids of a byte-level tokenizers file, as little-endian uint32 bytes.
 
-    Tokens of such a vocabulary hold a space only as their first character. So where a text has a
-    single space or line break between two other characters, what stands on either side of it is
-    tokenized alone: a chunk after a space goes with its space, a line break is a token of its own.
-    Each distinct chunk goes to the library once; texts with other runs of white space are cut at
-    single spaces only.
+    Where a file's ids rise in the order of its merges (checked here), tiktoken's merge loop over the
+    same vocabulary gives the same ids several times faster. Texts that hold an added token's string,
+    which the library cuts out first, and files of another kind go to the library.
     """
 
+    #: How the library's byte-level step cuts a text into words.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.newline = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids)
-        self.head = ChunkCache(lambda chunks: self._ids(chunks))
-        self.body = ChunkCache(lambda chunks: self._ids([f" {c}" for c in chunks]))
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        """Chunks without line breaks are joined by them, so that one call takes many; the ids of the breaks then part them again."""
-        out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if len(self.newline) == 1 and not _breaks.search(t)]
-        for at in range(0, len(plain), JOINED):
-            own = plain[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode("\n".join([texts[i] for i in own]), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids)) * 4
-            if len(ends) != len(own):
-                raise ValueError("the vocabulary joins line breaks with other characters")
-            raw, start = ids.tobytes(), 0
-            for i, end in zip(own, ends.tolist(), strict=True):
-                out[i] = raw[start:end]
-                start = end + 4
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = array("I", e.ids).tobytes()
-        return out
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [t["content"] for t in spec.get("added_tokens") or ()]
+        self.fast = self._merge_loop(spec)
+
+    def _merge_loop(self, spec: dict):
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+        if not plain or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None
+        vocab = model["vocab"]
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if made != sorted(set(made)) or len(vocab) != len(made) + 256:
+            return None
+        import tiktoken
+
+        byte = {c: b for b, c in enumerate(byte_letters())}
+        ranks = {bytes([byte[c] for c in t]): i for t, i in vocab.items()}
+        return tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        head, body = set(), set()
-        cut = []
+        out = []
         for t in texts:
-            lines = [_single.split(t)] if _clean.search(t) else [line.split(" ") for line in t.split("\n")]
-            cut.append(lines)
-            for parts in lines:
-                head.add(parts[0])
-                body.update(parts[1:])
-        head, body = self.head.take(head), self.body.take(body)
-        newline = self.newline.tobytes()
-        return [newline.join([head[parts[0]] + b"".join([body[c] for c in parts[1:]]) for parts in lines]) for lines in cut]
+            if self.fast and not any(a in t for a in self.added):
+                out.append(array("I", self.fast(t)).tobytes())
+            else:
+                out.append(array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes())
+        return out
 
 
 _tokenizers: dict[str, ByteTokenizer] = {}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .tokenizing import CACHE_ENTRIES, ChunkCache, slices
+from .tokenizing import CACHE_ENTRIES, ChunkCache, byte_letters, slices
 
 END = "</w>"
 #: Chunks of printable ASCII and the letters up to U+017F, in composed form, are cut by this pattern; all others by the library.
@@ -26,13 +26,6 @@ _plain = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u
 _words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[0-9]|[^\sa-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte: printable Latin-1 bytes themselves, the rest in order from U+0100."""
-    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return [chr(b) if b in kept else chr(next(others)) for b in range(256)]
-
-
 class TrieBpe:
     """Encodes words of one vocabulary file. ``words`` maps a word (in byte letters) to (ids as bytes, tokens joined by spaces)."""
 
