@@ -44,14 +44,6 @@ def test_equals_brute_force(spark, monkeypatch, seed, length, gram, block):
         assert got[i] == expected[i], i
 
 
-def test_shuffled_side(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)
-    texts = corpus(9)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in substring_dedup.remove_repeats(df, 64, 16).collect()}
-    assert [got[i] for i in range(len(texts))] == brute(texts, 64)
-
-
 def test_repeated_rows_null_ids_and_empty_table(spark):
     t = "".join(random.Random(4).choices("abcdefgh", k=600))
     rows = [(1, t), (1, t), (None, t[:450]), (2, t[:100]), (2, "x" * 399)]

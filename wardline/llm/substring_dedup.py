@@ -33,8 +33,8 @@ LENGTH = 400
 GRAM = 64
 #: Anchors of one gram that meet in one block, from each side.
 BLOCK = 4000
-#: Rows (of one document each) that are broadcast to the documents at most; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Parts that the anchors covering the same are compared in first.
+SALTS = 32
 
 
 def strings_of_anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,13 +106,6 @@ def repeated(contexts: list[tuple[int, int, bytes]], length: int) -> list[list[t
     return out
 
 
-def _per_document(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
-    """Documents joined with rows of ``side`` (one per ``rid``), which are broadcast if few."""
-    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    return docs.join(side, "rid", how)
-
-
 def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """``rid``, ``start`` and ``end`` of spans of repeated strings in ``docs`` (rid, text); spans of a document may overlap."""
 
@@ -130,15 +123,20 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["rid", "a", "h", "far", "near", "u"])
 
     found = docs.select("rid", "text").mapInArrow(find, "rid long, a int, h long, far short, near short, u long")
-    w = Window.partitionBy("h", "u").orderBy("rid", "a")
-    # lag and lead hold one row: a string that a third of all documents have streams through.
-    first, last = F.lag("a").over(w).isNull(), F.lead("a").over(w).isNull()
-    found = found.select("*", first.alias("first"), last.alias("last")).where("not (first and last) or first")
+    # Who covers the same as another: first within salts, so that no kind is one task's work, then one row a salt.
+    # lag and lead hold one row at a time.
+    salted = Window.partitionBy("h", "u", F.pmod("rid", F.lit(SALTS))).orderBy("rid", "a")
+    found = found.select("*", F.lag("a").over(salted).isNull().alias("first"), F.lead("a").over(salted).isNull().alias("last"))
     found = scratch.write(found, "anchors")
-    whole = found.where("not (first and last)").select("rid", (F.col("a") - F.col("far")).alias("start"), (F.col("a") - F.col("near") + length).alias("end"))
-
-    kinds = found.where("first").groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    asked = found.where("first").join(kinds, "h").select("rid", "h", "a", "far", "near", (~F.col("last")).alias("known"), F.ceil(F.col("kinds") / BLOCK).cast("int").alias("parts"))
+    kind = Window.partitionBy("h", "u").orderBy("rid", "a")
+    heads = found.where("first").select("*", F.lag("a").over(kind).isNull().alias("only1"), F.lead("a").over(kind).isNull().alias("only2"))
+    heads = heads.select("rid", "a", "h", "far", "near", F.expr("not (last and only1 and only2)").alias("known"), F.col("only1").alias("speaks"))
+    heads = scratch.write(heads.where("known or speaks"), "heads")
+    span = ["rid", (F.col("a") - F.col("far")).alias("start"), (F.col("a") - F.col("near") + length).alias("end")]
+    whole = found.where("not first").select(*span).union(heads.where("known").select(*span))
+
+    kinds = heads.where("speaks").groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    asked = heads.where("speaks").join(kinds, "h").select("rid", "h", "a", "far", "near", "known", F.ceil(F.col("kinds") / BLOCK).cast("int").alias("parts"))
     asked = scratch.write(asked, "kinds")
     of_doc = asked.groupBy("rid").agg(F.collect_list(F.struct("h", "a", "far", "near", "known", "parts")).alias("asked"))
 
@@ -152,7 +150,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.bool_(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=names)
 
-    contexts = _per_document(docs.select("rid", "text"), of_doc, "inner").mapInArrow(cut, "rid long, h long, a int, far short, near short, known boolean, parts int, bytes binary")
+    contexts = docs.select("rid", "text").join(of_doc, "rid").mapInArrow(cut, "rid long, h long, a int, far short, near short, known boolean, parts int, bytes binary")
     contexts = contexts.withColumn("part", F.pmod(F.xxhash64("rid", "a"), F.col("parts")).cast("int"))
     contexts = contexts.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     contexts = contexts.select("h", F.least("part", "other").alias("b1"), F.greatest("part", "other").alias("b2"), "rid", "a", "far", "near", "known", "bytes")
@@ -225,4 +223,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                 spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, spans_type), pa.array(kept, pa.binary())], names=schema.names)
 
-    return _per_document(named, spans, "left").select("_id", "text", "spans").mapInArrow(cut, schema)
+    return named.join(spans, "rid", "left").select("_id", "text", "spans").mapInArrow(cut, schema)
