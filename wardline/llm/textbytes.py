@@ -33,21 +33,33 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+class Words:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of many texts, A-Z taken as a-z, and hashes of any part of them."""
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+        space = _SPACE[data]
+        # A word starts after a space and ends before one.
+        self.starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        self.ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        up, self.down = _power(len(data))
+        self.total = np.empty(len(data) + 1, np.uint64)
+        self.total[0] = 0
+        np.cumsum(_LETTER[data] * up[: len(data)], out=self.total[1:])
+        lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        #: Words of text i are numbers first[i] to first[i + 1] - 1.
+        self.first = np.searchsorted(self.starts, np.concatenate([[1], 1 + np.cumsum(lengths)]))
+
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """Of each word, or of its first ``most`` bytes."""
+        ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
+        return mix((self.total[ends] - self.total[self.starts]) * self.down[self.starts] + (ends - self.starts).astype(np.uint64))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased), and each text's first word: texts' words are ``hashes[first[i]:first[i + 1]]``."""
-    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    space = _SPACE[data]
-    # A word starts after a space and ends before one.
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    up, down = _power(len(data))
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_LETTER[data] * up[: len(data)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    text_starts = np.concatenate([[1], 1 + np.cumsum(lengths)])
-    return hashes, np.searchsorted(starts, text_starts)
+    """Hashes of all words, and each text's first word: text i has ``hashes[first[i]:first[i + 1]]``."""
+    words = Words(texts)
+    return words.hashes(), words.first
 
 
 def shingles(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
