@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hmm as _hmm
 from . import importance as _importance
 from . import near_dedup as _near
 from . import packing as _packing
@@ -32,6 +33,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hmm.score(_documents(spark, sf_dir))
+
+
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _importance.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -68,6 +73,7 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_hidden_markov_scores": op3_hidden_markov_scores,
     "op4_importance_resampling": op4_importance_resampling,
     "op5_toxicity": op5_toxicity,
     "op7_quality_rules": op7_quality_rules,
