@@ -25,12 +25,12 @@ from .tokenizing import slices
 #: Labelled rows that the examples are taken from at most.
 EXAMPLES = 20_000
 #: Terms at most, and the least chi-square of one (p under 1e-7).
-TERMS, CHI_SQUARE = 512, 30.0
+TERMS, CHI_SQUARE = 512, 20.0
 NEIGHBOURS = 15
 BLOCK = 64
 PREFIXES = (4, 5, 6)
 #: Weight of the prior among the votes: neighbours that share one rare word by chance (cosines of 0.1 to 0.2) do not outvote it.
-PRIOR_VOTES = 6.0
+PRIOR_VOTES = 2.0
 
 
 def terms_of(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,7 +174,7 @@ def vectors(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarra
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out_mod: int = 5, examples: int = EXAMPLES, terms: int = TERMS,
-    neighbours: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text",
+    neighbours: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None,
 ) -> DataFrame:
     """Per row: id, ``held_out``, ``score`` (0 to 1), ``predicted`` (score >= 0.5) and ``evidence`` (nearest examples: id, cosine, label).
 
@@ -212,7 +212,7 @@ def toxicity(
     evidence = ArrayType(StructType([StructField(id_col, id_type), StructField("cosine", DoubleType()), StructField("label", IntegerType())]))
     schema = StructType([
         StructField(id_col, id_type), StructField("held_out", BooleanType()), StructField("score", DoubleType()),
-        StructField("predicted", IntegerType()), StructField("evidence", evidence),
+        StructField("predicted", IntegerType()), StructField("evidence", evidence), *([StructField(carry, docs.schema[carry].dataType)] if carry else []),
     ])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +243,7 @@ def toxicity(
                     found.append(known[key][1])
                 arrays = [part.column(0), part.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
                 arrays.append(pa.array(found, pa.list_(pa.struct([(id_col, part.column(0).type), ("cosine", pa.float64()), ("label", pa.int32())]))))
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                yield pa.RecordBatch.from_arrays([*arrays, *part.columns[3:]], names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text"), (remainder(id_col, held_out_mod) == 0).alias("_h")).mapInArrow(score, schema)
+    carried = [F.col(carry)] if carry else []
+    return docs.select(F.col(id_col), F.col(text_col).alias("_text"), (remainder(id_col, held_out_mod) == 0).alias("_h"), *carried).mapInArrow(score, schema)
