@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables written since the last ``release``; only the pipeline, which rereads every stage, releases them.
+#: Tables written and not released; only the pipeline, whose stages are written and reread, releases them.
 _written: list[str] = []
 
 
@@ -31,16 +31,18 @@ def write(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    return len(_written)
+def written() -> list[str]:
+    return list(_written)
 
 
-def release(spark: SparkSession, upto: int | None = None) -> None:
-    """Delete the tables written so far (the first ``upto``); their readers must be done."""
+def release(spark: SparkSession, paths: list[str], needed_by: DataFrame | None = None) -> None:
+    """Delete tables written here, but for those that ``needed_by`` reads."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_written) if upto is None else upto
-    for path in _written[:n]:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-    del _written[:n]
+    read = needed_by.inputFiles() if needed_by is not None else []
+    for path in paths:
+        name = path.rpartition("/")[2]
+        if path in _written and not any(f"/{name}/" in f for f in read):
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+            _written.remove(path)

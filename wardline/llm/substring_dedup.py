@@ -185,21 +185,23 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return whole.union(partial)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """Per row: id, ``n_bytes``, ``n_removed``, ``spans`` (start and end of the maximal removed runs, in UTF-8 bytes) and ``kept`` (the other bytes).
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else too, in the same
     document or another; strings do not cross documents and are judged on the input. So every copy
     goes, and rows repeated under one id are copies of each other. Null texts are empty; texts under
     ``length`` bytes stay as they are. Null ids pass through, other columns are not read, and an empty
-    table gives no rows. ``gram`` must be a power of two, under ``length``.
+    table gives no rows. ``carry`` names a column of ``docs`` that comes through unchanged. ``gram`` must be a power of two, under ``length``.
     """
     schema = StructType([
         StructField(id_col, docs.schema[id_col].dataType), StructField("n_bytes", LongType()), StructField("n_removed", LongType()),
         StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))), StructField("kept", BinaryType()),
+        *([StructField(carry, docs.schema[carry].dataType)] if carry else []),
     ])
+    carried = [F.col(carry)] if carry else []
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.select(F.col(id_col).alias("_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rid"))
+    named = docs.select(F.col(id_col).alias("_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rid"), *carried)
     spans = repeated_spans(named, length, gram).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = scratch.write(spans, "spans")
 
@@ -221,6 +223,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                     runs.append([{"start": s, "end": e} for s, e in own])
                     kept.append(b"".join([t[a:b] for a, b in zip(ends, starts, strict=True)]))
                 spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, spans_type), pa.array(kept, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, spans_type), pa.array(kept, pa.binary()), *part.columns[3:]], names=schema.names)
 
-    return named.join(spans, "rid", "left").select("_id", "text", "spans").mapInArrow(cut, schema)
+    return named.join(spans, "rid", "left").select("_id", "text", "spans", *carried).mapInArrow(cut, schema)
+
+
+def whole_characters(column: str):
+    """The text of UTF-8 bytes of which a cut may have left parts of characters: those go, whole characters stay."""
+    return F.replace(F.make_valid_utf8(F.col(column).cast("string")), F.lit("\uFFFD"), F.lit(""))
