@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ann as _ann
 from . import hmm as _hmm
 from . import importance as _importance
+from . import line_dedup as _lines
 from . import near_dedup as _near
 from . import packing as _packing
 from . import quality_rules as _rules
@@ -33,6 +35,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return _ann.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op3_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hmm.score(_documents(spark, sf_dir))
 
@@ -45,6 +52,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = _lines.remove_repeated_units(_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_units", "n_removed", "removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _rules.quality_rules(_documents(spark, sf_dir))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -73,9 +85,11 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_learned_partitions": op2_learned_partitions,
     "op3_hidden_markov_scores": op3_hidden_markov_scores,
     "op4_importance_resampling": op4_importance_resampling,
     "op5_toxicity": op5_toxicity,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
