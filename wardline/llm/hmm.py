@@ -186,10 +186,16 @@ def score(
     counts = scratch.write(count_words(docs.where(~held), text_col), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     denominator = np.log10(n + ADD * (v + 1))
-    top = [(r.word, r.c) for r in counts.orderBy(F.desc("c"), "word").limit(words).collect()]  # ``words`` rows at most
+    # The greatest count bound that leaves at most ``words`` words, from a histogram of a few thousand bins: only words over it reach the driver.
+    size = F.floor(F.log2(F.col("c")) * 64).cast("int")
+    bins = counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()
+    reached = np.cumsum([b.n for b in bins])
+    fits = int(np.searchsorted(reached, words, side="right"))
+    top = [(r.word, r.c) for r in counts.where(size >= bins[fits - 1]["size"]).collect()] if fits else []  # ``words`` rows at most
+    top.sort(key=lambda x: (-x[1], x[0]))
     if all(w != END for w, _ in top):
         top = [*top[: words - 1], (END, next((r.c for r in counts.where(F.col("word") == END).collect()), 0))]
-    least = min((c for w, c in top if w != END), default=0)
+    least = min((c for w, c in top if w != END), default=n)
     own_class = {w.encode(): i for i, (w, _) in enumerate(top)}
     known = np.array([c for _, c in top], np.float64)
     listed = spark.createDataFrame([(w,) for w, _ in top], "word string")
