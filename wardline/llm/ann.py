@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .labelled import thinned
 
 #: Vectors that the graph, its parts and the network are fitted on at most.
 SAMPLE = 8192
@@ -137,7 +138,7 @@ def fit(rows: DataFrame, total: int) -> Router | None:
     parts = 1 << int(np.log2(max(1, min(MOST_PARTS, total / PART_ROWS))))
     if parts < 4:
         return None
-    sample = rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).toArrow()  # SAMPLE rows at most
+    sample = thinned(rows, SAMPLE, "id", "v").orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).toArrow()  # SAMPLE rows at most
     v = matrix(sample.column("v").combine_chunks())
     single = v.astype(np.float32)
     spark = rows.sparkSession
