@@ -6,6 +6,8 @@ import numpy as np
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240229)
+#: Bytes whose words are hashed by one running sum, about.
+PIECE = 1 << 20
 #: A random number for each byte, upper-case ASCII letters as their lower case.
 _LETTER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1]
@@ -42,10 +44,16 @@ class Words:
         # A word starts after a space and ends before one.
         self.starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
         self.ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-        up, self.down = _power(len(data))
+        # Sums start anew at the first word after each PIECE bytes, so that the powers stay short.
+        cuts = [0]
+        while (k := int(np.searchsorted(self.starts, cuts[-1] + PIECE))) < len(self.starts):
+            cuts.append(int(self.starts[k]))
         self.total = np.empty(len(data) + 1, np.uint64)
-        self.total[0] = 0
-        np.cumsum(_LETTER[data] * up[: len(data)], out=self.total[1:])
+        for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True):
+            up, self.down = _power(b - a)
+            self.total[a] = 0
+            np.cumsum(_LETTER[data[a:b]] * up[: b - a], out=self.total[a + 1 : b + 1])
+        self.place = self.starts - np.array(cuts)[np.searchsorted(cuts, self.starts, side="right") - 1]
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         #: Words of text i are numbers first[i] to first[i + 1] - 1.
         self.first = np.searchsorted(self.starts, np.concatenate([[1], 1 + np.cumsum(lengths)]))
@@ -53,7 +61,7 @@ class Words:
     def hashes(self, most: int | None = None) -> np.ndarray:
         """Of each word, or of its first ``most`` bytes."""
         ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
-        return mix((self.total[ends] - self.total[self.starts]) * self.down[self.starts] + (ends - self.starts).astype(np.uint64))
+        return mix((self.total[ends] - self.total[self.starts]) * self.down[self.place] + (ends - self.starts).astype(np.uint64))
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
