@@ -1,13 +1,384 @@
-"""Queries over the shared tables, by name, and the SQL each must agree with."""
+"""Queries over the shared tables, by name, and the SQL each must agree with.
+
+``events`` stands for vitals: user is the bed, type the vital, event_id the order of arrival. Odd
+events are truth, even ones are readings of it with an error that is a rule of their number.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-FLAGSHIP = "match_metrics"
+from ..functions import reading_text as R
+from ..functions import scalars as S
+from ..operators import asof, engines, geometry, latest, messages, readings, validate
 
+FLAGSHIP = "match_metrics"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
 SQL: dict[str, str] = {}
+LOOKBACK = 1800
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def truth_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where("event_id % 2 = 1").select(F.col("event_id").alias("truth_id"), F.col("ts").alias("truth_ts"), F.col("event_type").alias("vital"), F.col("value").alias("truth"))
+
+
+def read_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("event_id % 2 = 0")
+    value = F.when(F.col("event_id") % 11 != 0, F.round(F.col("value") + (F.col("event_id") % 7) / 10, 2))
+    return e.select(F.col("event_id").alias("_left"), F.col("ts").alias("read_ts"), F.col("event_type").alias("vital"), F.col("user_id").alias("bed"), value.alias("observed"))
+
+
+TRUTH = "truth as (select event_id truth_id, ts truth_ts, event_type vital, value truth from events where event_id % 2 = 1)"
+READ = "obs as (select event_id, ts read_ts, event_type vital, user_id bed, case when event_id % 11 <> 0 then round(value + (event_id % 7) / 10.0, 2) end observed from events where event_id % 2 = 0)"
+PAIRS = f"""pairs as (select *, abs(observed - truth) abs_error, coalesce(abs(observed - truth) <= 50.0, false) "match",
+  round(epoch_us(read_ts) - epoch_us(truth_ts)) / 1e6 dt from obs join truth using (vital) where truth_ts between read_ts - interval {LOOKBACK} second and read_ts)"""
+BEST = "best as (select * from pairs qualify row_number() over (partition by event_id order by \"match\" desc, coalesce(abs_error, 'infinity'::double), dt, truth_ts desc) = 1)"
+METRICS = """count(*) total, count(*) filter ("match") matched, count(*) filter (observed is null) missing,
+  round(coalesce(count(*) filter ("match") / count(*), 0.0), 6) match_rate, round(coalesce(avg(abs_error), 0.0), 6) mean_abs_error,
+  round(coalesce(median(abs_error), 0.0), 6) median_abs_error, round(coalesce(quantile_cont(abs_error, 0.9), 0.0), 6) p90_abs_error"""
+
+
+def candidates(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    pairs = asof.range_join(read_rows(spark, sf_dir), truth_rows(spark, sf_dir), "read_ts", "truth_ts", LOOKBACK, ["vital"], most, [F.desc("truth_id")])
+    pairs = pairs.withColumn("dt", S.seconds_between(F.col("read_ts"), F.col("truth_ts"))).withColumn("tol", F.lit(50.0))
+    return validate.compare(pairs)
+
+
+def best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen truth of each reading: its row of pairs is the least by the order of choice, kept by a partial minimum."""
+    pairs = candidates(spark, sf_dir)
+    rank = F.struct(~F.col("match"), F.coalesce("abs_error", F.lit(float("inf"))), "dt", -F.unix_micros(F.col("truth_ts").cast("timestamp")))
+    rest = [c for c in pairs.columns if c != "_left"]
+    return pairs.groupBy("_left").agg(F.min_by(F.struct(*rest), rank).alias("b")).select("_left", "b.*")
+
+
+@query(f"with {TRUTH}, {READ}, {PAIRS}, {BEST} select vital, {METRICS} from best group by vital")
+def match_metrics(spark, d):
+    return validate.metrics(best(spark, d), ["vital"])
+
+
+@query(f"with {TRUTH}, {READ}, {PAIRS}, {BEST} select {METRICS} from best")
+def match_metrics_overall(spark, d):
+    return validate.metrics(best(spark, d))
+
+
+@query(f"with {TRUTH}, {READ}, {PAIRS}, {BEST} select event_id, truth_id, \"match\" matched, round(abs_error, 6) abs_error, round(dt, 6) dt from best")
+def best_candidate(spark, d):
+    return best(spark, d).select(F.col("_left").alias("event_id"), "truth_id", F.col("match").alias("matched"), F.round("abs_error", 6).alias("abs_error"), F.round("dt", 6).alias("dt"))
+
+
+@query(f"with {TRUTH}, {READ}, {PAIRS} select event_id, truth_id, round(dt, 6) dt from pairs qualify row_number() over (partition by event_id order by truth_ts desc, truth_id desc) <= 3")
+def range_join_lookback(spark, d):
+    return candidates(spark, d, most=3).select(F.col("_left").alias("event_id"), "truth_id", F.round("dt", 6).alias("dt"))
+
+
+@query(f"with {TRUTH}, {READ}, {PAIRS}, {BEST} select round(avg(dt), 6) mean_dt, round(median(dt), 6) median_dt, round(quantile_cont(dt, 0.9), 6) p90_dt, count(*) evaluated, (select count(*) from obs) - count(*) skipped from best")
+def dt_stats(spark, d):
+    b = best(spark, d)
+    n = read_rows(spark, d).agg(F.count("*").alias("n"))
+    r = lambda c: F.round(c, 6)
+    stats = b.agg(r(F.avg("dt")).alias("mean_dt"), r(F.median("dt")).alias("median_dt"), r(F.percentile("dt", F.lit(0.9))).alias("p90_dt"), F.count("*").alias("evaluated"))
+    return stats.crossJoin(n).select("mean_dt", "median_dt", "p90_dt", "evaluated", (F.col("n") - F.col("evaluated")).alias("skipped"))  # one row each
+
+
+@query("with o as (select *, case when event_id % 11 = 0 then (case when event_id % 2 = 0 then '' else '--' end) end as text from events) select case when text is null then 'valid' when trim(text) = '' then 'empty' else 'invalid_numeric:' || text end reason, count(*) n from o group by 1")
+def skip_reasons(spark, d):
+    e = table(spark, d, "events").withColumn("text", F.when(F.col("event_id") % 11 == 0, F.when(F.col("event_id") % 2 == 0, "").otherwise("--")).otherwise(F.col("value").cast("string")))
+    value = F.when(F.col("event_id") % 11 != 0, F.col("value"))
+    return e.groupBy(F.coalesce(S.invalid_reason(F.col("text"), value), F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with {TRUTH}, {READ}, lags as (select unnest([-600.0, -300.0, 0.0, 300.0, 600.0])::double lag_s),
+  shifted as (select event_id, vital, observed, lag_s, read_ts + to_microseconds((lag_s * 1000000)::bigint) read_ts from obs, lags),
+  hit as (select s.*, t.truth, t.truth_ts from shifted s asof left join truth t on s.vital = t.vital and s.read_ts >= t.truth_ts)
+  select lag_s, count(*) total, count(*) filter (abs(observed - truth) <= 50.0) matched, round(avg(abs(observed - truth)), 6) mean_abs_error from hit group by 1""")
+def lag_grid(spark, d):
+    lags = spark.createDataFrame([(float(x),) for x in (-600, -300, 0, 300, 600)], "lag_s double")
+    hit = asof.asof(validate.lag_grid(read_rows(spark, d), lags, "read_ts"), truth_rows(spark, d), "read_ts", "truth_ts", ["vital"])
+    error = F.abs(F.col("observed") - F.col("truth"))
+    return hit.groupBy("lag_s").agg(F.count("*").alias("total"), F.count_if(error <= 50.0).alias("matched"), F.round(F.avg(error), 6).alias("mean_abs_error"))
+
+
+@query(f"with {TRUTH}, {READ}, {PAIRS}, {BEST} select event_id, vital, observed, truth, round(abs_error, 6) abs_error from best order by abs_error desc nulls first, event_id limit 25")
+def worst_mismatches(spark, d):
+    return validate.worst(best(spark, d), 25, "_left").select(F.col("_left").alias("event_id"), "vital", "observed", "truth", F.round("abs_error", 6).alias("abs_error"))
+
+
+@query(f"with {TRUTH}, {READ} select o.event_id, t.truth_id, t.truth from obs o asof left join truth t on o.vital = t.vital and o.read_ts >= t.truth_ts")
+def asof_backward(spark, d):
+    return asof.asof(read_rows(spark, d), truth_rows(spark, d), "read_ts", "truth_ts", ["vital"]).select(F.col("_left").alias("event_id"), "truth_id", "truth")
+
+
+@query("with r as (select event_id truth_id, ts truth_ts from events where event_id % 97 = 1), o as (select event_id, ts read_ts from events where event_id % 2 = 0) select o.event_id, r.truth_id from o asof left join r on o.read_ts >= r.truth_ts")
+def asof_keyless(spark, d):
+    e = table(spark, d, "events")
+    right = e.where("event_id % 97 = 1").select(F.col("event_id").alias("truth_id"), F.col("ts").alias("truth_ts"))
+    return asof.asof(e.where("event_id % 2 = 0").select("event_id", F.col("ts").alias("read_ts")), right, "read_ts", "truth_ts").select("event_id", "truth_id")
+
+
+@query(f"""with {TRUTH}, {READ}, p as (select o.event_id, o.vital, o.read_ts, t.truth_id p_id, t.truth_ts p_ts from obs o asof left join truth t on o.vital = t.vital and o.read_ts >= t.truth_ts),
+  n as (select p.*, t.truth_id n_id, t.truth_ts n_ts from p asof left join truth t on p.vital = t.vital and p.read_ts <= t.truth_ts),
+  c as (select *, epoch_us(read_ts) - epoch_us(p_ts) back, epoch_us(n_ts) - epoch_us(read_ts) ahead from n),
+  u as (select *, coalesce(ahead < back, back is null) and (back is null or ahead <= 900000000) use_next from c)
+  select event_id, case when use_next then n_id else p_id end truth_id, round(case when use_next then ahead else -back end / 1e6, 6) delta_s from u""")
+def asof_nearest(spark, d):
+    hit = asof.nearest(read_rows(spark, d), truth_rows(spark, d), "read_ts", "truth_ts", 900, ["vital"])
+    return hit.select(F.col("_left").alias("event_id"), "truth_id", F.round("delta_s", 6).alias("delta_s"))
+
+
+@query("select user_id, max(event_id) event_id, arg_max(ts, event_id) ts, arg_max(event_type, event_id) event_type, arg_max(value, event_id) value, arg_max(props, event_id) props from events group by user_id")
+def latest_bed(spark, d):
+    return latest.latest(table(spark, d, "events").withColumn("_seq", F.col("event_id")), ["user_id"], "_seq").drop("_seq")
+
+
+@query("select user_id, event_type, max(event_id) event_id, arg_max(ts, event_id) ts, arg_max(value, event_id) value from events group by all")
+def latest_bed_vital(spark, d):
+    return latest.latest(table(spark, d, "events").drop("props").withColumn("_seq", F.col("event_id")), ["user_id", "event_type"], "_seq").drop("_seq")
+
+
+@query("select event_type, count(*) n, count(*) filter (value is null or event_id % 11 = 0) missing from events group by event_type")
+def running_missing(spark, d):
+    return latest.running_missing(table(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 11 != 0, F.col("value"))), "event_type", "value")
+
+
+@query("""with m as (select user_id, ts::date as dd, event_type, arg_max(value, event_id) v from events group by all),
+  s as (select user_id, ts::date as dd, max(date_trunc('second', ts)) sent from events group by all)
+  select m.user_id::varchar bed_id, strftime(dd, '%Y%m%d') as "day", event_type vital, v "value", s.sent message_time from m join s using (user_id, dd)""")
+def hl7_roundtrip(spark, d):
+    e = table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyyMMdd"))
+    built = messages.build(e, ["user_id", "day"], "user_id", "user_id", "ts", "event_type", "value", "event_id")
+    parsed = messages.observations(messages.parse(built, "message"))
+    return parsed.select("bed_id", "day", "vital", "value", "message_time")
+
+
+@query("select o_orderkey, date_trunc('second', o_orderdate) + to_minutes((o_orderkey % 1440)::bigint) full_time, date_trunc('day', o_orderdate) day_only, null::timestamp as bad from orders")
+def hl7_datetime(spark, d):
+    o = table(spark, d, "orders")
+    at = F.timestamp_add("MINUTE", (F.col("o_orderkey") % 1440).cast("int"), F.col("o_orderdate"))
+    stamp = F.date_format(at, "yyyyMMddHHmm")
+    return o.select("o_orderkey", S.message_time(F.concat(stamp, F.lit("00+0900"))).alias("full_time"), S.message_time(F.date_format("o_orderdate", "yyyyMMdd")).alias("day_only"), S.message_time(F.concat(F.substring(stamp, 1, 4), F.lit("0230"))).alias("bad"))
+
+
+@query("select l_orderkey, l_linenumber, l_extendedprice cleaned, (l_quantity::bigint::varchar || l_linenumber::varchar)::double joined, null::double as bad, l_extendedprice first_found from lineitem")
+def numeric_clean(spark, d):
+    line = table(spark, d, "lineitem")
+    price, quantity = F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.col("l_quantity").cast("bigint").cast("string")
+    return line.select(
+        "l_orderkey", "l_linenumber", S.clean_number(F.concat(F.lit("> "), price, F.lit(" mmHg"))).alias("cleaned"), S.clean_number(F.concat(quantity, F.lit("/"), F.col("l_linenumber").cast("string"))).alias("joined"),
+        S.clean_number(F.concat(quantity, F.lit("-"), quantity)).alias("bad"), S.first_number(F.concat(F.lit("about "), price, F.lit(" or 7"))).alias("first_found"),
+    )
+
+
+ENGINES = f"""eng as (select event_id, event_type field, value truth, case when event_id % 5 <> 0 then round(value + (event_id % 3) / 10.0, 2) end easy_value, case when event_id % 7 <> 0 then round(value + (event_id % 4) / 10.0, 2) end tess_value from events),
+  cmp as (select *, abs(easy_value - truth) easy_abs_err, abs(tess_value - truth) tess_abs_err, coalesce(abs(easy_value - truth) <= 0.15, false) easy_match, coalesce(abs(tess_value - truth) <= 0.15, false) tess_match,
+  case when easy_value is null and tess_value is null then 'none' when tess_value is null or abs(easy_value - truth) < abs(tess_value - truth) then 'easy' when easy_value is null or abs(tess_value - truth) < abs(easy_value - truth) then 'tess' else 'tie' end winner from eng)"""
+
+
+def engine_rows(spark, d):
+    e = table(spark, d, "events")
+    v = lambda skip, mod: F.when(F.col("event_id") % skip != 0, F.round(F.col("value") + (F.col("event_id") % mod) / 10, 2))
+    return engines.compared(e.select("event_id", F.col("event_type").alias("field"), F.col("value").alias("truth"), v(5, 3).alias("easy_value"), v(7, 4).alias("tess_value"), F.lit(0.15).alias("tol")))
+
+
+@query(f"""with {ENGINES} select field, count(*) n, count(*) filter (winner = 'easy') easy_win, count(*) filter (winner = 'tess') tess_win, count(*) filter (winner = 'tie') tie,
+  round(avg(easy_abs_err), 4) easy_mae, round(count(*) filter (easy_match) / count(*), 4) easy_match_rate, round(count(*) filter (easy_value is null) / count(*), 4) easy_missing_rate,
+  round(avg(tess_abs_err), 4) tess_mae, round(count(*) filter (tess_match) / count(*), 4) tess_match_rate, round(count(*) filter (tess_value is null) / count(*), 4) tess_missing_rate,
+  round(avg(case when winner = 'tess' then tess_abs_err else easy_abs_err end), 4) winner_mae, round(median(case when winner = 'tess' then tess_abs_err else easy_abs_err end), 4) winner_median
+  from cmp group by grouping sets ((field), ())""")
+def engine_compare(spark, d):
+    return engines.summary(engine_rows(spark, d), digits=4)
+
+
+@query(f"with {ENGINES} select event_id, field, winner, round(easy_abs_err, 6) easy_abs_err, round(tess_abs_err, 6) tess_abs_err from cmp")
+def winloss(spark, d):
+    return engine_rows(spark, d).select("event_id", "field", "winner", F.round("easy_abs_err", 6).alias("easy_abs_err"), F.round("tess_abs_err", 6).alias("tess_abs_err"))
+
+
+@query("""with s as (select l_quantity::bigint::varchar a, (l_quantity::bigint + l_linenumber * 9)::varchar b from lineitem), p as (select a, b, unnest(range(1, greatest(length(a), length(b)) + 1)) i from s)
+  select coalesce(nullif(substring(a, i, 1), ''), '_') truth_digit, coalesce(nullif(substring(b, i, 1), ''), '_') pred_digit, count(*) "count" from p group by 1, 2""")
+def digit_confusion(spark, d):
+    line = table(spark, d, "lineitem").select(F.col("l_quantity").alias("truth"), F.concat((F.col("l_quantity").cast("bigint") + F.col("l_linenumber") * 9).cast("string"), F.lit(" mL")).alias("read"))
+    return engines.digit_confusion(line)
+
+
+PRIOR = "last_value(v ignore nulls) over (partition by user_id, event_type order by event_id rows between unbounded preceding and 1 preceding)"
+GAPPY = "g as (select event_id, user_id, event_type, ts, case when event_id % 4 <> 0 then value end v from events)"
+
+
+def gappy(spark, d):
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("v"))
+
+
+@query(f"with {GAPPY} select event_id, {PRIOR} prior from g")
+def prior_confirmed(spark, d):
+    return readings.prior_confirmed(gappy(spark, d), ["user_id", "event_type"], "event_id", "v").select("event_id", "prior")
+
+
+@query(f"with {GAPPY}, p as (select *, {PRIOR} prior from g) select event_id, case when event_type = 'error' then v else coalesce(v, prior) end held, v is null and prior is not null and event_type <> 'error' imputed from p")
+def hold_last(spark, d):
+    return readings.hold_last(gappy(spark, d), ["user_id", "event_type"], "event_id", "v", F.col("event_type") == "error").select("event_id", "held", "imputed")
+
+
+@query(f"""with {GAPPY}, p as (select *, {PRIOR} prior from g) select event_id, round(case when v is null or prior is null then 0.0 when abs(v - prior) / greatest(abs(prior), 1.0) <= 0.03 then 0.25
+  when abs(v - prior) / greatest(abs(prior), 1.0) <= 0.10 then 0.15 when abs(v - prior) / greatest(abs(prior), 1.0) <= 0.30 then 0.05 else -0.10 end::double, 6) bonus from p""")
+def continuity_score(spark, d):
+    p = readings.prior_confirmed(gappy(spark, d), ["user_id", "event_type"], "event_id", "v")
+    return p.select("event_id", F.round(readings.continuity_bonus(F.col("v"), F.col("prior")), 6).alias("bonus"))
+
+
+@query("""with c as (select l_orderkey, l_linenumber, l_quantity q, l_discount conf, l_quantity::bigint::varchar t, l_linenumber % 2 = 0 ok from lineitem),
+  s as (select *, 1.5 * conf + case when ok then 0.8 else -0.4 end + 0.08 * least(length(t), 4) + 0.2 score from c)
+  select l_orderkey, l_linenumber, q, round(score, 6) score from s qualify row_number() over (partition by l_orderkey order by round(score, 6) desc, l_linenumber, q) = 1""")
+def candidate_argmax(spark, d):
+    c = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), "l_discount", F.col("l_quantity").cast("bigint").cast("string").alias("t"))
+    score = readings.candidate_score(F.col("l_discount"), F.col("t"), F.col("l_linenumber") % 2 == 0, F.col("q"), F.lit(None).cast("double"))
+    c = c.withColumn("score", F.round(score, 6)).withColumn("place", F.col("l_linenumber") * 1000 + F.col("q"))
+    return readings.best_scored(c, ["l_orderkey"], "score", "place").select("l_orderkey", "l_linenumber", "q", "score")
+
+
+@query("select event_id, event_type is distinct from lag(event_type) over w or lag(event_type) over w is null changed from events window w as (partition by user_id order by event_id)")
+def stamp_change(spark, d):
+    return readings.changes(table(spark, d, "events"), ["user_id"], "event_id", "event_type").select("event_id", "changed")
+
+
+@query("""with x as (select distinct user_id, floor(epoch(ts) / 3600)::bigint h from events), r as (select *, h - row_number() over (partition by user_id order by h) g from x)
+  select user_id, min(h) first_index, max(h) last_index, count(*) length, round(avg(h), 6) centre from r group by user_id, g""")
+def gaps_islands(spark, d):
+    hours = table(spark, d, "events").select("user_id", F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 3600).cast("long").alias("h")).distinct()
+    return readings.islands(hours, ["user_id"], "h")
+
+
+@query("select event_id, ts, user_id from (select *, row_number() over (partition by date_trunc('hour', ts) order by user_id, event_id) n from events where event_type = 'error') where n <= 2")
+def capped_failures(spark, d):
+    e = table(spark, d, "events").where("event_type = 'error'").withColumn("tick", F.date_trunc("hour", F.col("ts")))
+    return readings.capped(e, ["tick"], ["user_id", "event_id"], 2).select("event_id", "ts", "user_id")
+
+
+@query("""with p as (select l_orderkey, l_linenumber, l_partkey, l_quantity::bigint v, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) i from lineitem)
+  select l_orderkey, i, max(v - i) over (partition by l_orderkey order by i) + i fixed from p""")
+def strictly_rising(spark, d):
+    p = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("o"), F.col("l_quantity").cast("long").alias("v"))
+    fixed = readings.strictly_rising(p, ["l_orderkey"], "o", "v")
+    return fixed.select("l_orderkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("o")).cast("long").alias("i"), "fixed")
+
+
+@query("select user_id, max(ts) ts, max(ts) < timestamp '2024-01-30' stale from events group by user_id")
+def staleness(spark, d):
+    last = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("ts"))
+    return last.withColumn("stale", readings.stale(F.col("ts"), F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"), 0))
+
+
+GRID_SQL = ", ".join(f"('{v}', {i})" for i, v in enumerate("HR ART_S ART_D ART_M CVP_M RAP_M SpO2 TSKIN TRECT rRESP EtCO2 RR VTe VTi Ppeak PEEP O2conc NO BSR1 BSR2".split()))
+
+
+@query(f"""with v(vital, vi) as (values {GRID_SQL}), b as (select 'BED0' || (i + 1)::varchar bed, i bi from range(6) t(i))
+  select bed, vital, (vi // 4)::bigint "row", (vi % 4)::int col, ((bi % 2) * 960 + (vi % 4) * 240)::bigint x1, ((bi // 2) * 340 + 60 + (vi // 4) * 68)::bigint y1, ((bi % 2) * 960 + (vi % 4) * 240 + 240)::bigint x2, ((bi // 2) * 340 + 60 + (vi // 4) * 68 + 68)::bigint y2 from b, v""")
+def grid_geometry(spark, d):
+    g = geometry.grid(spark, 1920, 1080, 60)
+    return g.select("bed", "vital", F.col("row").cast("long").alias("row"), F.col("col").cast("int").alias("col"), *[F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query("""with t(idx, l, t, w, h) as (values (0, 0, 0, 20, 5), (1, 30, 2, 10, 3), (2, 10, 1, 40, 7)), b as (select p_partkey box, p_size a, p_partkey % 9 b, p_partkey % 31 c, p_partkey % 13 e from part),
+  x as (select box, idx, abs(a - l) + abs(b - t) + abs(c - w) + abs(e - h) dist from b, t) select box, (arg_min(idx, dist * 10 + idx))::int idx, min(dist)::bigint distance from x group by box""")
+def nearest_rectangle(spark, d):
+    p = table(spark, d, "part")
+    boxes = p.select(F.col("p_partkey").alias("box"), F.col("p_size").cast("long").alias("left"), (F.col("p_partkey") % 9).alias("top"), (F.col("p_partkey") % 31).alias("width"), (F.col("p_partkey") % 13).alias("height"))
+    targets = spark.createDataFrame([(0, 0, 0, 20, 5), (1, 30, 2, 10, 3), (2, 10, 1, 40, 7)], "idx int, left long, top long, width long, height long")
+    return geometry.nearest_rectangle(boxes, targets)
+
+
+@query("select event_id, 'k' as name, json_extract_string(props, '$.k')::double num from events")
+def json_flatten(spark, d):
+    e = table(spark, d, "events").withColumn("j", F.try_parse_json("props"))
+    return e.select("event_id", "j").lateralJoin(spark.tvf.variant_explode(F.col("j").outer())).select("event_id", F.col("key").alias("name"), F.try_variant_get("value", "$", "double").alias("num"))
+
+
+@query("""with c as (select doc_id, regexp_extract(replace(text, ',', ''), '[-+]?\\d+(?:\\.\\d+)?') t from documents) select doc_id, try_cast(nullif(t, '') as double) first_found from c""")
+def text_first_number(spark, d):
+    return table(spark, d, "documents").select("doc_id", S.first_number(F.col("text")).alias("first_found"))
+
+
+@query("""with r as (select event_id, case event_id % 4 when 0 then 'HR' when 1 then 'TSKIN' when 2 then 'SpO2' else 'VTi' end vital, event_id % 4 k, floor(value)::bigint n from events),
+  t as (select *, case when k = 1 then (300 + n % 150) else n end raw from r), v as (select *, case when k = 1 then raw / 10.0 else raw::double end x from t)
+  select event_id, vital, case when (k = 0 and x between 30 and 250) or (k = 1 and x between 30 and 45) or (k = 2 and x between 30 and 100) or (k = 3 and x between 0 and 2000) then round(x, 6) end parsed from v""")
+def reading_text(spark, d):
+    e = table(spark, d, "events")
+    k, n = F.col("event_id") % 4, F.floor("value").cast("long")
+    vital = F.when(k == 0, "HR").when(k == 1, "TSKIN").when(k == 2, "SpO2").otherwise("VTi")
+    raw = F.when(k == 1, 300 + n % 150).otherwise(n).cast("string")
+    text = F.concat(F.lit("~"), F.translate(raw, R.PLAIN[:10], R.FULL_WIDTH[:10]), F.lit(" x"))
+    rows = e.select("event_id", vital.alias("vital"), text.alias("text"))
+    return rows.select("event_id", "vital", F.round(R.parsed_number(F.col("vital"), R.normalized(F.col("vital"), F.col("text"))), 6).alias("parsed"))
+
+
+@query("select event_id, round_even(value, 0)::bigint::varchar shown, 1::bigint as whole from events where value = floor(value) or event_id % 2 = 0")
+def display_value(spark, d):
+    e = table(spark, d, "events").where("value = floor(value) or event_id % 2 = 0")
+    return e.select("event_id", S.display_value(F.lit("HR"), F.col("value")).alias("shown"), F.lit(1).cast("long").alias("whole"))
+
+
+@query("select c_custkey from customer where c_custkey in (select o_custkey from orders)")
+def semi_join(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(o, "c_custkey", "left_semi").select("c_custkey")
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def anti_join(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("select c_custkey, coalesce(n_name, 'unknown') nation from customer left join (select * from nation where n_nationkey % 5 <> 0) on c_nationkey = n_nationkey")
+def dim_lookup(spark, d):
+    n = table(spark, d, "nation").where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return table(spark, d, "customer").join(n, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", F.lit("unknown")).alias("nation"))
+
+
+@query("select event_id, ts, value from events order by event_id desc limit 50")
+def last_n(spark, d):
+    return table(spark, d, "events").orderBy(F.desc("event_id")).limit(50).select("event_id", "ts", "value")
+
+
+@query("with o as (select o_custkey k, 'order' source from orders union all select c_custkey, 'customer' from customer) select k, min(source) source from o group by k")
+def union_priority(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit(0).alias("p"), F.lit("customer").alias("source"))
+    b = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.lit(1).alias("p"), F.lit("order").alias("source"))
+    return a.unionByName(b).groupBy("k").agg(F.min_by("source", "p").alias("source"))
+
+
+@query("select time_bucket(interval 1 hour, ts) start, event_type, count(*) n, round(avg(value), 6) mean from events group by 1, 2")
+def tumbling_window(spark, d):
+    w = table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return w.select(F.col("w.start").alias("start"), "event_type", "n", "mean")
+
+
+@query("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 12 hour then 0 else 1 end b from events), s as (select *, sum(b) over (partition by user_id order by ts) k from g)
+  select user_id, min(ts) start, count(*) n from s group by user_id, k""")
+def session_window(spark, d):
+    s = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "12 hours").alias("w")).agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query("""select event_id, case when event_id % 3 = 0 and event_id % 5 = 0 then 'cache_dir_search' when event_id % 3 = 0 then 'explicit_snapshot' when event_id % 5 = 0 then 'cache_dir_search' when event_id % 7 = 0 then 'monitor_cache_fallback' else 'skipped' end source from events""")
+def truth_source(spark, d):
+    i = F.col("event_id")
+    source = validate.truth_source(i % 3 == 0, F.lit(True), i % 5 == 0, i % 7 == 0)
+    return table(spark, d, "events").select("event_id", source.alias("source"))
