@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,26 +27,41 @@ def well_formed(vital: Column, text: Column) -> Column:
     return tests.otherwise(text.rlike(r"^[0-9]+$"))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it: plans stay small where expressions nest."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def one_point(text: Column, mark: str = ".") -> Column:
     """Only the first of several marks stays."""
-    head = F.substring_index(text, mark, 1)
-    rest = F.substring(text, F.length(head) + 2, F.length(text))
-    return F.when(F.contains(text, F.lit(mark)), F.concat(head, F.lit(mark), F.replace(rest, F.lit(mark), F.lit("")))).otherwise(text)
+
+    def rest(t: Column) -> Column:
+        head = F.substring_index(t, mark, 1)
+        return F.when(F.contains(t, F.lit(mark)), F.concat(head, F.lit(mark), F.replace(F.substring(t, F.length(head) + 2, F.length(t)), F.lit(mark), F.lit("")))).otherwise(t)
+
+    return let(text, rest)
 
 
 def normalized(vital: Column, text: Column) -> Column:
     """Plain forms of full-width characters, no spaces, only what the vital allows, one point."""
     plain = F.replace(F.translate(F.trim(F.coalesce(text, F.lit(""))), FULL_WIDTH, PLAIN), F.lit(" "), F.lit(""))
-    kept = F.when(vital.isin("CVP_M", "RAP_M"), F.regexp_replace(plain, r"[^0-9.\-]", "")).when(vital.isin("TSKIN", "TRECT"), F.regexp_replace(plain, "[^0-9.]", "")).otherwise(F.regexp_replace(plain, "[^0-9]", ""))
-    return one_point(kept)
+    other = F.when(vital.isin("CVP_M", "RAP_M"), r"[^0-9.\-]").when(vital.isin("TSKIN", "TRECT"), "[^0-9.]").otherwise("[^0-9]")
+    return one_point(F.regexp_replace(plain, other, F.lit("")))
 
 
 def digits_like(vital: Column, text: Column) -> Column:
     """As ``normalized``; where that leaves nothing, the letter O counts as 0. A point at an end is dropped or given its 0."""
-    first = normalized(vital, text)
-    t = F.when(first == "", normalized(vital, F.translate(F.coalesce(text, F.lit("")), "Oo", "00"))).otherwise(first)
-    t = F.when(t.rlike(r"^-?[0-9]+\.$"), F.regexp_replace(t, r"\.$", "")).otherwise(t)
-    return F.when(t.rlike(r"^\.[0-9]+$"), F.concat(F.lit("0"), t)).when(t.rlike(r"^-\.[0-9]+$"), F.concat(F.lit("-0"), F.substring(t, 2, 100))).otherwise(t)
+
+    def mended(t: Column) -> Column:
+        return (
+            F.when(t.rlike(r"^-?[0-9]+\.$"), F.regexp_replace(t, r"\.$", ""))
+            .when(t.rlike(r"^\.[0-9]+$"), F.concat(F.lit("0"), t))
+            .when(t.rlike(r"^-\.[0-9]+$"), F.concat(F.lit("-0"), F.substring(t, 2, 100)))
+            .otherwise(t)
+        )
+
+    zeros = normalized(vital, F.translate(F.coalesce(text, F.lit("")), "Oo", "00"))
+    return let(F.coalesce(F.nullif(normalized(vital, text), F.lit("")), zeros), mended)
 
 
 def sanitized(text: Column) -> Column:
@@ -62,23 +79,32 @@ def _whole_if_preferred(vital: Column, x: Column) -> Column:
     return F.when(vital.isin(dims.INTEGER_PREFERRED), F.bround(x, 0)).otherwise(x)
 
 
+def _accepted(vital: Column, number: Column) -> Column:
+    """A number rounded where the vital wants whole ones, if it is in bounds then."""
+    return let(_whole_if_preferred(vital, number), lambda x: F.when(in_range(vital, x), x))
+
+
 def parsed_number(vital: Column, text: Column) -> Column:
     """A reading's number: temperatures of three digits have a point before the last; values out of bounds are tried as they stand, then given up."""
-    s = sanitized(text)
-    number = F.when(s.rlike(r"^\d+(\.\d+)?$"), s.try_cast("double"))
-    tenths = F.when(vital.isin(dims.TEMPERATURES) & s.rlike(r"^\d{3}$"), F.concat(F.substring(s, 1, 2), F.lit("."), F.substring(s, 3, 1)).cast("double"))
-    tries = [_whole_if_preferred(vital, x) for x in (tenths, number)]
-    return F.coalesce(*[F.when(in_range(vital, x), x) for x in tries])
+
+    def tried(s: Column) -> Column:
+        number = F.when(s.rlike(r"^\d+(\.\d+)?$"), s.try_cast("double"))
+        tenths = F.when(vital.isin(dims.TEMPERATURES) & s.rlike(r"^\d{3}$"), F.concat(F.substring(s, 1, 2), F.lit("."), F.substring(s, 3, 1)).cast("double"))
+        return F.coalesce(_accepted(vital, tenths), _accepted(vital, number))
+
+    return let(sanitized(text), tried)
 
 
 def parsed_reading(vital: Column, text: Column) -> Column:
     """As a candidate is parsed: no fractions, a minus only in front; what is a number counts as such, other texts by ``parsed_number``."""
-    t = F.trim(text)
-    number = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), t.try_cast("double"))
-    rounded = _whole_if_preferred(vital, number)
-    value = F.when(number.isNotNull(), F.when(in_range(vital, rounded), rounded)).otherwise(parsed_number(vital, t))
-    minus = F.length(t) - F.length(F.replace(t, F.lit("-"), F.lit("")))
-    return F.when(~F.contains(t, F.lit("/")) & ((minus == 0) | ((minus == 1) & t.startswith("-"))), value)
+
+    def tried(t: Column) -> Column:
+        is_number = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$")
+        value = F.when(is_number, _accepted(vital, t.try_cast("double"))).otherwise(parsed_number(vital, t))
+        minus = F.length(t) - F.length(F.replace(t, F.lit("-"), F.lit("")))
+        return F.when(~F.contains(t, F.lit("/")) & ((minus == 0) | ((minus == 1) & t.startswith("-"))), value)
+
+    return let(F.trim(text), tried)
 
 
 def failed_reading(text: Column, value: Column, method: Column, confidence: Column, least: float, exception: Column, all_empty: Column) -> Column:
