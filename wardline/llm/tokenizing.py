@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 #: Entries a cache of chunks may hold before it starts anew; a worker process keeps it between tasks.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 450_000
 #: Rows that are worked on at once inside an Arrow batch.
 ROWS = 256
 
