@@ -59,3 +59,17 @@ def test_no_python_and_no_shuffle(spark):
 @pytest.mark.parametrize("name", ["n_words", "repeat_word_ratio"])
 def test_rules_name_measures(name):
     assert name in Q.MEASURES and all(r.measure in Q.MEASURES for r in Q.RULES)
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+
+    from wardline.llm import registry
+
+    d = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.sql(f"create view documents as from '{d}/documents.parquet'")
+    df = registry.QUERIES["op7_quality_rules"](spark, d)
+    expected = c.sql(registry.SQL["op7_quality_rules"])
+    assert expected.columns == df.columns
+    assert sorted(map(tuple, df.collect())) == sorted(expected.fetchall())

@@ -62,7 +62,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return m.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "broken_rules",
+        failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), F.array_join("broken_rules", ",").alias("broken_rules"),
     )
 
 
@@ -96,4 +96,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_trie_bpe": op10_trie_bpe,
 }
 
-SQL: dict[str, str] = {}
+_STOPS = " + ".join(f"contains(t, ' {w} ')::int" for w in _rules.STOP_WORDS)
+_BROKEN = ", ".join(
+    f"case when {' or '.join(([f'{r.measure} < {r.low}'] if r.low is not None else []) + ([f'{r.measure} > {r.high}'] if r.high is not None else []))} then '{r.measure}' end"
+    for r in _rules.RULES
+)
+
+SQL: dict[str, str] = {
+    "op7_quality_rules": f"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '[ \\t-\\r]+'), lambda x: x <> '') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) lines from d),
+g as (select doc_id, i, array_to_string(ws[i:i + 7], ' ') gram from (select doc_id, ws, unnest(range(1, len(ws) - 6)) i from w)),
+r as (select doc_id, i from g qualify count(*) over (partition by doc_id, gram) > 1),
+c as (select doc_id, sum(least(8, coalesce(n - i, 8)))::bigint n_repeat_words from (select doc_id, i, lead(i) over (partition by doc_id order by i) n from r) group by doc_id),
+m as (select doc_id, len(ws)::bigint n_words, length(array_to_string(ws, ''))::bigint word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint n_symbols,
+  (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words, len(lines) n_lines, {_STOPS} distinct_stop_words from w left join c using (doc_id)),
+x as (select *, word_chars / nullif(n_words, 0) mean_word_chars, n_symbols / nullif(n_words, 0) symbol_word_ratio, n_dup_lines / nullif(n_lines, 0) dup_line_ratio, n_repeat_words / nullif(n_words, 0) repeat_word_ratio from m),
+b as (select *, coalesce(array_to_string(list_filter([{_BROKEN}], lambda z: z is not null), ','), '') broken_rules, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from x)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and broken_rules = '' kept, broken_rules from b""",
+}
