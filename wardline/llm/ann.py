@@ -130,7 +130,7 @@ class Router:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1 if len(column) else 0)
 
 
 def fit(rows: DataFrame, total: int) -> Router | None:

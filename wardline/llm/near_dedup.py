@@ -160,6 +160,8 @@ def confirmed(members: DataFrame, matches: int, percent: int, width: int) -> Dat
             return out
 
         for batch in batches:
+            if batch.num_rows == 0:
+                continue
             sig = np.asarray(batch.column(3).flatten()).reshape(batch.num_rows, -1)
             for i, (b, s, n, t) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True)):
                 if b != key:
