@@ -21,13 +21,14 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from .tokenizing import CACHE_ENTRIES, ChunkCache, byte_letters, slices
 
 END = "</w>"
+SHORT = (3, 2, 1)
 #: Chunks of printable ASCII and the letters up to U+017F, in composed form, are cut by this pattern; all others by the library.
 _plain = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
 _words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[0-9]|[^\sa-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
 
 
 class TrieBpe:
-    """Encodes words of one vocabulary file. ``words`` maps a word (in byte letters) to (ids as bytes, tokens joined by spaces)."""
+    """Encodes words of one vocabulary file. Caches hold, by word in byte letters and by chunk, ids as bytes and tokens joined by spaces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,10 +51,18 @@ class TrieBpe:
         self.made = {self.vocab[a + b] for a, b in pairs}
         #: Single symbols and merged tokens; others of the vocabulary are never produced.
         self.tokens = {t: i for t, i in self.vocab.items() if i in self.made or len(t.removesuffix(END)) == 1}
-        self.longest = max(len(t.removesuffix(END)) for t in self.tokens)
+        #: Lengths, longest first, of the tokens that end in given four characters (inside a word, at its end); shorter ones are tried after them.
+        self.lengths: tuple[dict, dict] = ({}, {})
+        for t in self.tokens:
+            body = t.removesuffix(END)
+            if len(body) >= 4:
+                self.lengths[t != body].setdefault(body[-4:], set()).add(len(body))
+        for by in self.lengths:
+            by.update({k: (*sorted(v, reverse=True), 3, 2, 1) for k, v in by.items()})
         self.apart: dict[tuple[int, int], bool] = {}
         self.letters = dict(enumerate(byte_letters()))
         self.chunks = ChunkCache(self.learn)
+        self.words = ChunkCache(self.learn_words)
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether BPE on the text of both leaves exactly this pair: no merge across the border comes before the merges that build the two."""
@@ -83,7 +92,7 @@ class TrieBpe:
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of each distinct word given in byte letters."""
         out: dict[str, list[int]] = {}
-        tokens, longest, apart = self.tokens, self.longest, self.stay_apart
+        tokens, apart, inside, at_end = self.tokens, self.stay_apart, *self.lengths
         known = self.apart
         last, back = [-1], [0]  # of the path: the last token of each prefix, and its length
         before = ""
@@ -97,7 +106,9 @@ class TrieBpe:
             del last[same + 1 :], back[same + 1 :]
             for i in range(same + 1, n + 1):
                 end = END if i == n else ""
-                for k in range(min(i, longest), 0, -1):
+                for k in (at_end if end else inside).get(word[i - 4 : i], SHORT) if i >= 4 else SHORT[3 - i :]:
+                    if k > i:
+                        continue
                     t = tokens.get(word[i - k : i] + end)
                     if t is None:
                         continue
@@ -159,11 +170,15 @@ class TrieBpe:
             return words if chunk.isascii() else [w.encode().decode("latin-1").translate(self.letters) for w in words]
         return [w for w, _ in self.split(self.normalize(chunk))]
 
+    def learn_words(self, words: list[str]) -> list[tuple[bytes, str]]:
+        ids = self.encode_words([w for w in words if w not in self.special])
+        token = self.token
+        return [(array("I", [self.special[w]]).tobytes(), w) if w in self.special else (array("I", x := ids[w]).tobytes(), " ".join([token[i] for i in x])) for w in words]
+
     def learn(self, chunks: list[str]) -> list[tuple[bytes, str]]:
+        """Chunks that differ in punctuation share their words' encodings."""
         cut = [self.words_of(c) for c in chunks]
-        ids = self.encode_words(list({w for ws in cut for w in ws}.difference(self.special)))
-        known = {w: (array("I", x).tobytes(), " ".join([self.token[i] for i in x])) for w, x in ids.items()}
-        known |= {w: (array("I", [i]).tobytes(), w) for w, i in self.special.items()}
+        known = self.words.take({w for ws in cut for w in ws})
         return [known[ws[0]] if len(ws) == 1 else (b"".join([known[w][0] for w in ws]), " ".join([known[w][1] for w in ws])) for ws in cut]
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
