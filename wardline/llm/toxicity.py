@@ -26,6 +26,8 @@ from .tokenizing import slices
 EXAMPLES = 20_000
 #: Terms at most, and the least chi-square of one (p under 1e-7).
 TERMS, CHI_SQUARE = 512, 30.0
+#: Times that a term is commoner under label 1, at least: common words that lean a little do not tell.
+LIFT = 3.0
 NEIGHBOURS = 15
 BLOCK = 64
 PREFIXES = (4, 5, 6)
@@ -89,7 +91,7 @@ def telling_terms(train: DataFrame, most: int, least: float) -> tuple[np.ndarray
     counts = train.select("text", "y").mapInArrow(count, "h long, a long, b long").groupBy("h").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
     a, b = F.col("a"), F.col("b")
     chi = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (float(n0) * n1 * (a + b) * (n0 + n1 - a - b))
-    best = counts.where((a + b < n0 + n1) & (a * n0 > b * n1)).withColumn("chi", chi).where(F.col("chi") >= least).orderBy(F.desc("chi"), "h").limit(most)
+    best = counts.where((a + b < n0 + n1) & (a * n0 > LIFT * b * n1)).withColumn("chi", chi).where(F.col("chi") >= least).orderBy(F.desc("chi"), "h").limit(most)
     return np.sort(np.array([r.h for r in best.collect()], np.int64).view(np.uint64)), n0, n1
 
 
