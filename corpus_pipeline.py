@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from wardline.llm import importance, near_dedup, packing, scratch, substring_dedup, toxicity
 from wardline.llm.registry import tokenizer_file
 
+#: Near copies are texts whose sets of five words are alike by this many percent (``op9`` has 85), and the equal signature coordinates, of 64, that a pair needs to be tested: one of similarity 0.80 has fewer with probability 4.2e-6.
+NEAR_PERCENT, NEAR_MATCHES = 80, 36
 #: Tables that the latest stage wrote for itself; the next one deletes those that it does not read.
 _own: list[str] = []
 
@@ -52,7 +54,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one of the smallest id. Rows repeated with id and text stay once; texts without words all stay."""
     before = _begin(spark, docs)
-    kept = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_dedup.near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT, matches=NEAR_MATCHES).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     _end(before)
     whole = _whole(docs).select("_row", F.col("_row.doc_id").alias("_id"), F.xxhash64(F.lower(F.coalesce(F.col("text"), F.lit("")))).alias("_text"))
     found = whole.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")

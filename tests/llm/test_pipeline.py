@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 import corpus_pipeline as P
@@ -46,3 +48,21 @@ def test_half_characters_go(spark):
     rows = [("aé漢😀b".encode()[:n],) for n in range(12)] + [("aé漢😀b".encode()[n:],) for n in range(12)]
     got = [r.t for r in spark.createDataFrame(rows, "b binary").select(whole_characters("b").alias("t")).collect()]
     assert got == [b.decode("utf-8", "ignore") for (b,) in rows]
+
+
+def test_near_dedup_stage_equals_brute_force_at_80(spark):
+    from tests.llm.test_near_dedup import brute, shingle_set
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(100, 300))]
+        rows.append((2 * i, " ".join(w)))
+        for at in rng.sample(range(0, len(w), 5), round(len(w) * (0.004 + 0.0006 * i))):  # from about 0.96 down to 0.68
+            w[at] = "changed"
+        rows.append((2 * i + 1, " ".join(w)))
+    alike = [len(a & b) / len(a | b) for a, b in ((shingle_set(rows[2 * i][1]), shingle_set(rows[2 * i + 1][1])) for i in range(60))]
+    assert sum(0.80 <= x < 0.85 for x in alike) >= 5 and sum(x < 0.80 for x in alike) >= 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, D).collect())
+    assert kept == sorted(r[0] for r in brute(rows, 80) if r[3])
