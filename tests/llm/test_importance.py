@@ -64,3 +64,20 @@ def test_no_labels_and_empty_table(spark):
     assert all(r.kept and r.log_weight == 0 for r in I.resample(d, none).collect())
     assert I.resample(d.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
     assert I.resample(d.limit(0), none, k=3).count() == 0
+
+
+def test_held_out_real_rows_of_both_labels(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0  # neither the model nor the bound sees these
+    got = I.resample(spark.read.parquet(f"{d}/documents.parquet"), labels.where(~held)).join(labels.where(held), "doc_id")
+    n = {r.quality: (r.n, r.kept) for r in got.groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()}
+    print("held out (n, kept) by label:", n)
+    assert n[1][1] >= 0.98 * n[1][0] and n[0][1] <= 0.1 * n[0][0]
+
+
+def test_bound_parts_both_kinds():
+    score, wanted = np.array([3.0, -5.0, 1.0, 2.0, -4.0, -1.0]), np.array([True, False, True, True, False, False])
+    assert I.best_bound(score, wanted, 0.999) == 0.0
+    assert I.best_bound(score, np.ones(6, bool), 1.0) == -5.0
+    assert I.best_bound(score, np.zeros(6, bool), 0.999) == I.best_bound(np.zeros(2), np.array([True, False]), 0.999) == float("-inf")

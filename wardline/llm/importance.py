@@ -3,7 +3,10 @@
 Words and word pairs are hashed into buckets. One bucket model is counted over all documents (raw),
 one over a bounded sample of labelled documents of the wanted kind (target). A document's log weight
 is the sum, over its n-grams, of log target minus log raw. Adding Gumbel noise to the weights and
-taking the k greatest samples k documents without replacement in proportion to their weights.
+taking the k greatest samples k documents without replacement in proportion to their weights. Where k
+is not given, a document is kept whose perturbed weight reaches a bound in proportion to its n-grams
+(sums grow with the text, so that one bound for all lengths would be set by the longest); the bound
+is chosen so that labelled documents of both kinds are told apart best.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ BUCKETS = 10_000
 LABELLED = 20_000
 #: n-grams that the target model takes over from the raw model, in proportion: what so few labelled rows never show is not taken for unwanted.
 SMOOTHING = 10_000.0
-#: Share of the labelled target documents that k is set to keep.
+#: Share of the labelled target documents that the bound is set to keep where none of the other kind are labelled.
 KEEP_TARGET = 0.999
+#: Room for the noise, so that texts too short to tell stay: Gumbel noise is under -3 with probability 2e-9.
+NOISE = 3.0
 BINS = 4096
 
 
@@ -115,31 +120,52 @@ def threshold_of_top(values: DataFrame, column: str, k: int) -> float:
     return low
 
 
+def per_ngram() -> Column:
+    """The perturbed weight, with room for its noise, by n-gram."""
+    return (F.col("perturbed") + NOISE) / F.greatest(F.col("n_ngrams"), F.lit(1))
+
+
+def best_bound(score: np.ndarray, wanted: np.ndarray, keep_target: float) -> float:
+    """The bound that best parts scores of wanted rows (at or over it) from others: the share of others under it less that of wanted ones is greatest.
+
+    It lies midway between two scores. With wanted rows alone, their quantile that keeps ``keep_target``; with none, ``-inf``.
+    """
+    if not wanted.any():
+        return float("-inf")
+    if wanted.all():
+        return float(np.quantile(score, 1 - keep_target))
+    order = np.argsort(score, kind="stable")
+    score, wanted = score[order], wanted[order]
+    gain = np.cumsum(~wanted)[:-1] / (~wanted).sum() - np.cumsum(wanted)[:-1] / wanted.sum()
+    gain[score[1:] == score[:-1]] = -2
+    i = int(np.argmax(gain))
+    return float((score[i] + score[i + 1]) / 2) if gain[i] > 0 else float("-inf")
+
+
 def resample(
     docs: DataFrame, labels: DataFrame, k: int | None = None, label_col: str = "quality", target: int = 1, labelled: int = LABELLED,
     keep_target: float = KEEP_TARGET, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None,
 ) -> DataFrame:
-    """Per row: id, ``n_ngrams``, ``log_weight``, ``perturbed`` (the weight with Gumbel noise) and ``kept``: whether it is among the k greatest.
-
-    The raw model is counted over all documents. The target model (from one half), and where ``k`` is not given the
-    perturbed weight that the share ``keep_target`` of labelled target documents reaches (k is then
-    the number of documents that reach it), come from at most ``labelled`` labelled rows. Null and
-    empty texts have weight 0 and take part as such; ties at the k-th weight (rows repeated with
-    their id) are all kept. Without labels of the wanted kind all weights are 0 and, with no ``k``, everything is kept. ``carry`` names a column of ``docs`` that comes through unchanged. Null ids and
+    """Per row: id, ``n_ngrams``, ``log_weight``, ``perturbed`` (the weight with Gumbel noise) and ``kept``.
+
+    With ``k``, ``kept`` is whether the perturbed weight is among the k greatest; ties at the k-th
+    (rows repeated with their id) are all kept. Without, it is whether the perturbed weight by n-gram
+    reaches the bound that best parts labelled target documents from other labelled ones (with target
+    documents alone, the bound that the share ``keep_target`` of them reaches). The raw model is
+    counted over all documents, the target model over one half of at most ``labelled`` labelled rows;
+    the other half chooses the bound. Null and empty texts have weight 0 and take part as such. Without labels of the wanted kind all weights are 0 and, with no ``k``, everything is kept. ``carry`` names a column of ``docs`` that comes through unchanged. Null ids and
     extra columns pass without effect, an empty table gives no rows.
     """
-    wanted = with_labels(docs, sample(labels, label_col, labelled, id_col), id_col, text_col).where(F.col("y") == target).select("_id", "text")
-    # One half of the labelled documents makes the model; the other, which it has not seen, sets k.
+    known = with_labels(docs, sample(labels, label_col, labelled, id_col), id_col, text_col)
+    # One half of the labelled documents makes the model; the other, which it has not seen, chooses the bound.
     half = remainder("_id", 2)
-    p = bucket_counts(wanted.where(half == 0), "text")
+    p = bucket_counts(known.where((half == 0) & (F.col("y") == target)), "text")
     ratio = log_ratio(p, bucket_counts(docs, text_col)) if p.sum() else np.zeros(BUCKETS)
     weights = weigh(docs, ratio, id_col, text_col, carry)
     if k is not None:
-        least = threshold_of_top(weights, "perturbed", k)
-    elif p.sum():
-        own = weigh(wanted.where(half == 1), ratio, "_id", "text")
-        least = own.agg(F.percentile("perturbed", F.lit(1 - keep_target))).first()[0]  # of at most ``labelled`` rows
-        least = float("-inf") if least is None else least
-    else:
-        least = float("-inf")
-    return weights.withColumn("kept", F.col("perturbed") >= F.lit(least))
+        return weights.withColumn("kept", F.col("perturbed") >= F.lit(threshold_of_top(weights, "perturbed", k)))
+    bound = float("-inf")
+    if p.sum():
+        own = weigh(known.where(half == 1), ratio, "_id", "text", carry="y").select(per_ngram().alias("s"), "y").toArrow()  # at most ``labelled`` rows
+        bound = best_bound(own.column("s").to_numpy(), own.column("y").to_numpy() == target, keep_target)
+    return weights.withColumn("kept", per_ngram() >= F.lit(bound))
