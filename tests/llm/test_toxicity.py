@@ -79,3 +79,16 @@ def test_no_labels_and_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in T.toxicity(d, none).collect()} == {0.0}
     assert T.toxicity(d.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+
+
+def test_all_telling_terms_are_in_the_vectors(spark):
+    strong = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"][:600]  # too short for beginnings
+    toxic = [[strong[(37 * i + 13 * j) % 600] for j in range(30)] + (["wea"] if i < 14 else []) for i in range(400)]
+    ids = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 5]
+    texts = [" ".join(w) for w in toxic] + [f"plain text {i % 7}" for i in range(1200)]
+    labels = [(i, int(k < 400)) for k, i in zip(range(1600), ids, strict=False)]
+    query = next(i for i in range(9000, 9100) if zlib.crc32(str(i).encode()) % 5 == 0)
+    docs = [(i, t) for (i, _), t in zip(labels, texts, strict=True)] + [(query, "wea")]
+    got = {r.doc_id: r for r in T.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert got[query].held_out and len(got[query].evidence) == 3 and got[query].predicted == 1
+    assert all(e.label == 1 and docs[[x for x, _ in labels].index(e.doc_id)][1].endswith("wea") for e in got[query].evidence)

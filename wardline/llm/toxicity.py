@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their beginnings (4, 5 and 6 bytes), so that inflected forms meet. A chi-square
-test on labelled examples picks the terms that tell of label 1; their document frequencies are counted over all
-documents. The examples' vectors make an inverted index in blocks of examples, with the greatest
+test on labelled examples picks the terms that tell of label 1, all of them; other terms are in no vector.
+Document frequencies are counted over all documents. The examples' vectors make an inverted index in blocks of examples, with the greatest
 weight of each term in each block. A search visits blocks in order of their upper bounds and stops
 when no block left can hold a nearer example, so that its neighbours are exactly the nearest.
 """
@@ -24,8 +24,8 @@ from .tokenizing import slices
 
 #: Labelled rows that the examples are taken from at most.
 EXAMPLES = 20_000
-#: Terms at most, and the least chi-square of one (p under 1e-7).
-TERMS, CHI_SQUARE = 512, 30.0
+#: The least chi-square of a term (p under 1e-7).
+CHI_SQUARE = 30.0
 #: Times that a term is commoner under label 1, at least: common words that lean a little do not tell.
 LIFT = 3.0
 NEIGHBOURS = 15
@@ -71,8 +71,8 @@ def texts_in(part: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]
 
 
-def telling_terms(train: DataFrame, most: int, least: float) -> tuple[np.ndarray, int, int]:
-    """Hashes (sorted) of the terms commoner under label 1 with the greatest chi-square, and the numbers of examples of either label."""
+def telling_terms(train: DataFrame, least: float) -> tuple[np.ndarray, int, int]:
+    """Hashes (sorted) of the terms commoner under label 1 with a chi-square of ``least`` at least, and the numbers of examples of either label."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,8 +91,8 @@ def telling_terms(train: DataFrame, most: int, least: float) -> tuple[np.ndarray
     counts = train.select("text", "y").mapInArrow(count, "h long, a long, b long").groupBy("h").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
     a, b = F.col("a"), F.col("b")
     chi = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (float(n0) * n1 * (a + b) * (n0 + n1 - a - b))
-    best = counts.where((a + b < n0 + n1) & (a * n0 > LIFT * b * n1)).withColumn("chi", chi).where(F.col("chi") >= least).orderBy(F.desc("chi"), "h").limit(most)
-    return np.sort(np.array([r.h for r in best.collect()], np.int64).view(np.uint64)), n0, n1
+    best = counts.where((a + b < n0 + n1) & (a * n0 > LIFT * b * n1)).withColumn("chi", chi).where(F.col("chi") >= least)
+    return np.sort(np.array([r.h for r in best.select("h").collect()], np.int64).view(np.uint64)), n0, n1
 
 
 def document_frequencies(docs: DataFrame, wanted: np.ndarray, text_col: str) -> tuple[np.ndarray, int]:
@@ -175,7 +175,7 @@ def vectors(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarra
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out_mod: int = 5, examples: int = EXAMPLES, terms: int = TERMS,
+    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out_mod: int = 5, examples: int = EXAMPLES,
     neighbours: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None,
 ) -> DataFrame:
     """Per row: id, ``held_out``, ``score`` (0 to 1), ``predicted`` (score >= 0.5) and ``evidence`` (nearest examples: id, cosine, label).
@@ -188,7 +188,7 @@ def toxicity(
     """
     sampled = sample(labels.where(remainder(id_col, held_out_mod) != 0), label_col, examples, id_col)
     train = with_labels(docs, sampled, id_col, text_col)
-    wanted, n0, n1 = telling_terms(train, terms, CHI_SQUARE)
+    wanted, n0, n1 = telling_terms(train, CHI_SQUARE)
     df, n = document_frequencies(docs, wanted, text_col) if len(wanted) else (np.empty(0, np.int64), 0)
     idf = np.log((1 + n) / (1 + df)) + 1
 
