@@ -5,11 +5,14 @@
    equal coordinates, so two linked classes share a posting among the ``coordinates - matches + 1``
    rarest of each (prefix filter, postings in order of their number of classes). Values that one
    class alone has can never be shared: they fill the prefix first and are skipped.
-3. Classes that share a prefix posting are joined through its least class, not pair by pair; the
-   connected parts (clusters) hold every possible link. A cluster's classes meet in blocks of bounded
-   size, where collisions of signatures are counted; pairs over the threshold and not yet connected
-   are confirmed on their full shingle sets. A block gives a forest, never its pairs.
-4. Components of the confirmed links, and the smallest id in each.
+3. Collisions with the least class of each prefix posting are counted first. Pairs over the threshold
+   are confirmed on their full shingle sets, and confirmed links joined into components. Postings that
+   lie within one component are skipped from here on: in a group of near copies, nearly all of them.
+4. In the other postings, classes outside the least class's component meet the posting's classes in
+   blocks of bounded size, which hold signatures, not texts. Collisions are counted coordinate by
+   coordinate; a pair is skipped once it cannot reach the threshold any more, or if it is connected
+   already. What is left over is confirmed like before.
+5. Components of all confirmed links, and the smallest id in each.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from .tokenizing import slices
 COORDINATES = 64
 #: Of 64 coordinates, a pair of similarity 0.85 matches in fewer than this many with probability 2.4e-6; a more alike pair, less often.
 MATCHES = 40
-#: Classes of a cluster that meet in one block, from each side.
-BLOCK = 1500
+#: Classes of a posting that meet in one block, from each side.
+BLOCK = 4096
+#: Classes whose texts are found by a broadcast of their keys at most; more are found by a shuffle.
+FEW = 500_000
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -66,39 +71,20 @@ def signatures(docs: DataFrame, coordinates: int, width: int, id_col: str, text_
     return docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("thash"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
-def clusters(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """``node`` and ``cluster`` of the classes that share a prefix posting with another."""
+def prefix_postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
+    """``node``, ``p`` and ``hub`` (the least node under ``p``) of prefix postings that hold more than one class."""
     prefix = coordinates - matches + 1
     postings = classes.select("node", F.posexplode("sig").alias("c", "v")).select(
         "node", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long")).alias("p")
     )
-    often = postings.groupBy("p").agg(F.count("*").alias("often"), F.min("node").alias("hub")).where("often > 1")
-    shared = postings.join(often.select("p", "often"), "p")
+    often = postings.groupBy("p").agg(F.count("*").alias("often")).where("often > 1")
+    shared = postings.join(often, "p")
     # Values of one class alone come first in its prefix: it keeps as many of its shared ones as are left, rarest first.
     kept = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "p"))).alias("s"))  # at most ``coordinates`` a node
     kept = kept.select("node", F.explode(F.slice("s", 1, F.greatest(F.lit(0), F.size("s") - (coordinates - prefix)))).alias("e")).select("node", F.col("e.p").alias("p"))
     kept = scratch.write(kept, "prefixes")
-    hubs = kept.groupBy("p").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    edges = kept.join(hubs, "p").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    return connected_components(edges).select("node", F.col("root").alias("cluster"))
-
-
-class Forest:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
+    hubs = kept.groupBy("p").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1").select("p", "hub")
+    return kept.join(hubs, "p").select("node", "p", "hub")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -113,67 +99,110 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def block_links(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, matches: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between rows ``left`` and rows ``right`` (equal for a block with itself)."""
-    if len(left) == 0 or len(right) == 0:
-        return []
-    forest, found = Forest(len(sets)), []
-    sizes = np.array([len(s) for s in sets])
-    step = max(1, (1 << 22) // max(1, len(right) * sig.shape[1]))
-    pairs = []
-    for at in range(0, len(left), step):
-        rows = left[at : at + step]
-        count = np.zeros((len(rows), len(right)), np.uint8 if sig.shape[1] < 256 else np.uint16)
-        for c in range(sig.shape[1]):
-            count += sig[rows, c][:, None] == sig[right, c][None, :]
-        i, j = np.nonzero(count >= matches)
-        u, v, n = rows[i], right[j], count[i, j]
-        ok = (u < v) if left is right else np.ones(len(u), bool)
-        ok &= 100 * np.minimum(sizes[u], sizes[v]) >= percent * np.maximum(sizes[u], sizes[v])
-        pairs.append(np.stack([n[ok].astype(np.int64), u[ok], v[ok]]))
-    n, u, v = np.concatenate(pairs, axis=1)
-    order = np.argsort(-n, kind="stable")  # the most alike first: they connect most
-    for x, y in zip(u[order].tolist(), v[order].tolist(), strict=True):
-        if forest.find(x) != forest.find(y) and linked(sets[x], sets[y], percent):
-            forest.join(x, y)
-            found.append((x, y))
-    return found
-
-
-def confirmed(members: DataFrame, matches: int, percent: int, width: int) -> DataFrame:
-    """Edges ``u``, ``v`` of a forest of links from ``members`` (block, side, node, sig, text); a block's rows are all in one task."""
-
-    def block(rows: list[tuple]) -> list[tuple[int, int]]:
-        side = np.array([r[0] for r in rows])
-        sig = np.stack([r[2] for r in rows])
-        sets = shingles([r[3] for r in rows], width)
-        left = np.flatnonzero(side != 1)
-        right = left if (side == 2).all() else np.flatnonzero(side != 0)
-        return [(rows[x][1], rows[y][1]) for x, y in block_links(sig, sets, left, right, matches, percent)]
+def signature_matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(rows, -1 if rows else 0)
+
+
+def colliding(pairs: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
+    """``pairs`` (u, v) whose signatures collide in ``matches`` coordinates and whose sets are near enough in size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (signature_matrix(batch.column(k), batch.num_rows) for k in (2, 4))
+            n, m = (np.asarray(batch.column(k)) for k in (3, 5))
+            ok = ((x == y).sum(1) >= matches) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], names=["u", "v"])
+
+    of = lambda x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"{x}_sig"), F.col("n").alias(f"{x}_n"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_sig", "u_n", "v_sig", "v_n")
+    return both.mapInArrow(run, "u long, v long")
+
+
+def remaining_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], matches: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of ``x`` and ``y`` (each: nodes, components, home, sizes, signatures) not yet connected that reach ``matches`` collisions.
+
+    ``home`` is the component of the posting's least class. Rows outside of it stand on both sides, and their pairs come out once.
+    """
+    (n1, c1, _, s1, sig1), (n2, c2, home, s2, sig2) = x, y
+    coordinates = sig1.shape[1]
+    half = coordinates // 2
+    step = max(1, (1 << 22) // max(1, len(n2)))
+    for a in range(0, len(n1), step):
+        rows = slice(a, a + step)
+        count = np.zeros((len(n1[rows]), len(n2)), np.uint16)
+        for c in range(half):
+            count += sig1[rows, c][:, None] == sig2[:, c][None, :]
+        i, j = np.nonzero(count >= matches - (coordinates - half))
+        u, v, sofar = i + a, j, count[i, j]
+        ok = (c1[u] != c2[v]) & ((c2[v] == home[v]) | (n1[u] < n2[v])) & (100 * np.minimum(s1[u], s2[v]) >= percent * np.maximum(s1[u], s2[v]))
+        u, v, sofar = u[ok], v[ok], sofar[ok].astype(np.int64)
+        for b in range(0, len(u), 1 << 18):
+            p, q = u[b : b + (1 << 18)], v[b : b + (1 << 18)]
+            own = sofar[b : b + (1 << 18)] + (sig1[p, half:] == sig2[q, half:]).sum(1) >= matches
+            yield np.maximum(n1[p[own]], n2[q[own]]), np.minimum(n1[p[own]], n2[q[own]])
+
+
+def cross_pairs(postings: DataFrame, components: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Pairs (u, v) that share a prefix posting, reach ``matches`` collisions and are in different ``components`` (node, root)."""
+    placed = postings.join(components, "node", "left").select("p", "node", (F.col("node") == F.col("hub")).alias("is_hub"), F.coalesce("root", "node").alias("c"))
+    open_ = placed.groupBy("p").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max(F.when(F.col("is_hub"), F.col("c"))).alias("home"), F.count("*").alias("n")).where("a <> b")
+    inside = placed.join(open_.select("p", "home", "n"), "p")
+    outside = inside.groupBy("p").agg(F.count_if(F.col("c") != F.col("home")).alias("m"))
+    inside = inside.join(outside, "p").join(classes.select("node", "sig", F.col("n").alias("size")), "node")
+    inside = scratch.write(inside.select("p", "node", "c", "home", "size", "sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("xs"), F.ceil(F.col("n") / BLOCK).cast("int").alias("ys")), "open")
+    part = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    other = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    rest = ["node", "c", "home", "size", "sig"]
+    left = inside.where("c <> home").select("p", part("xs").alias("x"), other("ys").alias("y"), F.lit(0).alias("side"), *rest)
+    right = inside.select("p", other("xs").alias("x"), part("ys").alias("y"), F.lit(1).alias("side"), *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, key, found = [], None, []
+        key, held = None, ([], [])
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([max(e) for e in found], pa.int64()), pa.array([min(e) for e in found], pa.int64())], names=["u", "v"])
-            found.clear()
-            return out
+        def block() -> Iterator[pa.RecordBatch]:
+            if held[0] and held[1]:
+                x, y = (tuple(np.concatenate([r[k] for r in side]) for k in range(5)) for side in held)
+                for u, v in remaining_pairs(x, y, matches, percent):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            sig = np.asarray(batch.column(3).flatten()).reshape(batch.num_rows, -1)
-            for i, (b, s, n, t) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True)):
-                if b != key:
-                    found += block(rows) if len(rows) > 1 else []
-                    rows, key = [], b
-                rows.append((s, n, sig[i].copy(), t.encode()))
-            if len(found) > 10_000:
-                yield flush()
-        found += block(rows) if len(rows) > 1 else []
-        yield flush()
+            k = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)], axis=1)
+            row = (*(np.asarray(batch.column(i)) for i in range(4, 8)), signature_matrix(batch.column(8), batch.num_rows))
+            cuts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(1)]))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(k)], strict=True):
+                if tuple(k[a, :3]) != key:
+                    yield from block()
+                    key, held = tuple(k[a, :3]), ([], [])
+                held[int(k[a, 3])].append(tuple(c[a:b] for c in row))
+        yield from block()
+
+    keys = ["p", "x", "y"]
+    return left.union(right).repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "u long, v long").distinct()
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """``pairs`` (u, v) whose full shingle sets are linked."""
 
-    return members.mapInArrow(run, "u long, v long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                u, v = (part.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
+                one = list(dict.fromkeys(v))  # a class that many are held against stands in one row after the other
+                of = dict(zip(one, shingles(one, width), strict=True))
+                ok = pa.array([linked(x, of[y], percent) for x, y in zip(shingles(u, width), v, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(ok) for k in (0, 1)], names=["u", "v"])
+
+    pairs = scratch.write(pairs, "pairs")
+    wanted = scratch.write(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(classes.select("node", "doc", "thash"), "node"), "wanted")
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    whole = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_thash"))
+    texts = whole.join(wanted, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("thash") == F.col("_thash"))).groupBy("node").agg(F.first("_text").alias("_text"))
+    texts = scratch.write(texts, "texts")
+    of = lambda x: texts.select(F.col("node").alias(x), F.col("_text").alias(f"{x}_text"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(
@@ -190,30 +219,20 @@ def near_duplicates(
     own = scratch.write(signatures(docs, coordinates, width, id_col, text_col), "signatures")
     sets = own.where("n > 0")
     classes = sets.groupBy("k1", "k2").agg(F.min(F.struct(F.col(id_col).alias("doc"), "thash", "n", "sig")).alias("rep"), F.min(id_col).alias("least"))
-    classes = classes.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "least", F.col("rep.doc").alias("doc"), F.col("rep.thash").alias("thash"), F.col("rep.sig").alias("sig"))
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "least", F.col("rep.doc").alias("doc"), F.col("rep.thash").alias("thash"), F.col("rep.n").alias("n"), F.col("rep.sig").alias("sig"))
     classes = scratch.write(classes, "classes")
-    near = scratch.write(clusters(classes, coordinates, matches), "clusters")
-
-    # Blocks: a cluster in parts of about BLOCK classes, each part with itself and with every other.
-    sizes = near.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    placed = near.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    placed = placed.select("node", "cluster", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    placed = placed.select(
-        "node",
-        F.struct("cluster", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")).alias("_b"),
-        F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    members = near.select("node").join(classes.select("node", "doc", "thash", "sig"), "node")
-    whole = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_thash"))
-    texts = members.join(whole, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("thash") == F.col("_thash"))).select("node", "sig", "_text").dropDuplicates(["node"])
-    blocks = placed.join(texts, "node").select(F.concat_ws("/", "_b.cluster", "_b.a", "_b.b").alias("block"), "side", "node", "sig", "_text")
-    links = scratch.write(confirmed(blocks.repartition("block").sortWithinPartitions("block"), matches, percent, width), "links")
-
-    roots = connected_components(links)
-    least = classes.join(roots, "node").select("k1", "k2", "least", "root")
-    of_root = least.groupBy("root").agg(F.min("least").alias("of_root"))
-    of_class = classes.select("k1", "k2", "least").join(least.join(of_root, "root").select("k1", "k2", "of_root"), ["k1", "k2"], "left")
-    of_class = of_class.select("k1", "k2", F.coalesce("of_root", "least").alias("component_id"))
+    confirm = lambda pairs: confirmed(pairs, classes, docs, percent, width, id_col, text_col)
+
+    postings = scratch.write(prefix_postings(classes, coordinates, matches), "postings")
+    hubs = postings.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    first = scratch.write(connected_components(confirm(colliding(hubs, classes, matches, percent))), "components")
+    second = confirm(cross_pairs(postings, first, classes, matches, percent))
+    roots = connected_components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(second))
+
+    inside = classes.select("node", "least").join(roots, "node")
+    of_root = inside.groupBy("root").agg(F.min("least").alias("of_root"))
+    named = inside.join(of_root, "root").select("node", "of_root")
+    of_class = classes.select("node", "k1", "k2", "least").join(named, "node", "left").select("k1", "k2", F.coalesce("of_root", "least").alias("component_id"))
     found = own.drop("sig", "thash").join(of_class, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col))
     return found.select(id_col, F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col(id_col)).alias("kept"))

@@ -7,18 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables written and not released; only the pipeline, whose stages are written and reread, releases them.
+#: Tables written and not released. Operators release those that nothing they return reads; the pipeline, whose stages are written and reread, the others.
 _written: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (local tests), a new temporary folder set for the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session; where it is unset, a new temporary folder set for a local session, and an error on a cluster, whose executors would not see each other's."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        set_dir = spark.sparkContext.getCheckpointDir()
-        found = set_dir if set_dir else tempfile.mkdtemp(prefix="wardline-")
-        if not set_dir:
-            spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="wardline-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -35,6 +35,12 @@ def written() -> list[str]:
     return list(_written)
 
 
+def tables_of(df: DataFrame) -> list[str]:
+    """The tables written here that ``df`` reads."""
+    read = df.inputFiles()
+    return [p for p in _written if any(f"/{p.rpartition('/')[2]}/" in f for f in read)]
+
+
 def release(spark: SparkSession, paths: list[str], needed_by: DataFrame | None = None) -> None:
     """Delete tables written here, but for those that ``needed_by`` reads."""
     jvm = spark.sparkContext._jvm
