@@ -51,7 +51,7 @@ def corpus(seed=3):
     return [*rows, (1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "x " * 500), (8, "x " * 900), (None, "one two"), (None, "a lone null id here"), (900, rows[100][1]), (900, rows[100][1])]
 
 
-@pytest.mark.parametrize("block", [1500, 7])
+@pytest.mark.parametrize("block", [2000, 7])
 def test_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = corpus()

@@ -8,10 +8,12 @@
 3. Collisions with the least class of each prefix posting are counted first. Pairs over the threshold
    are confirmed on their full shingle sets, and confirmed links joined into components. Postings that
    lie within one component are skipped from here on: in a group of near copies, nearly all of them.
-4. In the other postings, classes outside the least class's component meet the posting's classes in
-   blocks of bounded size, which hold signatures, not texts. Collisions are counted coordinate by
-   coordinate; a pair is skipped once it cannot reach the threshold any more, or if it is connected
-   already. What is left over is confirmed like before.
+4. The other postings, joined where they share their least class, make clusters. A cluster's classes
+   outside its largest component meet all of its classes in blocks of bounded size and bytes.
+   Collisions are counted coordinate by coordinate; a pair is skipped once it cannot reach the
+   threshold any more, or if it is connected already. Pairs over the threshold are confirmed in the
+   block, by counting shared shingles in the block's own postings. A block gives a forest, never its
+   pairs.
 5. Components of all confirmed links, and the smallest id in each.
 """
 
@@ -33,8 +35,8 @@ from .tokenizing import slices
 COORDINATES = 64
 #: Of 64 coordinates, a pair of similarity 0.85 matches in fewer than this many with probability 2.4e-6; a more alike pair, less often.
 MATCHES = 40
-#: Classes of a posting that meet in one block, from each side.
-BLOCK = 4096
+#: Classes, and shingles of theirs, that meet in one block, from each side, about.
+BLOCK, BLOCK_SHINGLES = 2000, 4_000_000
 #: Classes whose texts are found by a broadcast of their keys at most; more are found by a shuffle.
 FEW = 500_000
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,68 +120,108 @@ def colliding(pairs: DataFrame, classes: DataFrame, matches: int, percent: int)
     return both.mapInArrow(run, "u long, v long")
 
 
-def remaining_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], matches: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of ``x`` and ``y`` (each: nodes, components, home, sizes, signatures) not yet connected that reach ``matches`` collisions.
+class Postings:
+    """How many members each of many sets shares with a given one."""
 
-    ``home`` is the component of the posting's least class. Rows outside of it stand on both sides, and their pairs come out once.
-    """
-    (n1, c1, _, s1, sig1), (n2, c2, home, s2, sig2) = x, y
+    def __init__(self, sets: list[np.ndarray]):
+        value = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        by = np.argsort(value, kind="stable")
+        self.owner, value = owner[by], value[by]
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.empty(0, np.int64)
+        self.value, self.start, self.sets = value[first], np.append(first, len(value)), len(sets)
+
+    def shared(self, x: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.value, x)
+        at[at == len(self.value)] = 0
+        at = at[self.value[at] == x] if len(self.value) else at[:0]
+        size = self.start[at + 1] - self.start[at]
+        place = np.arange(size.sum()) + np.repeat(self.start[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(at) else at
+        return np.bincount(self.owner[place], minlength=self.sets)
+
+
+def block_links(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], x_texts: list[bytes], y_texts: list[bytes], matches: int, percent: int, width: int) -> list[tuple[int, int]]:
+    """Links between rows of ``x`` and rows of ``y`` (each: nodes, components, sizes, signatures, whether outside the largest component) that join what was not joined before."""
+    (n1, c1, s1, sig1, _), (n2, c2, s2, sig2, outside) = x, y
     coordinates = sig1.shape[1]
     half = coordinates // 2
-    step = max(1, (1 << 22) // max(1, len(n2)))
-    for a in range(0, len(n1), step):
-        rows = slice(a, a + step)
-        count = np.zeros((len(n1[rows]), len(n2)), np.uint16)
-        for c in range(half):
-            count += sig1[rows, c][:, None] == sig2[:, c][None, :]
-        i, j = np.nonzero(count >= matches - (coordinates - half))
-        u, v, sofar = i + a, j, count[i, j]
-        ok = (c1[u] != c2[v]) & ((c2[v] == home[v]) | (n1[u] < n2[v])) & (100 * np.minimum(s1[u], s2[v]) >= percent * np.maximum(s1[u], s2[v]))
-        u, v, sofar = u[ok], v[ok], sofar[ok].astype(np.int64)
-        for b in range(0, len(u), 1 << 18):
-            p, q = u[b : b + (1 << 18)], v[b : b + (1 << 18)]
-            own = sofar[b : b + (1 << 18)] + (sig1[p, half:] == sig2[q, half:]).sum(1) >= matches
-            yield np.maximum(n1[p[own]], n2[q[own]]), np.minimum(n1[p[own]], n2[q[own]])
-
-
-def cross_pairs(postings: DataFrame, components: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Pairs (u, v) that share a prefix posting, reach ``matches`` collisions and are in different ``components`` (node, root)."""
-    placed = postings.join(components, "node", "left").select("p", "node", (F.col("node") == F.col("hub")).alias("is_hub"), F.coalesce("root", "node").alias("c"))
-    open_ = placed.groupBy("p").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max(F.when(F.col("is_hub"), F.col("c"))).alias("home"), F.count("*").alias("n")).where("a <> b")
-    inside = placed.join(open_.select("p", "home", "n"), "p")
-    outside = inside.groupBy("p").agg(F.count_if(F.col("c") != F.col("home")).alias("m"))
-    inside = inside.join(outside, "p").join(classes.select("node", "sig", F.col("n").alias("size")), "node")
-    inside = scratch.write(inside.select("p", "node", "c", "home", "size", "sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("xs"), F.ceil(F.col("n") / BLOCK).cast("int").alias("ys")), "open")
+    components, local = np.unique(np.concatenate([c1, c2]), return_inverse=True)
+    label, l1, l2 = np.arange(len(components)), local[: len(c1)], local[len(c1) :]
+    postings, found = Postings(shingles(y_texts, width)), []
+    for a in range(0, len(n1), 256):
+        for i, own in enumerate(shingles(x_texts[a : a + 256], width), a):
+            # Rows outside stand on both sides: their pairs are looked at once.
+            able = (label[l2] != label[l1[i]]) & (~outside | (n1[i] < n2)) & (100 * np.minimum(s1[i], s2) >= percent * np.maximum(s1[i], s2))
+            at = np.flatnonzero(able)
+            count = (sig2[at, :half] == sig1[i, :half]).sum(1)
+            at, count = at[count >= matches - (coordinates - half)], count[count >= matches - (coordinates - half)]
+            at = at[count + (sig2[at, half:] == sig1[i, half:]).sum(1) >= matches]
+            if len(at) == 0:
+                continue
+            both = postings.shared(own)[at]
+            for j in at[100 * both >= percent * (len(own) + s2[at] - both)].tolist():
+                p, q = label[l1[i]], label[l2[j]]
+                if p != q:
+                    label[label == q] = p
+                    found.append((max(n1[i], n2[j]), min(n1[i], n2[j])))
+    return found
+
+
+def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``node`` and ``_text`` (of one of its documents) of classes."""
+    wanted = scratch.write(nodes.join(classes.select("node", "doc", "thash"), "node"), "wanted")
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    whole = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_thash"))
+    texts = whole.join(wanted, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("thash") == F.col("_thash"))).groupBy("node").agg(F.first("_text").alias("_text"))
+    return scratch.write(texts, "texts")
+
+
+def cluster_links(postings: DataFrame, components: DataFrame, classes: DataFrame, docs: DataFrame, matches: int, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (u, v), a forest for each block, between classes that share a prefix posting and are in different ``components`` (node, root)."""
+    placed = postings.join(components, "node", "left").select("p", "node", "hub", F.coalesce("root", "node").alias("c"))
+    open_ = placed.groupBy("p").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("p")
+    edges = placed.join(open_, "p").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    clusters = connected_components(edges).withColumnRenamed("root", "cluster")
+    members = clusters.join(components, "node", "left").select("cluster", "node", F.coalesce("root", "node").alias("c")).join(classes.select("node", "n", "sig"), "node")
+    members = scratch.write(members, "members")
+    by_component = members.groupBy("cluster", "c").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    weight = lambda k, s: F.ceil(F.greatest(k / F.lit(BLOCK), s / F.lit(BLOCK_SHINGLES))).cast("int")
+    sizes = by_component.groupBy("cluster").agg(F.sum("k").alias("k"), F.sum("s").alias("s"), F.max(F.struct("k", "s", "c")).alias("home")).where("k > home.k")
+    sizes = sizes.select("cluster", F.col("home.c").alias("home"), weight(F.col("k") - F.col("home.k"), F.col("s") - F.col("home.s")).alias("xs"), weight(F.col("k"), F.col("s")).alias("ys"))
+    inside = members.join(sizes, "cluster").join(texts_of(members.select("node"), classes, docs, id_col, text_col), "node").withColumn("outside", F.col("c") != F.col("home"))
     part = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
     other = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    rest = ["node", "c", "home", "size", "sig"]
-    left = inside.where("c <> home").select("p", part("xs").alias("x"), other("ys").alias("y"), F.lit(0).alias("side"), *rest)
-    right = inside.select("p", other("xs").alias("x"), part("ys").alias("y"), F.lit(1).alias("side"), *rest)
+    rest = ["node", "c", "n", "sig", "outside", "_text"]
+    left = inside.where("outside").select("cluster", part("xs").alias("x"), other("ys").alias("y"), F.lit(0).alias("side"), *rest)
+    right = inside.select("cluster", other("xs").alias("x"), part("ys").alias("y"), F.lit(1).alias("side"), *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, ([], [])
 
-        def block() -> Iterator[pa.RecordBatch]:
+        def block() -> pa.RecordBatch:
+            found = []
             if held[0] and held[1]:
                 x, y = (tuple(np.concatenate([r[k] for r in side]) for k in range(5)) for side in held)
-                for u, v in remaining_pairs(x, y, matches, percent):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                found = block_links(x, y, *([t for r in side for t in r[5]] for side in held), matches, percent, width)
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             k = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)], axis=1)
-            row = (*(np.asarray(batch.column(i)) for i in range(4, 8)), signature_matrix(batch.column(8), batch.num_rows))
+            row = (*(np.asarray(batch.column(i)) for i in (4, 5, 6)), signature_matrix(batch.column(7), batch.num_rows), batch.column(8).to_numpy(zero_copy_only=False).astype(bool))
+            texts = batch.column(9).cast(pa.binary()).to_pylist()
             cuts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(1)]))
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(k)], strict=True):
                 if tuple(k[a, :3]) != key:
-                    yield from block()
+                    yield block()
                     key, held = tuple(k[a, :3]), ([], [])
-                held[int(k[a, 3])].append(tuple(c[a:b] for c in row))
-        yield from block()
+                held[int(k[a, 3])].append((*(c[a:b].copy() for c in row), texts[a:b]))
+        yield block()
 
-    keys = ["p", "x", "y"]
-    return left.union(right).repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "u long, v long").distinct()
+    keys = ["cluster", "x", "y"]
+    return left.union(right).repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "u long, v long")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -195,12 +237,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
                 yield pa.RecordBatch.from_arrays([part.column(k).filter(ok) for k in (0, 1)], names=["u", "v"])
 
     pairs = scratch.write(pairs, "pairs")
-    wanted = scratch.write(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(classes.select("node", "doc", "thash"), "node"), "wanted")
-    if wanted.count() <= FEW:
-        wanted = F.broadcast(wanted)
-    whole = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_thash"))
-    texts = whole.join(wanted, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("thash") == F.col("_thash"))).groupBy("node").agg(F.first("_text").alias("_text"))
-    texts = scratch.write(texts, "texts")
+    texts = texts_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), classes, docs, id_col, text_col)
     of = lambda x: texts.select(F.col("node").alias(x), F.col("_text").alias(f"{x}_text"))
     return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
 
@@ -221,12 +258,11 @@ def near_duplicates(
     classes = sets.groupBy("k1", "k2").agg(F.min(F.struct(F.col(id_col).alias("doc"), "thash", "n", "sig")).alias("rep"), F.min(id_col).alias("least"))
     classes = classes.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "least", F.col("rep.doc").alias("doc"), F.col("rep.thash").alias("thash"), F.col("rep.n").alias("n"), F.col("rep.sig").alias("sig"))
     classes = scratch.write(classes, "classes")
-    confirm = lambda pairs: confirmed(pairs, classes, docs, percent, width, id_col, text_col)
 
     postings = scratch.write(prefix_postings(classes, coordinates, matches), "postings")
     hubs = postings.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    first = scratch.write(connected_components(confirm(colliding(hubs, classes, matches, percent))), "components")
-    second = confirm(cross_pairs(postings, first, classes, matches, percent))
+    first = scratch.write(connected_components(confirmed(colliding(hubs, classes, matches, percent), classes, docs, percent, width, id_col, text_col)), "components")
+    second = cluster_links(postings, first, classes, docs, matches, percent, width, id_col, text_col)
     roots = connected_components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(second))
 
     inside = classes.select("node", "least").join(roots, "node")
