@@ -92,3 +92,46 @@ def test_all_telling_terms_are_in_the_vectors(spark):
     got = {r.doc_id: r for r in T.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert got[query].held_out and len(got[query].evidence) == 3 and got[query].predicted == 1
     assert all(e.label == 1 and docs[[x for x, _ in labels].index(e.doc_id)][1].endswith("wea") for e in got[query].evidence)
+
+
+def test_whole_query_equals_brute_force(spark):
+    docs, labels = made(5, 260)
+    docs += [(5001, "Nastyone, (vilestuff)! -- \"quoted\" plain", "x"), (5002, "...", "x"), (5003, docs[8][1], "x")]
+    learnt = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 5}
+    tok = lambda t: [w for w in (x.strip(T.AROUND) for x in t.encode().lower().split()) if w]
+    text = {i: tok(t) for i, t, _ in docs}
+    terms = {w for i in learnt for w in text[i]}
+    df = {w: sum(w in set(x) for x in text.values()) for w in terms}
+    n = [sum(1 for y in learnt.values() if y == k) for k in (0, 1)]
+
+    def weight(w):
+        a, b = (sum(1 for i, y in learnt.items() if y == k and w in text[i]) + 0.5 for k in (1, 0))
+        c, d = n[1] + 1 - a, n[0] + 1 - b
+        return (np.log((1 + len(docs)) / (1 + df[w])) + 1) * (1 + max(0, np.log(a * d / b / c) - 2 * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)) ** 2)
+
+    weights = {w: weight(w) for w in terms}
+
+    def vector(ws):
+        v = {w: (1 + np.log(ws.count(w))) * weights[w] for w in set(ws) if w in terms}
+        return {w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+
+    vectors = {i: vector(text[i]) for i in text}
+    got = {r.doc_id: r for r in T.toxicity(spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    share = n[1] / sum(n)
+    for i in text:
+        near = sorted(((sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()), y) for j, y in learnt.items()), reverse=True)[:15]
+        votes = [(c * c / (1.0001 - min(c, 1)), y) for c, y in near if c > 0]
+        expected = (sum(v for v, y in votes if y) + 0.1 * share) / (sum(v for v, _ in votes) + 0.1)
+        assert abs(got[i].score - expected) < 2e-3 * max(1, expected), i
+        assert got[i].predicted == int(got[i].score >= 0.5)
+    assert got[5002].score == share and not got[5002].evidence
+
+
+def test_held_out_rows_of_the_shared_tables(spark):
+    d = "/root/testdata/sf0.1"
+    rows = T.toxicity(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).where("held_out").select("doc_id", "predicted").collect()
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    own = [(r.predicted, truth[r.doc_id]) for r in rows if truth.get(r.doc_id) is not None]
+    toxic, clean = [p for p, y in own if y], [p for p, y in own if not y]
+    print("held out: found", sum(toxic), "of", len(toxic), "false alarms", sum(clean), "of", len(clean))
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.01 * len(clean)

@@ -19,10 +19,19 @@ def thinned(rows: DataFrame, most: int, *key: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(*key, F.lit("thin")), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 1.1 * most / n + 100 / n)))
 
 
+def labelled(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
+    """``_id`` and ``y`` (0 or 1) of labelled rows; ids labelled twice count as their greater label, null ids and labels are left out."""
+    return labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+
+
+def picked(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of labelled rows (``_id``, ``y``), the ones least by hash."""
+    return thinned(rows, most, "_id").orderBy(F.xxhash64("_id"), "_id").limit(most)
+
+
 def sample(labels: DataFrame, label_col: str, most: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``most`` labelled ids with ``y`` (0 or 1), the ones least by hash; ids labelled twice count as their greater label, null ids and labels are left out."""
-    rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    return thinned(rows, most, id_col).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(most).select(F.col(id_col).alias("_id"), "y")
+    """At most ``most`` labelled ids with ``y``."""
+    return picked(labelled(labels, label_col, id_col), most)
 
 
 def with_labels(docs: DataFrame, sampled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

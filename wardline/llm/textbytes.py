@@ -39,7 +39,7 @@ class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of many texts, A-Z taken as a-z, and hashes of any part of them."""
 
     def __init__(self, texts: list[bytes]):
-        data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+        self.data = data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
         space = _SPACE[data]
         # A word starts after a space and ends before one.
         self.starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
@@ -58,6 +58,17 @@ class Words:
         #: Words of text i are numbers first[i] to first[i + 1] - 1.
         self.first = np.searchsorted(self.starts, np.concatenate([[1], 1 + np.cumsum(lengths)]))
 
+    def strip(self, around: bytes) -> None:
+        """Leave bytes of ``around`` out at both ends of each word; a word of nothing else becomes empty."""
+        out = np.zeros(256, bool)
+        out[list(around)] = True
+        for step, edge in ((1, self.starts), (-1, self.ends)):
+            open_ = np.arange(len(edge))
+            while len(open_ := open_[(self.starts[open_] < self.ends[open_]) & out[self.data[edge[open_] - (step < 0)]]]):
+                edge[open_] += step
+                if step > 0:
+                    self.place[open_] += 1
+
     def hashes(self, most: int | None = None) -> np.ndarray:
         """Of each word, or of its first ``most`` bytes."""
         ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)

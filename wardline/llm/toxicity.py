@@ -1,10 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their beginnings (4, 5 and 6 bytes), so that inflected forms meet. A chi-square
-test on labelled examples picks the terms that tell of label 1, all of them; other terms are in no vector.
-Document frequencies are counted over all documents. The examples' vectors make an inverted index in blocks of examples, with the greatest
-weight of each term in each block. A search visits blocks in order of their upper bounds and stops
-when no block left can hold a nearer example, so that its neighbours are exactly the nearest.
+Terms are all words of the examples, without punctuation around them; a word that no example has is in
+no vector. Document frequencies are counted over all documents. A term's weight is its TF-IDF, times
+how surely it is commoner under label 1 (1 for most terms): without this factor a few telling words
+are lost among hundreds of others. The examples' vectors make an inverted index in blocks of
+examples, with the greatest weight of each term in each block. A search visits the block of the
+greatest upper bound, then the blocks that could still hold a nearer example and no others, so that
+its neighbours are exactly the nearest.
 """
 
 from __future__ import annotations
@@ -16,63 +18,52 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .labelled import remainder, sample, with_labels
-from .textbytes import Words, mix
+from .labelled import labelled, picked, remainder, with_labels
+from .textbytes import Words
 from .tokenizing import slices
 
-#: Labelled rows that the examples are taken from at most.
-EXAMPLES = 20_000
-#: The least chi-square of a term (p under 1e-7).
-CHI_SQUARE = 30.0
-#: Times that a term is commoner under label 1, at least: common words that lean a little do not tell.
-LIFT = 3.0
+#: Examples of either label at most. Votes are weighted by the share of its label's rows that an example stands for.
+EXAMPLES = 2048
+#: Standard errors that a term's log odds under label 1 are lowered by before they count.
+SURE = 2.0
 NEIGHBOURS = 15
-BLOCK = 64
-PREFIXES = (4, 5, 6)
-#: Weight of the prior among the votes: neighbours that share one rare word by chance (cosines of 0.1 to 0.2) do not outvote it.
-PRIOR_VOTES = 2.0
+BLOCK = 256
+#: Weight of the prior (the share of label 1) among the votes.
+PRIOR_VOTES = 0.1
+#: ASCII punctuation that is no part of a word at its ends.
+AROUND = b"!\"'(),-.:;?[]_`{}~"
+#: Texts whose neighbours a task remembers.
+REMEMBERED = 5_000
 
 
 def terms_of(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (text, term) pairs and their counts; with ``wanted`` (sorted hashes), terms are places in it and others are left out."""
     words = Words(texts)
     text = np.repeat(np.arange(len(texts)), np.diff(words.first))
-    rows, terms = [], []
-    table = None
-    if wanted is not None:
-        table = np.zeros(1 << 16, bool)
-        table[wanted >> np.uint64(48)] = True
-    for k, most in enumerate((None, *PREFIXES)):
-        h = words.hashes(most)
-        if most is not None:
-            h = mix(h + np.uint64(k))
-        own = slice(None) if most is None else words.ends - words.starts >= most
-        h, t = h[own], text[own]
-        if table is not None:
-            maybe = np.flatnonzero(table[h >> np.uint64(48)])
-            h, t = h[maybe], t[maybe]
-            at = np.searchsorted(wanted, h)
-            at[at == len(wanted)] = 0
-            hit = wanted[at] == h if len(wanted) else np.zeros(len(h), bool)
-            h, t = at[hit].astype(np.uint64), t[hit]
-        rows.append(t)
-        terms.append(h)
-    t, h = np.concatenate(rows), np.concatenate(terms)
-    by = np.lexsort((h, t))
-    t, h = t[by], h[by]
-    new = np.concatenate([[True], (t[1:] != t[:-1]) | (h[1:] != h[:-1])]) if len(t) else np.empty(0, bool)
-    at = np.flatnonzero(new)
-    return t[at], h[at], np.diff(np.append(at, len(t)))
+    words.strip(AROUND)
+    own = words.ends > words.starts
+    h, t = words.hashes()[own], text[own]
+    if wanted is None:
+        values, h = np.unique(h, return_inverse=True)
+    else:
+        values = wanted
+        at = np.searchsorted(wanted, h)
+        at[at == len(wanted)] = 0
+        hit = wanted[at] == h if len(wanted) else np.zeros(len(h), bool)
+        h, t = at[hit], t[hit]
+    pairs, counts = np.unique(t * max(1, len(values)) + h, return_counts=True)
+    row, term = np.divmod(pairs, max(1, len(values)))
+    return row, term if wanted is not None else values[term], counts
 
 
 def texts_in(part: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]
 
 
-def telling_terms(train: DataFrame, least: float) -> tuple[np.ndarray, int, int]:
-    """Hashes (sorted) of the terms commoner under label 1 with a chi-square of ``least`` at least, and the numbers of examples of either label."""
+def example_terms(train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every term of the examples (hashes, sorted): in how many of label 1 and of label 0 it stands."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,15 +75,18 @@ def telling_terms(train: DataFrame, least: float) -> tuple[np.ndarray, int, int]
                 every = np.bincount(at, minlength=len(h))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ones), pa.array(every - ones)], names=["h", "a", "b"])
 
-    n = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    if not n0 or not n1:
-        return np.empty(0, np.uint64), n0, n1
-    counts = train.select("text", "y").mapInArrow(count, "h long, a long, b long").groupBy("h").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    chi = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (float(n0) * n1 * (a + b) * (n0 + n1 - a - b))
-    best = counts.where((a + b < n0 + n1) & (a * n0 > LIFT * b * n1)).withColumn("chi", chi).where(F.col("chi") >= least)
-    return np.sort(np.array([r.h for r in best.select("h").collect()], np.int64).view(np.uint64)), n0, n1
+    table = train.select("text", "y").mapInArrow(count, "h long, a long, b long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()  # terms of 2 * ``examples`` texts
+    h, a, b = (np.asarray(table.column(c).combine_chunks()) if table.num_rows else np.empty(0, np.int64) for c in ("h", "a", "b"))
+    h = h.view(np.uint64)
+    by = np.argsort(h)
+    return h[by], a[by], b[by]
+
+
+def relevance(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """1, and more for a term that is surely commoner under label 1: its log odds less SURE standard errors, squared."""
+    a, b, c, d = a + 0.5, b + 0.5, n1 - a + 0.5, n0 - b + 0.5
+    odds = np.log(a * d / (b * c)) - SURE * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return 1 + np.maximum(0, odds) ** 2
 
 
 def document_frequencies(docs: DataFrame, wanted: np.ndarray, text_col: str) -> tuple[np.ndarray, int]:
@@ -103,7 +97,7 @@ def document_frequencies(docs: DataFrame, wanted: np.ndarray, text_col: str) ->
         for batch in batches:
             n += batch.num_rows
             for part in slices(batch):
-                found += np.bincount(terms_of(texts_in(part, 0), wanted)[1].astype(np.int64), minlength=len(wanted))
+                found += np.bincount(terms_of(texts_in(part, 0), wanted)[1], minlength=len(wanted))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(wanted))), pa.array(np.concatenate([[n], found]))], names=["term", "n"])
 
     out = np.zeros(len(wanted) + 1, np.int64)
@@ -114,7 +108,7 @@ def document_frequencies(docs: DataFrame, wanted: np.ndarray, text_col: str) ->
 
 @dataclass
 class BlockMaxIndex:
-    """Postings by term and then example; ``pointer[t, b]`` is where those of term t in block b start, ``greatest[t, b]`` their greatest weight."""
+    """Postings by term and then example; ``pointer[t, b]`` is where those of term t in block b start, ``greatest[t, b]`` a bound of their weights."""
 
     example: np.ndarray
     weight: np.ndarray
@@ -126,7 +120,7 @@ class BlockMaxIndex:
     @staticmethod
     def build(rows: list[tuple[object, int, np.ndarray, np.ndarray]], terms: int) -> BlockMaxIndex:
         """``rows``: id, label, terms and weights (of unit length) of each example. Examples alike in their heaviest term stand together, so that bounds are tight."""
-        rows = sorted(rows, key=lambda r: (int(r[2][np.argmax(r[3])]), r[1], str(r[0])))
+        rows = sorted(rows, key=lambda r: (r[1], int(r[2][np.argmax(r[3])]), str(r[0])))
         n = len(rows)
         blocks = -(-n // BLOCK)
         example = np.repeat(np.arange(n), [len(r[2]) for r in rows]) if n else np.empty(0, np.int64)
@@ -134,40 +128,47 @@ class BlockMaxIndex:
         weight = np.concatenate([r[3] for r in rows]) if n else np.empty(0)
         by = np.lexsort((example, term))
         example, term, weight = example[by], term[by], weight[by]
-        cell = term * blocks + example // BLOCK
-        pointer = np.searchsorted(cell, np.arange(terms * blocks + 1))
-        greatest = np.zeros(terms * blocks)
-        np.maximum.at(greatest, cell, weight)
-        ends = np.concatenate([pointer[:-1].reshape(terms, blocks), pointer[1:].reshape(terms, blocks)[:, -1:]], axis=1) if blocks else np.zeros((terms, 1), np.int64)
-        return BlockMaxIndex(example, weight, ends, greatest.reshape(terms, blocks), np.array([r[1] for r in rows], np.int64), [r[0] for r in rows])
+        cell = term * max(1, blocks) + example // BLOCK
+        size = np.bincount(cell, minlength=terms * max(1, blocks))
+        pointer = np.zeros((terms, blocks + 1), np.int32)
+        if blocks:
+            ends = np.cumsum(size).reshape(terms, blocks)
+            pointer[:, 1:], pointer[:, 0] = ends, ends[:, 0] - size.reshape(terms, blocks)[:, 0]
+        greatest = np.zeros(terms * max(1, blocks), np.float32)
+        np.maximum.at(greatest, cell, np.nextafter(weight.astype(np.float32), np.float32(2)))
+        return BlockMaxIndex(example.astype(np.int32), weight, pointer, greatest.reshape(terms, max(1, blocks))[:, :blocks], np.array([r[1] for r in rows], np.int64), [r[0] for r in rows])
+
+    def cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """With every example, those outside ``blocks`` counting as 0."""
+        whole = len(blocks) == self.greatest.shape[1]
+        starts, ends = (self.pointer[terms, 0], self.pointer[terms, -1]) if whole else (self.pointer[np.ix_(terms, blocks)].ravel(), self.pointer[np.ix_(terms, blocks + 1)].ravel())
+        size = (ends - starts).astype(np.int64)
+        place = np.arange(size.sum()) + np.repeat(starts - (np.cumsum(size) - size), size)
+        w = np.repeat(weights if whole else np.repeat(weights, len(blocks)), size)
+        return np.bincount(self.example[place], weights=w * self.weight[place], minlength=len(self.ids))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine above 0 (ties to the lower number), and their cosines."""
-        found, score = np.empty(0, np.int64), np.empty(0)
+        none = np.empty(0, np.int64), np.empty(0)
         if not len(terms) or not self.greatest.shape[1]:
-            return found, score
+            return none
         bounds = weights @ self.greatest[terms]
-        order = np.argsort(-bounds, kind="stable")
-        pairs = list(zip(terms.tolist(), weights.tolist(), strict=True))
-        for b in order.tolist():
-            if bounds[b] <= 0 or (len(score) == k and bounds[b] < score[-1] * (1 - 1e-12)):
-                break
-            own = np.zeros(BLOCK)
-            for t, w in pairs:
-                p, q = self.pointer[t, b], self.pointer[t, b + 1]
-                if q > p:
-                    own[self.example[p:q] - b * BLOCK] += w * self.weight[p:q]
-            hit = np.flatnonzero(own > 0)
-            found, score = np.concatenate([found, hit + b * BLOCK]), np.concatenate([score, own[hit]])
-            best = np.lexsort((found, -score))[:k]
-            found, score = found[best], score[best]
-        return found, score
-
-
-def vectors(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """TF-IDF vectors of unit length, by text."""
-    term = term.astype(np.int64)
-    w = (1 + np.log(count)) * idf[term]
+        first = int(np.argmax(bounds))
+        score = self.cosines(terms, weights, np.array([first]))
+        least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+        others = np.flatnonzero((bounds >= least * (1 - 1e-9)) & (bounds > 0) & (np.arange(len(bounds)) != first))
+        if len(others) + 1 == len(bounds):
+            score = self.cosines(terms, weights, np.arange(len(bounds)))
+        elif len(others):
+            score += self.cosines(terms, weights, others)
+        found = np.flatnonzero(score >= max(np.partition(score, -k)[-k], 1e-300)) if len(score) > k else np.flatnonzero(score > 0)
+        found = found[np.lexsort((found, -score[found]))][:k]
+        return found, score[found]
+
+
+def vectors(row: np.ndarray, term: np.ndarray, count: np.ndarray, weight: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors of unit length, by text; ``weight`` is of one occurrence of each term."""
+    w = (1 + np.log(count)) * weight[term]
     length = np.sqrt(np.bincount(row, weights=w * w, minlength=n))
     w = w / length[row]
     ends = np.searchsorted(row, np.arange(n + 1))
@@ -180,35 +181,35 @@ def toxicity(
 ) -> DataFrame:
     """Per row: id, ``held_out``, ``score`` (0 to 1), ``predicted`` (score >= 0.5) and ``evidence`` (nearest examples: id, cosine, label).
 
-    Labels are learnt from at most ``examples`` labelled rows whose crc32(id as text) modulo
-    ``held_out_mod`` is not 0. Texts without a telling term (null, empty, of unknown words) get the
-    share of label 1 among such examples. With no labels of both kinds every score is the share of
-    label 1 among the labelled, or 0. Rows repeated, null ids and extra columns change nothing in a row's score; an empty
+    Labels are learnt from at most ``examples`` labelled rows of either label whose crc32(id as text)
+    modulo ``held_out_mod`` is not 0. Texts without a term of an example (null, empty, of unknown words) get the
+    share of label 1 among all labelled rows of that kind, as does every text where not both labels
+    are there (0 without labels). Rows repeated, null ids and extra columns change nothing in a row's score; an empty
     table gives no rows.
     """
-    sampled = sample(labels.where(remainder(id_col, held_out_mod) != 0), label_col, examples, id_col)
+    rows = labelled(labels.where(remainder(id_col, held_out_mod) != 0), label_col, id_col)
+    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = n.get(1, 0) / sum(n.values()) if n else 0.0
+    sampled = picked(rows.where("y = 0"), examples).union(picked(rows.where("y = 1"), examples))
     train = with_labels(docs, sampled, id_col, text_col)
-    wanted, n0, n1 = telling_terms(train, CHI_SQUARE)
-    df, n = document_frequencies(docs, wanted, text_col) if len(wanted) else (np.empty(0, np.int64), 0)
-    idf = np.log((1 + n) / (1 + df)) + 1
+    own = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    both = bool(own.get(0) and own.get(1))
+    wanted, a, b = example_terms(train) if both else (np.empty(0, np.uint64), np.empty(0), np.empty(0))
+    df, total = document_frequencies(docs, wanted, text_col) if both else (np.empty(0, np.int64), 0)
+    weight = (np.log((1 + total) / (1 + df)) + 1) * relevance(a, b, own.get(1, 0), own.get(0, 0))
+    stands_for = np.array([n.get(y, 0) / max(1, own.get(y, 0)) for y in (0, 1)])
 
     def vectorize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                row, term, count = terms_of(texts_in(part, 1), wanted)
-                own = vectors(row, term, count, idf, part.num_rows)
-                lists = [pa.array([x[k].tolist() for x in own], pa.list_(kind)) for k, kind in enumerate((pa.int64(), pa.float64()))]
+                found = vectors(*terms_of(texts_in(part, 1), wanted), weight, part.num_rows)
+                lists = [pa.array([x[k].tolist() for x in found], pa.list_(kind)) for k, kind in enumerate((pa.int64(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], names=["_id", "y", "t", "w"])
 
     id_type = docs.schema[id_col].dataType
-    made = train.select("_id", "text", "y").mapInArrow(vectorize, StructType([
-        StructField("_id", id_type), StructField("y", IntegerType()), StructField("t", ArrayType(train.sparkSession.range(1).schema["id"].dataType)), StructField("w", ArrayType(DoubleType())),
-    ])) if len(wanted) else None
-    rows = [(r["_id"], r.y, np.array(r.t, np.int64), np.array(r.w)) for r in made.where(F.size("t") > 0).collect()] if made is not None else []  # at most ``examples``
-    index = BlockMaxIndex.build(rows, len(wanted))
-    ones = sum(r[1] for r in rows)
-    without = (n1 - ones) / (n0 + n1 - len(rows)) if n0 + n1 > len(rows) else 0.0
-    share = n1 / (n0 + n1) if n0 + n1 else 0.0
+    schema = StructType([StructField("_id", id_type), StructField("y", IntegerType()), StructField("t", ArrayType(LongType())), StructField("w", ArrayType(DoubleType()))])
+    made = train.select("_id", "text", "y").mapInArrow(vectorize, schema).where(F.size("t") > 0).collect() if both else []  # at most 2 * ``examples``
+    index = BlockMaxIndex.build([(r["_id"], r.y, np.array(r.t, np.int64), np.array(r.w)) for r in made], len(wanted))
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     evidence = ArrayType(StructType([StructField(id_col, id_type), StructField("cosine", DoubleType()), StructField("label", IntegerType())]))
@@ -223,20 +224,19 @@ def toxicity(
         for batch in batches:
             for part in slices(batch):
                 scores, found = [], []
-                row, term, count = terms_of(texts_in(part, 1), wanted)
-                for t, w in vectors(row, term, count, idf, part.num_rows):
+                for t, w in vectors(*terms_of(texts_in(part, 1), wanted), weight, part.num_rows):
                     if len(t) == 0:
-                        scores.append(without)
+                        scores.append(share)
                         found.append([])
                         continue
-                    key = (t.tobytes(), w.tobytes())
+                    key = (hash(t.tobytes()), hash(w.tobytes()), len(t))
                     if key not in known:
-                        if len(known) > 50_000:
+                        if len(known) > REMEMBERED:
                             known.clear()
                         near, cosine = index.nearest(t, w, neighbours)
-                        # A vote counts by its nearness; what is missing to the full number of votes is the prior's.
-                        vote = cosine / (1.0001 - np.minimum(cosine, 1))
+                        # A vote counts by its nearness and by how many labelled rows it stands for.
                         label = index.label[near]
+                        vote = cosine**2 / (1.0001 - np.minimum(cosine, 1)) * stands_for[label]
                         known[key] = (
                             float((vote @ label + PRIOR_VOTES * share) / (vote.sum() + PRIOR_VOTES)),
                             [{id_col: index.ids[x], "cosine": float(c), "label": int(y)} for x, c, y in zip(near[:3], cosine[:3], label[:3], strict=True)],
