@@ -42,6 +42,34 @@ def test_odd_rows(spark, k):
     assert P.STAGES[k][1](spark, docs.limit(0), D).count() == 0
 
 
+def test_passages_of_over_50_words_go(spark):
+    rng = random.Random(8)
+    words = lambda n, k: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(k, k + 4))) for _ in range(n))
+    long, short, scattered = words(51, 2), words(40, 8), words(60, 3)
+    rows = []
+    for i in range(30):
+        own = [words(80, 3), words(70, 3)]
+        rows.append((i, own[0] + " " + (long if i < 10 else short if i < 20 else scattered if i == 20 else "") + " " + own[1], own))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(30, rows[20][1])], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in P.cut_repeats(spark, docs, D).collect()}
+    for i, text, own in rows:
+        if i < 10:
+            assert long not in got[i] and got[i].startswith(own[0].rpartition(" ")[0]) and got[i].endswith(own[1].partition(" ")[2])
+            assert len(got[i].split()) in (149, 150)
+        elif i != 20:
+            assert got[i] == text
+    assert got[20] == got[30] == ""
+
+
+def test_rows_of_one_id_and_packed_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (5, b), (3, a.replace("a7 ", "")), (5, a.upper()), (4, b + " end")]
+    kept = sorted((r.doc_id, r.text) for r in P.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), D).collect())
+    assert kept == [(3, rows[3][1]), (4, rows[5][1])]
+    packed = P.pack(spark, spark.createDataFrame(rows, "doc_id long, text string"), D).collect()
+    assert all(len(r.ids) == 4 * r.length for r in packed) and len(packed) == 6
+
+
 def test_half_characters_go(spark):
     from wardline.llm.substring_dedup import whole_characters
 

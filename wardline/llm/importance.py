@@ -3,10 +3,10 @@
 Words and word pairs are hashed into buckets. One bucket model is counted over all documents (raw),
 one over a bounded sample of labelled documents of the wanted kind (target). A document's log weight
 is the sum, over its n-grams, of log target minus log raw. Adding Gumbel noise to the weights and
-taking the k greatest samples k documents without replacement in proportion to their weights. Where k
-is not given, a document is kept whose perturbed weight reaches a bound in proportion to its n-grams
-(sums grow with the text, so that one bound for all lengths would be set by the longest); the bound
-is chosen so that labelled documents of both kinds are told apart best.
+taking the k greatest samples k documents without replacement in proportion to their weights. Weights
+can be taken in proportion to a document's n-grams (sums grow with the text, so that the longest
+would always win). Where k is not given, it is the number of documents that reach the bound which
+tells labelled documents of both kinds apart best.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from . import scratch
 from .labelled import remainder, sample, with_labels
 from .textbytes import mix, word_hashes
 from .tokenizing import slices
@@ -148,10 +149,10 @@ def resample(
 ) -> DataFrame:
     """Per row: id, ``n_ngrams``, ``log_weight``, ``perturbed`` (the weight with Gumbel noise) and ``kept``.
 
-    With ``k``, ``kept`` is whether the perturbed weight is among the k greatest; ties at the k-th
-    (rows repeated with their id) are all kept. Without, it is whether the perturbed weight by n-gram
-    reaches the bound that best parts labelled target documents from other labelled ones (with target
-    documents alone, the bound that the share ``keep_target`` of them reaches). The raw model is
+    ``kept`` is whether the perturbed weight is among the k greatest; ties at the k-th (rows repeated
+    with their id) are all kept. Without ``k``, weights are taken by n-gram, and k is the number of
+    documents that reach the bound which best parts labelled target documents from other labelled ones
+    (with target documents alone, the bound that the share ``keep_target`` of them reaches). The raw model is
     counted over all documents, the target model over one half of at most ``labelled`` labelled rows;
     the other half chooses the bound. Null and empty texts have weight 0 and take part as such. Without labels of the wanted kind all weights are 0 and, with no ``k``, everything is kept. ``carry`` names a column of ``docs`` that comes through unchanged. Null ids and
     extra columns pass without effect, an empty table gives no rows.
@@ -162,10 +163,16 @@ def resample(
     p = bucket_counts(known.where((half == 0) & (F.col("y") == target)), "text")
     ratio = log_ratio(p, bucket_counts(docs, text_col)) if p.sum() else np.zeros(BUCKETS)
     weights = weigh(docs, ratio, id_col, text_col, carry)
-    if k is not None:
-        return weights.withColumn("kept", F.col("perturbed") >= F.lit(threshold_of_top(weights, "perturbed", k)))
-    bound = float("-inf")
-    if p.sum():
-        own = weigh(known.where(half == 1), ratio, "_id", "text", carry="y").select(per_ngram().alias("s"), "y").toArrow()  # at most ``labelled`` rows
-        bound = best_bound(own.column("s").to_numpy(), own.column("y").to_numpy() == target, keep_target)
-    return weights.withColumn("kept", per_ngram() >= F.lit(bound))
+    rank = F.col("perturbed") if k is not None else per_ngram()
+    if k is None:
+        bound = float("-inf")
+        if p.sum():
+            own = weigh(known.where(half == 1), ratio, "_id", "text", carry="y").select(per_ngram().alias("s"), "y").toArrow()  # at most ``labelled`` rows
+            bound = best_bound(own.column("s").to_numpy(), own.column("y").to_numpy() == target, keep_target)
+        ranks = scratch.write(weigh(docs, ratio, id_col, text_col).select(rank.alias("rank")), "ranks")
+        k = ranks.where(F.col("rank") >= F.lit(bound)).count()
+    else:
+        ranks = scratch.write(weigh(docs, ratio, id_col, text_col).select(rank.alias("rank")), "ranks")
+    least = threshold_of_top(ranks, "rank", k)
+    scratch.release(docs.sparkSession, scratch.tables_of(ranks))
+    return weights.withColumn("kept", rank >= F.lit(least))

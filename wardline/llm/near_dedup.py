@@ -243,7 +243,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, width: int = 5, coordinates: int = COORDINATES, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, percent: int = 85, width: int = 5, coordinates: int = COORDINATES, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text", with_group: bool = False
 ) -> DataFrame:
     """Per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id it reaches over links) and ``kept`` (id = component_id).
 
@@ -251,7 +251,8 @@ def near_duplicates(
     ``width``-word shingles. Null texts, empty texts and texts without words have no shingles and are
     linked with nothing: each is its own component, and kept. Rows repeated under one id share its
     component and are kept alike; a null id never stands for a component unless all of it is null,
-    and then ``kept`` is true. An empty table gives no rows. Other columns are not read.
+    and then ``kept`` is true. ``with_group`` adds ``group`` (a number of the component itself, null
+    without shingles; two components may have one least id where ids repeat) and ``text_hash`` (xxhash64 of the text). An empty table gives no rows. Other columns are not read.
     """
     own = scratch.write(signatures(docs, coordinates, width, id_col, text_col), "signatures")
     sets = own.where("n > 0")
@@ -267,8 +268,9 @@ def near_duplicates(
 
     inside = classes.select("node", "least").join(roots, "node")
     of_root = inside.groupBy("root").agg(F.min("least").alias("of_root"))
-    named = inside.join(of_root, "root").select("node", "of_root")
-    of_class = classes.select("node", "k1", "k2", "least").join(named, "node", "left").select("k1", "k2", F.coalesce("of_root", "least").alias("component_id"))
-    found = own.drop("sig", "thash").join(of_class, ["k1", "k2"], "left")
+    named = inside.join(of_root, "root").select("node", "root", "of_root")
+    of_class = classes.select("node", "k1", "k2", "least").join(named, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("group"), F.coalesce("of_root", "least").alias("component_id"))
+    found = own.drop("sig").join(of_class, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col))
-    return found.select(id_col, F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col(id_col)).alias("kept"))
+    more = ["group", F.col("thash").alias("text_hash")] if with_group else []
+    return found.select(id_col, F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col(id_col)).alias("kept"), *more)

@@ -185,13 +185,14 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return whole.union(partial)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None, least_words: int = 0, joint: str = "") -> DataFrame:
     """Per row: id, ``n_bytes``, ``n_removed``, ``spans`` (start and end of the maximal removed runs, in UTF-8 bytes) and ``kept`` (the other bytes).
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else too, in the same
     document or another; strings do not cross documents and are judged on the input. So every copy
     goes, and rows repeated under one id are copies of each other. Null texts are empty; texts under
-    ``length`` bytes stay as they are. Null ids pass through, other columns are not read, and an empty
+    ``length`` bytes stay as they are. With ``least_words``, a run of such bytes goes only if it holds
+    so many pieces between ASCII white space; ``joint`` stands in ``kept`` where a run was inside a text. Null ids pass through, other columns are not read, and an empty
     table gives no rows. ``carry`` names a column of ``docs`` that comes through unchanged. ``gram`` must be a power of two, under ``length``.
     """
     schema = StructType([
@@ -216,12 +217,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                             own[-1][1] = max(own[-1][1], x[1])
                         else:
                             own.append(list(x))
+                    if least_words:
+                        own = [r for r in own if len(t[r[0] : r[1]].split()) >= least_words]
                     ends = [0, *(e for _, e in own)]
                     starts = [*(s for s, _ in own), len(t)]
                     n.append(len(t))
                     gone.append(sum(e - s for s, e in own))
                     runs.append([{"start": s, "end": e} for s, e in own])
-                    kept.append(b"".join([t[a:b] for a, b in zip(ends, starts, strict=True)]))
+                    kept.append(joint.encode().join([t[a:b] for a, b in zip(ends, starts, strict=True) if a < b or not joint]))
                 spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, spans_type), pa.array(kept, pa.binary()), *part.columns[3:]], names=schema.names)
 
