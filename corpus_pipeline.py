@@ -16,6 +16,8 @@ from wardline.llm.registry import tokenizer_file
 
 #: Near copies are texts whose sets of five words are alike by this many percent (``op9`` has 85), and the equal signature coordinates, of 64, that a pair needs to be tested: one of similarity 0.80 has fewer with probability 4.2e-6.
 NEAR_PERCENT, NEAR_MATCHES = 80, 36
+#: Passages of over 50 words that repeat across documents are cut: strings of so many bytes are looked for (51 words are shorter only where words have under three letters on average), and runs of so many words go.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
 #: Tables that the latest stage wrote for itself; the next one deletes those that it does not read.
 _own: list[str] = []
 
@@ -52,19 +54,21 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest id. Rows repeated with id and text stay once; texts without words all stay."""
+    """One document of each group of near-duplicates: the one of the smallest id. Rows repeated with id and text stay once; texts without words all stay, but for such repeats."""
     before = _begin(spark, docs)
-    kept = near_dedup.near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT, matches=NEAR_MATCHES).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    found = near_dedup.near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT, matches=NEAR_MATCHES, with_group=True).where("kept")
+    # Rows of one id may be of one group: the least text hash of the smallest id stands for it.
+    one = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
+    kept = one.union(found.where("group is null").select("doc_id", "text_hash")).distinct().select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_kept_text"))
     _end(before)
-    whole = _whole(docs).select("_row", F.col("_row.doc_id").alias("_id"), F.xxhash64(F.lower(F.coalesce(F.col("text"), F.lit("")))).alias("_text"))
-    found = whole.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return found.dropDuplicates(["_id", "_text"]).select("_row.*")
+    whole = _whole(docs).select("_row", F.col("_row.doc_id").alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text"))
+    return whole.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_text") == F.col("_kept_text")), "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of long repeated strings (a character cut in two goes whole); ``n_chars``, if there, is counted anew."""
+    """Documents without passages of over 50 words that stand anywhere else too (a character cut in two goes whole); ``n_chars``, if there, is counted anew."""
     before = _begin(spark, docs)
-    cut = substring_dedup.remove_repeats(_whole(docs), carry="_row")
+    cut = substring_dedup.remove_repeats(_whole(docs), PASSAGE_BYTES, carry="_row", least_words=PASSAGE_WORDS, joint=" ")
     _end(before)
     text = F.col("_text")
     columns = {"text": text.alias("text")} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {})
@@ -73,11 +77,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' pieces in sequences of 2048 tokens."""
+    """All documents' pieces with their ids (little-endian unsigned 32-bit) and places in sequences of 2048 tokens; ``packing.sequences`` joins them up."""
     before = _begin(spark, docs)
-    packed = packing.pack(docs.select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), keep_ids=False)
+    packed = packing.pack(docs.select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
     _end(before)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
