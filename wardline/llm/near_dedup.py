@@ -5,7 +5,8 @@
    equal coordinates, so two linked classes share a posting among the ``coordinates - matches + 1``
    rarest of each (prefix filter, postings in order of their number of classes). Values that one
    class alone has can never be shared: they fill the prefix first and are skipped.
-3. Collisions with the least class of each prefix posting are counted first. Pairs over the threshold
+3. Each class is held against one other first: of the least classes of its prefix postings the one it
+   shares most of them with. Collisions are counted over all coordinates, and pairs over the threshold
    are confirmed on their full shingle sets, and confirmed links joined into components. Postings that
    lie within one component are skipped from here on: in a group of near copies, nearly all of them.
 4. The other postings, joined where they share their least class, make clusters. A cluster's classes
@@ -261,7 +262,8 @@ def near_duplicates(
     classes = scratch.write(classes, "classes")
 
     postings = scratch.write(prefix_postings(classes, coordinates, matches), "postings")
-    hubs = postings.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    # One pair a class: with the least class that it shares most prefix postings with.
+    hubs = postings.where("node <> hub").groupBy(F.col("node").alias("u")).agg(F.mode("hub", True).alias("v"))
     first = scratch.write(connected_components(confirmed(colliding(hubs, classes, matches, percent), classes, docs, percent, width, id_col, text_col)), "components")
     second = cluster_links(postings, first, classes, docs, matches, percent, width, id_col, text_col)
     roots = connected_components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(second))

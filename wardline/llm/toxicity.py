@@ -203,13 +203,22 @@ def toxicity(
         for batch in batches:
             for part in slices(batch):
                 found = vectors(*terms_of(texts_in(part, 1), wanted), weight, part.num_rows)
-                lists = [pa.array([x[k].tolist() for x in found], pa.list_(kind)) for k, kind in enumerate((pa.int64(), pa.float64()))]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in found]), kind)) for k, kind in enumerate((pa.int64(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], names=["_id", "y", "t", "w"])
 
     id_type = docs.schema[id_col].dataType
     schema = StructType([StructField("_id", id_type), StructField("y", IntegerType()), StructField("t", ArrayType(LongType())), StructField("w", ArrayType(DoubleType()))])
-    made = train.select("_id", "text", "y").mapInArrow(vectorize, schema).where(F.size("t") > 0).collect() if both else []  # at most 2 * ``examples``
-    index = BlockMaxIndex.build([(r["_id"], r.y, np.array(r.t, np.int64), np.array(r.w)) for r in made], len(wanted))
+    rows = []
+    if both:
+        made = train.select("_id", "text", "y").mapInArrow(vectorize, schema).where(F.size("t") > 0).toArrow()  # at most 2 * ``examples`` rows
+        for part in made.to_batches():
+            ends = np.asarray(part.column(2).offsets)
+            t, w = (np.asarray(part.column(k).values) for k in (2, 3))
+            rows += [(i, y, t[a:b].copy(), w[a:b].copy()) for i, y, a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        del made
+    index = BlockMaxIndex.build(rows, len(wanted))
+    del rows
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     evidence = ArrayType(StructType([StructField(id_col, id_type), StructField("cosine", DoubleType()), StructField("label", IntegerType())]))
