@@ -92,10 +92,10 @@ def csv_set(c: Column) -> Column:
 def message_time(c: Column) -> Column:
     """``yyyyMMdd``, with ``HHmm`` and ``ss`` if there, as a zoneless time; a zone at the end is dropped; null if no such time exists."""
     t = F.regexp_replace(F.trim(c), r"[+-]\d{4}$", "")
-    n = F.length(t)
-    cut = F.when(n >= 14, F.substring(t, 1, 14)).when(n >= 12, F.concat(F.substring(t, 1, 12), F.lit("00"))).when(n >= 8, F.concat(F.substring(t, 1, 8), F.lit("000000")))
-    iso = F.concat(F.substring(cut, 1, 4), F.lit("-"), F.substring(cut, 5, 2), F.lit("-"), F.substring(cut, 7, 2), F.lit(" "), F.substring(cut, 9, 2), F.lit(":"), F.substring(cut, 11, 2), F.lit(":"), F.substring(cut, 13, 2))
-    return F.when(cut.rlike(r"^\d{14}$"), iso.try_cast("timestamp_ntz"))
+    # Of 14 characters and more the first 14 count, of 12 the first 12, of 8 the first 8: all must be digits.
+    digits = F.concat(*[F.regexp_extract(t, r"(?s)^(?:(\d{14}).*|(\d{12}).?|(\d{8}).{0,3})$", i) for i in (1, 2, 3)])
+    iso = F.regexp_replace(F.rpad(digits, 14, "0"), r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3 $4:$5:$6")
+    return iso.try_cast("timestamp_ntz")
 
 
 def iso_time(c: Column, zone: str = "+09:00") -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..functions.reading_text import let
 from ..functions.scalars import clean_number, message_time
 
 LINE_BREAKS = r"[\r\n\x0b\x0c\x1c-\x1e\x85  ]+"
@@ -65,10 +66,11 @@ def parse(df: DataFrame, message_col: str = "message", received_col: str | None
     df = df.withColumn("_MSH", last("MSH"))
     field = lambda segment, i: F.coalesce(F.get(F.col(segment), F.lit(i)), F.lit(""))
     comp = lambda text: _parts(text, F.col("_component"))
-    name, place = comp(field("_PID", 5)), comp(field("_PV1", 3))
+    df = df.withColumns({"_name": comp(field("_PID", 5)), "_place": comp(field("_PV1", 3)), "_time": field("_MSH", 6)})
+    name, place = F.col("_name"), F.col("_place")
     df = df.withColumns({
         "message_type": field("_MSH", 8),
-        "message_time": F.coalesce(message_time(field("_MSH", 6)), F.col(received_col) if received_col else F.lit(None).cast("timestamp_ntz")),
+        "message_time": F.coalesce(message_time(F.col("_time")), F.col(received_col) if received_col else F.lit(None).cast("timestamp_ntz")),
         "control_id": field("_MSH", 9),
         "patient_id": F.get(comp(field("_PID", 3)), F.lit(0)),
         "patient_name": F.when(F.size(name) >= 2, F.concat_ws(" ", F.get(name, F.lit(0)), F.get(name, F.lit(1)))).otherwise(F.get(name, F.lit(0))),
@@ -77,27 +79,32 @@ def parse(df: DataFrame, message_col: str = "message", received_col: str | None
     codes = F.create_map(*[F.lit(x) for kv in dims.CODES.items() for x in kv])
 
     def observation(f: Column) -> Column:
-        code = comp(F.get(f, F.lit(3)))
-        c0, c1 = F.get(code, F.lit(0)), F.coalesce(F.get(code, F.lit(1)), F.lit(""))
-        vital = F.when(c0.isin(dims.VITAL_NAMES), c0).otherwise(F.coalesce(F.element_at(codes, c0), F.nullif(c1, F.lit("")), c0))
         at = lambda i: F.coalesce(F.get(f, F.lit(i)), F.lit(""))
-        return F.struct(
-            c0.alias("code"), vital.alias("vital"), clean_number(at(5)).alias("value"), at(6).alias("unit"), at(7).alias("reference_range"), at(8).alias("flag"),
-            message_time(at(14)).alias("observed"), F.coalesce(F.nullif(at(11), F.lit("")), F.lit("F")).alias("status"),
-        )
+
+        def of_code(code: Column) -> Column:
+            c0, c1 = F.get(code, F.lit(0)), F.coalesce(F.get(code, F.lit(1)), F.lit(""))
+            vital = F.when(c0.isin(dims.VITAL_NAMES), c0).otherwise(F.coalesce(F.element_at(codes, c0), F.nullif(c1, F.lit("")), c0))
+            return F.struct(
+                c0.alias("code"), vital.alias("vital"), clean_number(at(5)).alias("value"), at(6).alias("unit"), at(7).alias("reference_range"), at(8).alias("flag"),
+                message_time(at(14)).alias("observed"), F.coalesce(F.nullif(at(11), F.lit("")), F.lit("F")).alias("status"),
+            )
+
+        return let(comp(F.get(f, F.lit(3))), of_code)
 
     wanted = F.filter("_fields", lambda f: (kind(f) == "OBX") & (F.size(f) >= 6) & F.get(f, F.lit(2)).isin("NM", "SN"))
     df = df.withColumn("_obs", F.filter(F.transform(wanted, observation), lambda o: o["vital"] != ""))
-    names = F.transform("_obs", lambda o: o["vital"])
-    df = df.withColumn("_names", names)
-    # The last of each name: none of that name stands behind it.
-    df = df.withColumn("observations", F.filter("_obs", lambda o, i: ~F.array_contains(F.slice("_names", i + 2, F.size("_names")), o["vital"])))
-    return df.drop("_segments", "_field", "_component", "_fields", "_MSH", "_PID", "_PV1", "_obs", "_names")
+    # The last of each name: sorted by name and place, the one before another name; then in order of place again.
+    df = df.withColumn("_sorted", F.array_sort(F.transform("_obs", lambda o, i: F.struct(o["vital"].alias("v"), i.alias("i")))))
+    df = df.withColumn("_last", F.filter("_sorted", lambda x, j: F.coalesce(F.get("_sorted", j + 1)["v"] != x["v"], F.lit(True))))
+    df = df.withColumn("observations", F.transform(F.array_sort(F.transform("_last", lambda x: x["i"])), lambda i: F.get("_obs", i)))
+    return df.drop("_segments", "_field", "_component", "_fields", "_MSH", "_PID", "_PV1", "_name", "_place", "_time", "_obs", "_sorted", "_last")
 
 
 def observations(parsed: DataFrame) -> DataFrame:
     """A row per message and vital."""
-    return parsed.select(*[c for c in parsed.columns if c != "observations"], F.explode("observations").alias("_o")).select("*", "_o.*").drop("_o", "observations")
+    # From a plain explode the optimizer infers a filter on the array and pushes it below every step of the parsing, each written out again.
+    rows = parsed.select(*[c for c in parsed.columns if c != "observations"], F.explode_outer("observations").alias("_o")).where(F.col("_o").isNotNull())
+    return rows.select("*", "_o.*").drop("_o")
 
 
 def build(long: DataFrame, keys: list[str], bed_col: str, patient_col: str, time_col: str, vital_col: str, value_col: str, order_col: str) -> DataFrame:
