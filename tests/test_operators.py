@@ -113,3 +113,59 @@ def test_geometry(spark):
 def test_scores(spark):
     score = readings.candidate_score(F.lit(None).cast("double"), F.lit("120"), F.lit(True), F.lit(120.0), F.lit(118.0))
     assert abs(spark.range(1).select(score.alias("s")).first().s - (0.525 + 0.8 + 0.24 + 0.2 + 0.25)) < 1e-9
+
+
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    from wardline.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.normal(0, 100, 999), "b": np.round(rng.exponential(1, 500), 1), None: np.array([-3.0, 0.0, 0.0, 2.5]), "one": np.array([7.0]), "wide": np.array([-1e300, -1e-300, 0, 1e-300, 1e300])}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("null", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r for r in quantiles(df, "x", {"p0": 0.0, "m": 0.5, "p9": 0.9, "p1": 1.0}, ["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        assert np.allclose([got[g].p0, got[g].m, got[g].p9, got[g].p1], np.quantile(xs, [0, 0.5, 0.9, 1]), rtol=1e-12)
+    every = np.concatenate(list(groups.values()))
+    assert np.isclose(quantiles(df, "x", {"m": 0.5}).first().m, np.median(every))
+    assert quantiles(df.limit(0), "x", {"m": 0.5}).count() == 0
+
+
+def test_validator_sources_and_lags(spark):
+    from wardline.operators import validation as V
+
+    t = "timestamp_ntz"
+    ts = lambda s: f"2024-01-01 00:00:{s:02d}"
+    as_time = lambda rows, schema, *cols: spark.createDataFrame(rows, schema).withColumns({c: F.col(c).cast(t) for c in cols})
+    snapshots = as_time([("s1", ts(10), None), ("s2", ts(20), ts(21)), ("s3", ts(50), None)], "snap string, snapshot_ts string, event_ts string", "snapshot_ts", "event_ts")
+    truth = spark.createDataFrame([("s1", "b", "HR", 60.0), ("s2", "b", "HR", 80.0), ("s3", "b", "HR", 99.0)], "snap string, bed string, vital string, truth double")
+    cells = spark.createDataFrame([(r, "b", "HR", None, "60") for r in range(7)], "rec long, bed string, vital string, text string, value string")
+    records = as_time([
+        (0, ts(22), None, None),  # two candidates: s1 matches
+        (1, ts(22), "s2", "s1"),  # named and within the window
+        (2, ts(59), "s1", None),  # named but too far back: s3 is searched
+        (3, ts(35), "gone", "lost"),  # none named, none near
+        (4, None, "gone", "s2"),  # no time: the second path
+        (5, ts(5), None, None),  # before all
+        (6, None, None, None),
+    ], "rec long, ref_ts string, path string, path_before string", "ref_ts")
+    tol = spark.createDataFrame([("HR", 1.0)], "vital string, tol double")
+    chosen, found = V.run(records, cells, snapshots, truth, None, tol)
+    got = {r.rec: (r.source, r.snap, r.dt_s, r.missing) for r in chosen.collect()}
+    assert got == {
+        0: ("cache_dir_search", "s1", 12.0, 0), 1: ("explicit_snapshot", "s2", 1.0, 0), 2: ("cache_dir_search", "s3", 9.0, 0), 3: ("skipped", None, None, 2),
+        4: ("explicit_snapshot", "s2", 0.0, 1), 5: ("skipped", None, None, 0), 6: ("skipped", None, None, 0),
+    }
+    assert {r.rec: (r.match, r.mismatch) for r in found.collect()} == {0: (True, False), 1: (False, True), 2: (False, True), 4: (False, True)}
+    cache = spark.createDataFrame([("b", "HR", 61.0), ("b", "RR", 5.0)], "bed string, vital string, truth double")
+    chosen, found = V.run(records, cells, snapshots, truth, cache, tol, V.Settings(nearest_past=True))
+    got = {r.rec: (r.source, r.snap, r.nearest_used, r.dt_skipped) for r in chosen.collect()}
+    assert got[3] == ("cache_dir_search", "s2", True, None) and got[5] == ("monitor_cache_fallback", None, False, "truth_dt_none") and got[6][3] == "ocr_dt_none+truth_dt_none"
+    m = V.metrics(chosen, found).first()
+    assert (m.total, m.fallback_used, m.nearest_fallback_used, m.dt_skipped) == (9, 3, 1, 2) and m.dt_skip_reason_counts == '{"ocr_dt_none+truth_dt_none":1,"truth_dt_none":1}'
+    assert len(m) == 21
+    lags = spark.createDataFrame([(float(x),) for x in (-10, 0, 30)], "lag_s double")
+    best = V.auto_lag(records.where("rec = 0"), cells, snapshots, truth, tol, lags).collect()
+    assert best[0].lag_s == 0.0 and best[0].match_rate == 1.0 or best[0].lag_s == -10.0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_number
+from .quantiles import quantiles
 
 
 def winner(easy_error: Column, tess_error: Column) -> Column:
@@ -26,16 +27,28 @@ def compared(df: DataFrame) -> DataFrame:
 
 
 def summary(df: DataFrame, field: str = "field", digits: int = 6) -> DataFrame:
-    """One aggregate over the grouping sets (field) and (): ``field`` is null in the row over all."""
+    """One aggregate over the grouping sets (field) and (): ``field`` is null in the row over all.
+
+    A reading without a value is missing, or invalid where ``easy_text`` or ``tess_text`` says something
+    (both columns are optional). ``match_rate`` is that of both engines together.
+    """
     r = lambda c: F.round(c, digits)
     rate = lambda c: r(F.try_divide(F.count_if(c), F.count("*")))
-    stats = [F.count("*").alias("n")] + [F.count_if(F.col("winner") == w).alias(f"{w}_win" if w != "tie" else "tie") for w in ("easy", "tess", "tie")]
+    says = lambda e: F.coalesce(F.trim(F.col(f"{e}_text")) != "", F.lit(False)) if f"{e}_text" in df.columns else F.lit(False)
+    stats = [F.count("*").alias("n")] + [F.count_if(F.col("winner") == w).alias(name) for w, name in (("easy", "easy_win"), ("tess", "tess_win"), ("tie", "tie"), ("none", "both_bad"))]
+    stats.append(r((F.count_if("easy_match") + F.count_if("tess_match")) / (2 * F.count("*"))).alias("match_rate"))
     for e in ("easy", "tess"):
-        v = F.col(f"{e}_value")
-        stats += [r(F.avg(f"{e}_abs_err")).alias(f"{e}_mae"), rate(F.col(f"{e}_match")).alias(f"{e}_match_rate"), rate(v.isNull()).alias(f"{e}_missing_rate")]
+        none = F.col(f"{e}_value").isNull()
+        stats += [
+            r(F.avg(f"{e}_abs_err")).alias(f"{e}_mae"), rate(F.col(f"{e}_match")).alias(f"{e}_match_rate"),
+            rate(none & ~says(e)).alias(f"{e}_missing_rate"), rate(none & says(e)).alias(f"{e}_invalid_rate"),
+        ]
     win_error = F.when(F.col("winner") == "tess", F.col("tess_abs_err")).otherwise(F.col("easy_abs_err"))
-    stats += [r(F.avg(win_error)).alias("winner_mae"), r(F.median(win_error)).alias("winner_median")]
-    return df.groupingSets([[field], []], field).agg(*stats)
+    df = df.withColumn("_win", win_error)
+    rows = df.groupingSets([[field], []], field).agg(*stats, r(F.avg("_win")).alias("winner_mae"), F.grouping(field).alias("_all"))
+    medians = quantiles(df, "_win", {"_m": 0.5}, [field]).select(F.col(field).alias("_f"), F.lit(0).alias("_a"), "_m").union(quantiles(df, "_win", {"_m": 0.5}).select(F.lit(None), F.lit(1), "_m"))
+    rows = rows.join(medians, F.col(field).eqNullSafe(F.col("_f")) & (F.col("_all") == F.col("_a")), "left")
+    return rows.withColumn("winner_median", r(F.col("_m"))).drop("_all", "_f", "_a", "_m")
 
 
 def digit_confusion(df: DataFrame, truth: str = "truth", read: str = "read", *by: str) -> DataFrame:

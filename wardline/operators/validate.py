@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mismatch_tolerance
+from .quantiles import with_quantiles
 
 
 def with_tolerance(df: DataFrame, tolerances: DataFrame, vital: str = "vital") -> DataFrame:
     """``tol`` of exactly the vital's name, else 0. The table has a row per vital name."""
-    return df.join(F.broadcast(tolerances.select(F.col("vital").alias("_v"), "tol")), F.col(vital) == F.col("_v"), "left").drop("_v").withColumn("tol", F.coalesce("tol", F.lit(0.0)))
+    return df.join(tolerances.select(F.col("vital").alias("_v"), "tol"), F.col(vital) == F.col("_v"), "left").drop("_v").withColumn("tol", F.coalesce("tol", F.lit(0.0)))
 
 
 def compare(df: DataFrame, observed: str = "observed", truth: str = "truth", scored: Column | None = None) -> DataFrame:
@@ -30,18 +31,22 @@ def best_candidate(pairs: DataFrame, record: list[str], candidate: list[str], de
     return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def best_pair(pairs: DataFrame, record: list[str], delta: str, newest: str) -> DataFrame:
+    """Where a candidate is one pair: the record's pair that matches, then of least error (none counts as infinite), then least delta, then newest. A partial minimum, no sort."""
+    rank = F.struct(~F.col("match"), F.coalesce("abs_error", F.lit(float("inf"))), delta, -F.unix_micros(F.col(newest).cast("timestamp")))
+    rest = [c for c in pairs.columns if c not in record]
+    return pairs.groupBy(*record).agg(F.min_by(F.struct(*rest), rank).alias("_b")).select(*record, "_b.*")
+
+
 def metrics(df: DataFrame, by: list[str] = (), digits: int = 6) -> DataFrame:
     """Counts, match rate and error statistics of compared rows: one row, or one for each of ``by``."""
-    r = lambda c: F.round(c, digits)
-    return df.groupBy(*by).agg(
-        F.count("*").alias("total"),
-        F.count_if("match").alias("matched"),
-        F.count_if(F.col("observed").isNull()).alias("missing"),
-        r(F.coalesce(F.try_divide(F.count_if("match"), F.count("*")), F.lit(0.0))).alias("match_rate"),
-        r(F.coalesce(F.avg("abs_error"), F.lit(0.0))).alias("mean_abs_error"),
-        r(F.coalesce(F.median("abs_error"), F.lit(0.0))).alias("median_abs_error"),
-        r(F.coalesce(F.percentile("abs_error", F.lit(0.9)), F.lit(0.0))).alias("p90_abs_error"),
-    )
+    r = lambda c: F.round(F.coalesce(c, F.lit(0.0)), digits)
+    stats = df.groupBy(*by).agg(F.count("*").alias("total"), F.count_if("match").alias("matched"), F.count_if(F.col("observed").isNull()).alias("missing"), F.avg("abs_error").alias("mean"))
+    stats = with_quantiles(stats, df, "abs_error", {"median": 0.5, "p90": 0.9}, by)
+    return stats.select(
+        *by, "total", "matched", "missing", r(F.try_divide(F.col("matched"), F.col("total"))).alias("match_rate"),
+        r(F.col("mean")).alias("mean_abs_error"), r(F.col("median")).alias("median_abs_error"), r(F.col("p90")).alias("p90_abs_error"),
+    )
 
 
 def lag_grid(observed: DataFrame, lags: DataFrame, time: str) -> DataFrame:

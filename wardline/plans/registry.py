@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reading_text as R
 from ..functions import scalars as S
-from ..operators import asof, engines, geometry, latest, messages, readings, validate
+from ..operators import asof, engines, geometry, latest, messages, quantiles, readings, validate, validation
 
 FLAGSHIP = "match_metrics"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,10 +63,7 @@ def candidates(spark: SparkSession, sf_dir: str, most: int | None = None) -> Dat
 
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chosen truth of each reading: its row of pairs is the least by the order of choice, kept by a partial minimum."""
-    pairs = candidates(spark, sf_dir)
-    rank = F.struct(~F.col("match"), F.coalesce("abs_error", F.lit(float("inf"))), "dt", -F.unix_micros(F.col("truth_ts").cast("timestamp")))
-    rest = [c for c in pairs.columns if c != "_left"]
-    return pairs.groupBy("_left").agg(F.min_by(F.struct(*rest), rank).alias("b")).select("_left", "b.*")
+    return validate.best_pair(candidates(spark, sf_dir), ["_left"], "dt", "truth_ts")
 
 
 @query(f"with {TRUTH}, {READ}, {PAIRS}, {BEST} select vital, {METRICS} from best group by vital")
@@ -94,8 +91,8 @@ def dt_stats(spark, d):
     b = best(spark, d)
     n = read_rows(spark, d).agg(F.count("*").alias("n"))
     r = lambda c: F.round(c, 6)
-    stats = b.agg(r(F.avg("dt")).alias("mean_dt"), r(F.median("dt")).alias("median_dt"), r(F.percentile("dt", F.lit(0.9))).alias("p90_dt"), F.count("*").alias("evaluated"))
-    return stats.crossJoin(n).select("mean_dt", "median_dt", "p90_dt", "evaluated", (F.col("n") - F.col("evaluated")).alias("skipped"))  # one row each
+    stats = quantiles.with_quantiles(b.agg(r(F.avg("dt")).alias("mean_dt"), F.count("*").alias("evaluated")), b, "dt", {"median": 0.5, "p90": 0.9})
+    return stats.crossJoin(n).select("mean_dt", r(F.col("median")).alias("median_dt"), r(F.col("p90")).alias("p90_dt"), "evaluated", (F.col("n") - F.col("evaluated")).alias("skipped"))  # one row each
 
 
 @query("with o as (select *, case when event_id % 11 = 0 then (case when event_id % 2 = 0 then '' else '--' end) end as text from events) select case when text is null then 'valid' when trim(text) = '' then 'empty' else 'invalid_numeric:' || text end reason, count(*) n from o group by 1")
@@ -126,11 +123,10 @@ def asof_backward(spark, d):
     return asof.asof(read_rows(spark, d), truth_rows(spark, d), "read_ts", "truth_ts", ["vital"]).select(F.col("_left").alias("event_id"), "truth_id", "truth")
 
 
-@query("with r as (select event_id truth_id, ts truth_ts from events where event_id % 97 = 1), o as (select event_id, ts read_ts from events where event_id % 2 = 0) select o.event_id, r.truth_id from o asof left join r on o.read_ts >= r.truth_ts")
+@query(f"with {TRUTH}, {READ}, r as (select truth_ts, max(truth_id) truth_id from truth group by truth_ts) select o.event_id, r.truth_id from obs o asof left join r on o.read_ts >= r.truth_ts")
 def asof_keyless(spark, d):
-    e = table(spark, d, "events")
-    right = e.where("event_id % 97 = 1").select(F.col("event_id").alias("truth_id"), F.col("ts").alias("truth_ts"))
-    return asof.asof(e.where("event_id % 2 = 0").select("event_id", F.col("ts").alias("read_ts")), right, "read_ts", "truth_ts").select("event_id", "truth_id")
+    right = truth_rows(spark, d).groupBy("truth_ts").agg(F.max("truth_id").alias("truth_id"))
+    return asof.asof(read_rows(spark, d).select(F.col("_left").alias("event_id"), "read_ts"), right, "read_ts", "truth_ts").select("event_id", "truth_id")
 
 
 @query(f"""with {TRUTH}, {READ}, p as (select o.event_id, o.vital, o.read_ts, t.truth_id p_id, t.truth_ts p_ts from obs o asof left join truth t on o.vital = t.vital and o.read_ts >= t.truth_ts),
@@ -197,13 +193,18 @@ def engine_rows(spark, d):
     return engines.compared(e.select("event_id", F.col("event_type").alias("field"), F.col("value").alias("truth"), v(5, 3).alias("easy_value"), v(7, 4).alias("tess_value"), F.lit(0.15).alias("tol")))
 
 
-@query(f"""with {ENGINES} select field, count(*) n, count(*) filter (winner = 'easy') easy_win, count(*) filter (winner = 'tess') tess_win, count(*) filter (winner = 'tie') tie,
-  round(avg(easy_abs_err), 4) easy_mae, round(count(*) filter (easy_match) / count(*), 4) easy_match_rate, round(count(*) filter (easy_value is null) / count(*), 4) easy_missing_rate,
-  round(avg(tess_abs_err), 4) tess_mae, round(count(*) filter (tess_match) / count(*), 4) tess_match_rate, round(count(*) filter (tess_value is null) / count(*), 4) tess_missing_rate,
+@query(f"""with {ENGINES} select field, count(*) n, count(*) filter (winner = 'easy') easy_win, count(*) filter (winner = 'tess') tess_win, count(*) filter (winner = 'tie') tie, count(*) filter (winner = 'none') both_bad,
+  round((count(*) filter (easy_match) + count(*) filter (tess_match)) / (2 * count(*)), 4) match_rate,
+  round(avg(easy_abs_err), 4) easy_mae, round(count(*) filter (easy_match) / count(*), 4) easy_match_rate,
+  round(count(*) filter (easy_value is null and event_id % 2 = 0) / count(*), 4) easy_missing_rate, round(count(*) filter (easy_value is null and event_id % 2 <> 0) / count(*), 4) easy_invalid_rate,
+  round(avg(tess_abs_err), 4) tess_mae, round(count(*) filter (tess_match) / count(*), 4) tess_match_rate,
+  round(count(*) filter (tess_value is null and event_id % 3 = 0) / count(*), 4) tess_missing_rate, round(count(*) filter (tess_value is null and event_id % 3 <> 0) / count(*), 4) tess_invalid_rate,
   round(avg(case when winner = 'tess' then tess_abs_err else easy_abs_err end), 4) winner_mae, round(median(case when winner = 'tess' then tess_abs_err else easy_abs_err end), 4) winner_median
   from cmp group by grouping sets ((field), ())""")
 def engine_compare(spark, d):
-    return engines.summary(engine_rows(spark, d), digits=4)
+    i = F.col("event_id")
+    rows = engine_rows(spark, d).withColumns({"easy_text": F.when(i % 2 == 0, "").otherwise("--"), "tess_text": F.when(i % 3 == 0, F.lit(None).cast("string")).otherwise("?")})
+    return engines.summary(rows, digits=4)
 
 
 @query(f"with {ENGINES} select event_id, field, winner, round(easy_abs_err, 6) easy_abs_err, round(tess_abs_err, 6) tess_abs_err from cmp")
@@ -328,10 +329,12 @@ def reading_text(spark, d):
     return rows.select("event_id", "vital", F.round(R.parsed_number(F.col("vital"), R.normalized(F.col("vital"), F.col("text"))), 6).alias("parsed"))
 
 
-@query("select event_id, round_even(value, 0)::bigint::varchar shown, 1::bigint as whole from events where value = floor(value) or event_id % 2 = 0")
+@query("""with v as (select event_id, case event_id % 3 when 0 then 'HR' when 1 then 'TSKIN' else 'TRECT' end vital, case when event_id % 11 <> 0 then value end x from events)
+  select event_id, vital, case when x is null then '....' when vital = 'HR' then round_even(x, 0)::bigint::varchar else printf('%.1f', x) end shown from v""")
 def display_value(spark, d):
-    e = table(spark, d, "events").where("value = floor(value) or event_id % 2 = 0")
-    return e.select("event_id", S.display_value(F.lit("HR"), F.col("value")).alias("shown"), F.lit(1).cast("long").alias("whole"))
+    i = F.col("event_id")
+    e = table(spark, d, "events").select("event_id", F.when(i % 3 == 0, "HR").when(i % 3 == 1, "TSKIN").otherwise("TRECT").alias("vital"), F.when(i % 11 != 0, F.col("value")).alias("x"))
+    return e.select("event_id", "vital", S.display_value(F.col("vital"), F.col("x")).alias("shown"))
 
 
 @query("select c_custkey from customer where c_custkey in (select o_custkey from orders)")
@@ -340,9 +343,9 @@ def semi_join(spark, d):
     return table(spark, d, "customer").join(o, "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 100000)")
 def anti_join(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -357,10 +360,10 @@ def last_n(spark, d):
     return table(spark, d, "events").orderBy(F.desc("event_id")).limit(50).select("event_id", "ts", "value")
 
 
-@query("with o as (select o_custkey k, 'order' source from orders union all select c_custkey, 'customer' from customer) select k, min(source) source from o group by k")
+@query("with o as (select o_custkey k, 'order' source from orders union all select c_custkey, 'customer' from customer) select k, case when count(*) filter (source = 'order') > 0 then 'order' else 'customer' end source from o group by k")
 def union_priority(spark, d):
-    a = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit(0).alias("p"), F.lit("customer").alias("source"))
-    b = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.lit(1).alias("p"), F.lit("order").alias("source"))
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit(1).alias("p"), F.lit("customer").alias("source"))
+    b = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.lit(0).alias("p"), F.lit("order").alias("source"))
     return a.unionByName(b).groupBy("k").agg(F.min_by("source", "p").alias("source"))
 
 
@@ -382,3 +385,61 @@ def truth_source(spark, d):
     i = F.col("event_id")
     source = validate.truth_source(i % 3 == 0, F.lit(True), i % 5 == 0, i % 7 == 0)
     return table(spark, d, "events").select("event_id", source.alias("source"))
+
+
+VALIDATOR = """h as (select *, (epoch_us(ts) // 3600000000)::bigint rec, (user_id % 6)::varchar bed, event_type vital from events),
+  truth as (select rec hr, bed, vital, arg_max(value, event_id) truth from h group by all),
+  snap as (select distinct hr, hr::varchar snap, make_timestamp(hr * 3600000000) + interval 5 minute snapshot_ts from truth),
+  cells as (select rec, bed, vital, case when i % 13 = 0 then '--' when i % 17 = 0 then '' else v::decimal(18,2)::varchar end "text", case when i % 13 <> 0 and i % 17 <> 0 then v::decimal(18,2)::double end parsed
+    from (select rec, bed, vital, max(event_id) i, arg_max(round(value + (event_id % 7) / 10.0, 2), event_id) v from h where event_id % 4 <> 0 group by all)),
+  rec as (select rec, case when rec % 11 <> 0 then make_timestamp(rec * 3600000000) + interval 10 minute end ref_ts, case rec % 3 when 0 then rec::varchar when 2 then 'missing' end path, case when rec % 5 = 0 then (rec - 7)::varchar end path_before from (select distinct rec from h)),
+  tol(vital, tol) as (values ('click', 0.3), ('view', 0.5), ('error', 5.0)),
+  cand as (select rec, ref_ts, hr, snapshot_ts, epoch_us(ref_ts) - epoch_us(snapshot_ts) delta from rec join snap on snapshot_ts between ref_ts - interval 3 hour and ref_ts qualify row_number() over (partition by rec order by snapshot_ts desc) <= 2),
+  pair as (select cand.*, abs(c.parsed - t.truth) err, coalesce(abs(c.parsed - t.truth) <= coalesce(tol.tol, 0), false) ok from cand join truth t using (hr) left join cells c on c.rec = cand.rec and c.bed = t.bed and c.vital = t.vital left join tol on tol.vital = t.vital),
+  score as (select rec, hr, snapshot_ts, delta, count(*) filter (ok) matched, coalesce(round(avg(err), 9), 'infinity'::double) mae from pair group by all),
+  auto as (select rec, hr auto, snapshot_ts auto_ts from score qualify row_number() over (partition by rec order by matched desc, mae, delta) = 1),
+  ex as (select r.*, coalesce(a.hr, b.hr) explicit, coalesce(a.snapshot_ts, b.snapshot_ts) explicit_ts, case when a.hr is not null then 'path' when b.hr is not null then 'path_before' end key,
+    case when a.hr is not null then 0 else (path is not null)::int + (path_before is not null and b.hr is null)::int end missing from rec r left join snap a on a.snap = path left join snap b on b.snap = path_before),
+  ch as (select *, case when explicit is not null and not (coalesce(abs(epoch_us(ref_ts) - epoch_us(explicit_ts)) > 10800000000, false) and auto is not null) then 'explicit_snapshot' when auto is not null then 'cache_dir_search' else 'skipped' end source from ex left join auto using (rec)),
+  chosen as (select *, case source when 'explicit_snapshot' then explicit when 'cache_dir_search' then auto end hr, case source when 'explicit_snapshot' then coalesce((epoch_us(ref_ts) - epoch_us(explicit_ts)) / 1e6, 0.0) when 'cache_dir_search' then (epoch_us(ref_ts) - epoch_us(auto_ts)) / 1e6 end dt from ch),
+  item as (select ch.rec, t.bed, t.vital, t.truth, c."text", c.parsed, abs(c.parsed - t.truth) err, coalesce(abs(c.parsed - t.truth) <= coalesce(tol.tol, 0), false) ok from chosen ch join truth t using (hr) left join cells c on c.rec = ch.rec and c.bed = t.bed and c.vital = t.vital left join tol on tol.vital = t.vital)"""
+
+
+def validator_run(spark, d):
+    """Hours of events as snapshots of truth and as records of readings of them; records name their own hour, an hour too far back, one that is not there, or none."""
+    hour = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 3_600_000_000).cast("long")
+    h = table(spark, d, "events").select("event_id", "value", hour.alias("rec"), (F.col("user_id") % 6).cast("string").alias("bed"), F.col("event_type").alias("vital"))
+    at = lambda minutes: F.timestamp_add("MINUTE", (F.col("rec") * 60 + minutes).cast("int"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    truth = h.groupBy(F.col("rec").cast("string").alias("snap"), "bed", "vital").agg(F.max_by("value", "event_id").alias("truth"))
+    hours = h.select("rec").distinct()
+    snapshots = hours.select(F.col("rec").cast("string").alias("snap"), at(5).alias("snapshot_ts"), F.lit(None).cast("timestamp_ntz").alias("event_ts"))
+    v = F.round(F.col("value") + (F.col("event_id") % 7) / 10, 2)
+    cells = h.where("event_id % 4 <> 0").groupBy("rec", "bed", "vital").agg(F.max("event_id").alias("i"), F.max_by(v, "event_id").cast("decimal(18,2)").cast("string").alias("v"))
+    bad = (F.col("i") % 13 == 0) | (F.col("i") % 17 == 0)
+    cells = cells.select("rec", "bed", "vital", F.when(F.col("i") % 13 == 0, "--").when(F.col("i") % 17 == 0, "").otherwise(F.col("v")).alias("text"), F.when(~bad, F.col("v")).alias("value"))
+    r = F.col("rec")
+    records = hours.select("rec", F.when(r % 11 != 0, at(10)).alias("ref_ts"), F.when(r % 3 == 0, r.cast("string")).when(r % 3 == 2, "missing").alias("path"), F.when(r % 5 == 0, (r - 7).cast("string")).alias("path_before"))
+    tolerances = spark.createDataFrame([("click", 0.3), ("view", 0.5), ("error", 5.0)], "vital string, tol double")
+    return validation.run(records, cells, snapshots, truth, None, tolerances, validation.Settings(lookback_s=10_800, most=2))
+
+
+@query(f"""with {VALIDATOR}, c as (select count(*) total, count(*) filter (ok) matched, avg(err) mae, median(err) med, count(*) filter (parsed is null) missing from item),
+  r as (select count(*) filter (key = 'path_before') snapshot_before_used, count(*) filter (key = 'path') snapshot_used, count(*) filter (source = 'explicit_snapshot') explicit_used, count(*) filter (source = 'cache_dir_search') auto_used,
+    sum(missing)::bigint snapshot_missing, count(*) filter (source = 'skipped') skipped, avg(abs(dt)) dm, median(abs(dt)) dd, quantile_cont(abs(dt), 0.9) dp, count(dt) dn from chosen)
+  select total, round(matched / total, 6) match_rate, round(mae, 6) mean_abs_error, round(med, 6) median_abs_error, round(missing / total, 6) missing_rate, round(missing / total, 6) invalid_rate, snapshot_before_used, snapshot_used, explicit_used, auto_used,
+    0::bigint fallback_used, snapshot_missing, skipped skipped_truth_unavailable, case when skipped > 0 then '{{"truth_unavailable":' || skipped || '}}' else '{{}}' end skip_reason_counts, 0::bigint nearest_fallback_used,
+    round(dm, 6) dt_mean_seconds, round(dd, 6) dt_median_seconds, round(dp, 6) dt_p90_seconds, dn dt_evaluated, 0::bigint dt_skipped, '{{}}' dt_skip_reason_counts from c, r""")
+def validator_metrics(spark, d):
+    return validation.metrics(*validator_run(spark, d))
+
+
+@query(f"with {VALIDATOR} select rec, source, hr::varchar snap, round(dt, 6) dt_s from chosen")
+def validator_records(spark, d):
+    chosen, _ = validator_run(spark, d)
+    return chosen.select("rec", "source", "snap", F.round("dt_s", 6).alias("dt_s"))
+
+
+@query(f"""with {VALIDATOR} select rec, bed, vital, truth, parsed, round(err, 6) abs_error, ok matched, case when parsed is null then case when coalesce("text", '') = '' then 'empty' else 'invalid_numeric:' || "text" end end invalid_reason from item""")
+def validator_comparisons(spark, d):
+    _, found = validator_run(spark, d)
+    return found.select("rec", "bed", "vital", "truth", "parsed", F.round("abs_error", 6).alias("abs_error"), F.col("match").alias("matched"), "invalid_reason")
