@@ -182,8 +182,10 @@ def cluster_links(postings: DataFrame, components: DataFrame, classes: DataFrame
     """Links (u, v), a forest for each block, between classes that share a prefix posting and are in different ``components`` (node, root)."""
     placed = postings.join(components, "node", "left").select("p", "node", "hub", F.coalesce("root", "node").alias("c"))
     open_ = placed.groupBy("p").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("p")
-    edges = placed.join(open_, "p").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    clusters = connected_components(edges).withColumnRenamed("root", "cluster")
+    # A class is tied to the least of its hubs, and its other hubs to that one: nearly an edge a class, as classes have few different hubs.
+    hubs = placed.join(open_, "p").groupBy("node").agg(F.collect_set("hub").alias("hs")).withColumn("least", F.array_min("hs"))  # at most ``coordinates`` a class
+    others = hubs.where(F.size("hs") > 1).select(F.explode("hs").alias("u"), F.col("least").alias("v")).distinct()
+    clusters = connected_components(hubs.select(F.col("node").alias("u"), F.col("least").alias("v")).union(others).where("u <> v")).withColumnRenamed("root", "cluster")
     members = clusters.join(components, "node", "left").select("cluster", "node", F.coalesce("root", "node").alias("c")).join(classes.select("node", "n", "sig"), "node")
     members = scratch.write(members, "members")
     by_component = members.groupBy("cluster", "c").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
