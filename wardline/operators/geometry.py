@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from .latest import few
 
 COLUMNS, CELL_COLUMNS, CELL_ROWS = 2, 4, 5
 
@@ -37,8 +38,8 @@ def widened(df: DataFrame, vitals: list[str], ratio: float, width: int) -> DataF
 
 
 def nearest_rectangle(boxes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target box the candidate of least L1 distance, the first of equals. ``targets`` is a table of screens: few by nature, broadcast."""
+    """Per target box the candidate of least L1 distance, the first of equals. ``targets`` is a table of screens: few by nature."""
     sides = ("left", "top", "width", "height")
     distance = sum(F.abs(F.col(s) - F.col(f"t_{s}")) for s in sides)
     renamed = targets.select("idx", *[F.col(s).alias(f"t_{s}") for s in sides])
-    return boxes.crossJoin(F.broadcast(renamed)).groupBy("box").agg(F.min_by("idx", F.struct(distance.alias("d"), F.col("idx"))).alias("idx"), F.min(distance).alias("distance"))
+    return boxes.crossJoin(few(renamed)).groupBy("box").agg(F.min_by("idx", F.struct(distance.alias("d"), F.col("idx"))).alias("idx"), F.min(distance).alias("distance"))

@@ -20,3 +20,8 @@ def running_missing(df: DataFrame, field: str, value: str) -> DataFrame:
 def bed_key(bed: str = "bed_id", *others: str, default: str = "UNASSIGNED"):
     """First of the columns that is not empty, else the default."""
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in (bed, *others)], F.lit(default))
+
+
+def few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A small table, marked to be broadcast if it has at most so many rows; a larger one is joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

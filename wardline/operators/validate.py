@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mismatch_tolerance
+from .latest import few
 from .quantiles import with_quantiles
 
 
 def with_tolerance(df: DataFrame, tolerances: DataFrame, vital: str = "vital") -> DataFrame:
     """``tol`` of exactly the vital's name, else 0. The table has a row per vital name."""
-    return df.join(tolerances.select(F.col("vital").alias("_v"), "tol"), F.col(vital) == F.col("_v"), "left").drop("_v").withColumn("tol", F.coalesce("tol", F.lit(0.0)))
+    return df.join(few(tolerances.select(F.col("vital").alias("_v"), "tol")), F.col(vital) == F.col("_v"), "left").drop("_v").withColumn("tol", F.coalesce("tol", F.lit(0.0)))
 
 
 def compare(df: DataFrame, observed: str = "observed", truth: str = "truth", scored: Column | None = None) -> DataFrame:
@@ -51,7 +52,7 @@ def metrics(df: DataFrame, by: list[str] = (), digits: int = 6) -> DataFrame:
 
 def lag_grid(observed: DataFrame, lags: DataFrame, time: str) -> DataFrame:
     """Every observation at every lag (``lag_s``, seconds) of a small table: ``time`` moved by it."""
-    return observed.crossJoin(F.broadcast(lags)).withColumn(time, F.timestamp_add("MICROSECOND", (F.col("lag_s") * 1_000_000).cast("long"), F.col(time)))
+    return observed.crossJoin(few(lags)).withColumn(time, F.timestamp_add("MICROSECOND", (F.col("lag_s") * 1_000_000).cast("long"), F.col(time)))
 
 
 def best_lag(per_lag: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import first_number, invalid_reason, mismatch_tolerance, safe_float_finite, seconds_between
 from . import asof
+from .latest import few
 from .quantiles import quantiles
 from .validate import truth_source
 
@@ -149,7 +150,7 @@ def auto_lag(records: DataFrame, cells: DataFrame, snapshots: DataFrame, truth:
     """Match rate and mean error at every lag (``lag_s``, a small table), the best first: one run over all lags at once, in which a record at a lag is a record of its own. The best lag is the first row."""
     key = F.concat_ws("@", F.col("rec").cast("string"), F.col("lag_s").cast("string"))
     at = F.timestamp_add("MICROSECOND", (F.col("lag_s") * 1_000_000).cast("long"), F.col("ref_ts"))
-    moved = records.crossJoin(F.broadcast(lags)).withColumns({"ref_ts": at, "_rec": F.col("rec"), "rec": key})  # a few tens of lags
+    moved = records.crossJoin(few(lags)).withColumns({"ref_ts": at, "_rec": F.col("rec"), "rec": key})  # a few tens of lags
     own = cells.join(moved.select(F.col("_rec").alias("rec"), F.col("rec").alias("_key")), "rec").drop("rec").withColumnRenamed("_key", "rec")
     _, found = run(moved.drop("_rec", "lag_s"), own, snapshots, truth, None, tolerances, settings)
     lag = F.split(F.col("rec").cast("string"), "@")[1].cast("double")
