@@ -36,6 +36,8 @@ PRIOR_VOTES = 0.1
 AROUND = b"!\"'(),-.:;?[]_`{}~"
 #: Texts whose neighbours a task remembers.
 REMEMBERED = 5_000
+#: Bytes of text that a task has in arrays at once, about: these take some thirty times as much, beside the index.
+AT_ONCE = 2 << 20
 
 
 def terms_of(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +69,7 @@ def example_terms(train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 4096):
+            for part in slices(batch, 4096, AT_ONCE):
                 row, term, _ = terms_of(texts_in(part, 0))
                 y = np.array(part.column(1).to_pylist(), np.int64)
                 h, at = np.unique(term, return_inverse=True)
@@ -96,9 +98,10 @@ def document_frequencies(docs: DataFrame, wanted: np.ndarray, text_col: str) ->
         found, n = np.zeros(len(wanted), np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for part in slices(batch):
+            for part in slices(batch, most_bytes=AT_ONCE):
                 found += np.bincount(terms_of(texts_in(part, 0), wanted)[1], minlength=len(wanted))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(wanted))), pa.array(np.concatenate([[n], found]))], names=["term", "n"])
+        seen = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], seen])), pa.array(np.concatenate([[n], found[seen]]))], names=["term", "n"])
 
     out = np.zeros(len(wanted) + 1, np.int64)
     for r in docs.select(text_col).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row a term
@@ -201,7 +204,7 @@ def toxicity(
 
     def vectorize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most_bytes=AT_ONCE):
                 found = vectors(*terms_of(texts_in(part, 1), wanted), weight, part.num_rows)
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in found]), kind)) for k, kind in enumerate((pa.int64(), pa.float64()))]
@@ -231,7 +234,7 @@ def toxicity(
         index = shared.value
         known: dict[tuple, tuple[float, list]] = {}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most_bytes=AT_ONCE):
                 scores, found = [], []
                 for t, w in vectors(*terms_of(texts_in(part, 1), wanted), weight, part.num_rows):
                     if len(t) == 0:
