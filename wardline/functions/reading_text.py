@@ -116,3 +116,8 @@ def failed_reading(text: Column, value: Column, method: Column, confidence: Colu
         .when(exception, "exception")
         .when(all_empty, "parse_fail")
     )
+
+
+def all_passes_empty(passes: Column) -> Column:
+    """Whether there are passes (lists by name) and none of them found anything."""
+    return (F.size(passes) > 0) & F.forall(F.map_values(passes), lambda found: F.coalesce(F.array_size(found), F.lit(0)) == 0)

@@ -59,3 +59,10 @@ def digit_confusion(df: DataFrame, truth: str = "truth", read: str = "read", *by
     at = lambda c, i: F.coalesce(F.nullif(F.substring(F.col(c), i, F.lit(1)), F.lit("")), F.lit("_"))
     places = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(at("_a", i).alias("truth_digit"), at("_b", i).alias("pred_digit"))))
     return pairs.select(*by, F.explode(places).alias("p")).groupBy(*by, "p.truth_digit", "p.pred_digit").agg(F.count("*").alias("count"))
+
+
+def joined_tokens(df: DataFrame, keys: list[str], order: str, text: str, confidence: str) -> DataFrame:
+    """A reading's tokens joined in order, and the mean of their confidences (percent; negative ones are none) as a share."""
+    mean = F.avg(F.when(F.col(confidence) >= 0, F.col(confidence))) / 100
+    parts = F.array_sort(F.collect_list(F.struct(order, text)))  # of one reading
+    return df.groupBy(*keys).agg(mean.alias("confidence"), F.array_join(F.transform(parts, lambda p: p[text]), "").alias("text"))

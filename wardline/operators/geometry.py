@@ -43,3 +43,8 @@ def nearest_rectangle(boxes: DataFrame, targets: DataFrame) -> DataFrame:
     distance = sum(F.abs(F.col(s) - F.col(f"t_{s}")) for s in sides)
     renamed = targets.select("idx", *[F.col(s).alias(f"t_{s}") for s in sides])
     return boxes.crossJoin(few(renamed)).groupBy("box").agg(F.min_by("idx", F.struct(distance.alias("d"), F.col("idx"))).alias("idx"), F.min(distance).alias("distance"))
+
+
+def evenly(first: Column, last: Column, n: Column) -> Column:
+    """``n`` places from the first to the last, both included; one place is the first."""
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: first + (last - first) * F.coalesce(F.try_divide(i, n - 1), F.lit(0.0)))

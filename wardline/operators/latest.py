@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,9 @@ def bed_key(bed: str = "bed_id", *others: str, default: str = "UNASSIGNED"):
 def few(df: DataFrame, most: int = 10_000) -> DataFrame:
     """A small table, marked to be broadcast if it has at most so many rows; a larger one is joined as Spark sees fit."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def flagged_or_first(df: DataFrame, keys: list[str], flag: Column, order: list[str]) -> DataFrame:
+    """The first flagged row of each key, or the first of all where none is: partial minima, no sort."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(~F.coalesce(flag, F.lit(False)), *order)).alias("_b")).select(*keys, "_b.*")

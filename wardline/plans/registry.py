@@ -443,3 +443,6 @@ def validator_records(spark, d):
 def validator_comparisons(spark, d):
     _, found = validator_run(spark, d)
     return found.select("rec", "bed", "vital", "truth", "parsed", F.round("abs_error", 6).alias("abs_error"), F.col("match").alias("matched"), "invalid_reason")
+
+
+from . import forms  # noqa: E402, F401  (adds its queries)
