@@ -18,6 +18,8 @@ from wardline.llm.registry import tokenizer_file
 NEAR_PERCENT, NEAR_MATCHES = 80, 36
 #: Passages of over 50 words that repeat across documents are cut: strings of so many bytes are looked for (51 words are shorter only where words have under three letters on average), and runs of so many words go.
 PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
+#: Rows in an Arrow batch at most: a batch of texts is a few MB then, and it stands in the JVM, on its way and in the worker, with each text twice (in its row too).
+ARROW_ROWS = 2000
 #: Tables that the latest stage wrote for itself; the next one deletes those that it does not read.
 _own: list[str] = []
 
@@ -25,6 +27,9 @@ _own: list[str] = []
 def _begin(spark: SparkSession, docs: DataFrame) -> list[str]:
     scratch.release(spark, _own, needed_by=docs)
     _own.clear()
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
     return scratch.written()
 
 
