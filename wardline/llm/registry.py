@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann as _ann
+from . import cutting_stock as _cutting_stock
 from . import hmm as _hmm
 from . import importance as _importance
 from . import line_dedup as _lines
@@ -86,6 +87,11 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = _cutting_stock.pack(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), keep_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_learned_partitions": op2_learned_partitions,
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_trie_bpe": op10_trie_bpe,
+    "op11_cutting_stock_packing": op11_cutting_stock_packing,
 }
 
 _STOPS = " + ".join(f"contains(t, ' {w} ')::int" for w in _rules.STOP_WORDS)
