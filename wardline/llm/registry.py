@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann as _ann
+from . import block_max as _block_max
+from . import bucket_importance as _bucket_importance
 from . import cutting_stock as _cutting_stock
 from . import hmm as _hmm
 from . import importance as _importance
@@ -92,6 +94,15 @@ def op11_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op12_bucket_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = _bucket_importance.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _block_max.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_learned_partitions": op2_learned_partitions,
@@ -104,8 +115,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_trie_bpe": op10_trie_bpe,
     "op11_cutting_stock_packing": op11_cutting_stock_packing,
+    "op12_bucket_importance": op12_bucket_importance,
+    "op13_block_max_search": op13_block_max_search,
 }
 
+#: Terms of a text: ASCII letters and digits and all characters beyond ASCII, A-Z lower-cased.
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: CRC-32 of a word by a table of 256 steps, from the bytes that its hex digits name.
+_CRC_TABLE = "select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) tab"
+_CRC = "xor(list_reduce(list_transform(range(length(hex(w)) // 2), lambda j: ('0x' || substr(hex(w), 2 * j + 1, 2))::bigint), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint)"
+
 _STOPS = " + ".join(f"contains(t, ' {w} ')::int" for w in _rules.STOP_WORDS)
 _BROKEN = ", ".join(
     f"case when {' or '.join(([f'{r.measure} < {r.low}'] if r.low is not None else []) + ([f'{r.measure} > {r.high}'] if r.high is not None else []))} then '{r.measure}' end"
@@ -123,5 +142,27 @@ m as (select doc_id, len(ws)::bigint n_words, length(array_to_string(ws, ''))::b
   (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words, len(lines) n_lines, {_STOPS} distinct_stop_words from w left join c using (doc_id)),
 x as (select *, word_chars / nullif(n_words, 0) mean_word_chars, n_symbols / nullif(n_words, 0) symbol_word_ratio, n_dup_lines / nullif(n_lines, 0) dup_line_ratio, n_repeat_words / nullif(n_words, 0) repeat_word_ratio from m),
 b as (select *, coalesce(array_to_string(list_filter([{_BROKEN}], lambda z: z is not null), ','), '') broken_rules, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from x)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and broken_rules = '' kept, broken_rules from b""",
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and broken_rules = '' kept, broken_rules from b""",    "op12_bucket_importance": f"""
+with table_of as ({_CRC_TABLE}),
+d as (select row_number() over () r, doc_id, {_TERMS} ws from documents),
+f as (select r, w, count(*) n from (select r, unnest(ws) w from d) group by all),
+g as (select w, count(*) n from (select unnest({_TERMS}) w from benchmark) group by all),
+v as (select w, {_CRC} % 10000 b from (select w from f union select w from g), table_of),
+s as (select b, sum(n)::bigint s from f join v using (w) group by b), t as (select b, sum(n)::bigint t from g join v using (w) group by b),
+a as (select (select coalesce(sum(s), 0) from s)::double all_s, (select coalesce(sum(t), 0) from t)::double all_t),
+gains as (select b, floor(1000 * ln((coalesce(t, 0)::double + 1) * (all_s + 10000) / ((s::double + 1) * (all_t + 10000))))::bigint gain from s left join t using (b), a),
+x as (select r, sum(n * gain)::bigint weight from f join v using (w) join gains using (b) group by r),
+y as (select doc_id, len(ws)::bigint n_features, coalesce(weight, 0) weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint h from d left join x using (r)),
+z as (select *, weight + floor(-1000 * ln(-ln((h::double + 0.5) / 4294967296)))::bigint score from y),
+k as (select doc_id, n_features, weight, score, n_features >= 20 ok, row_number() over (partition by n_features >= 20 order by score desc, doc_id) place from z)
+select doc_id, n_features, weight, score, case when ok and place <= (select count(*) filter (ok) * 10 // 100 from k) then place end "rank" from k""",
+    "op13_block_max_search": f"""
+with d as (select doc_id, {_TERMS} ws from documents), own as (select row_number() over () r, doc_id, ws, len(ws) n from d where len(ws) > 0),
+a as (select count(*)::bigint big_n, sum(n)::bigint big_l from own),
+f as (select r, w, count(*) tf from (select r, unnest(ws) w from own) group by all),
+q as (select item_id, w, count(*) k from (select item_id, unnest({_TERMS}) w from benchmark) group by all),
+df as (select w, count(*) df from f where w in (select w from q) group by w),
+wt as (select w, floor(1000 * ln((2 * big_n + 2)::double / (2 * df + 1)::double))::bigint weight from df, a),
+s as (select item_id, r, doc_id, sum(k * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::bigint score from f join wt using (w) join q using (w) join own using (r), a group by all)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int "rank", doc_id, score from s where score > 0 qualify row_number() over (partition by item_id order by score desc, doc_id) <= 20""",
 }
