@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def latest(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """The row of each key that came last, whole. Works on streams (complete or update mode) too."""
@@ -17,6 +19,12 @@ def running_missing(df: DataFrame, field: str, value: str) -> DataFrame:
     return df.groupBy(field).agg(F.count("*").alias("n"), F.count_if(F.col(value).isNull()).alias("missing"))
 
 
+def running_missing_at(df: DataFrame, field: str, frame: str, value: str, step: int) -> DataFrame:
+    """For each field and frame (a number): readings and missing readings in it, and those of all frames so far. Frames are ``step`` to a part (see ``scan``)."""
+    counts = df.groupBy(field, frame).agg(F.count("*").alias("n"), F.count_if(F.col(value).isNull()).alias("missing"))
+    return scan.scan(counts, [field], [frame], step, n_so_far=scan.total(F.col("n")), missing_so_far=scan.total(F.col("missing")))
+
+
 def bed_key(bed: str = "bed_id", *others: str, default: str = "UNASSIGNED"):
     """First of the columns that is not empty, else the default."""
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in (bed, *others)], F.lit(default))

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import reading_text as R
 from ..functions import scalars as S
-from ..operators import asof, engines, geometry, latest, messages, quantiles, readings, validate, validation
+from ..operators import asof, continuity, engines, geometry, latest, messages, quantiles, readings, scan, validate, validation
 
 FLAGSHIP = "match_metrics"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,6 +154,27 @@ def running_missing(spark, d):
     return latest.running_missing(table(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 11 != 0, F.col("value"))), "event_type", "value")
 
 
+@query("""with f as (select event_type, (epoch_us(ts) // 10000000)::bigint frame, count(*) n, count(*) filter (value is null or event_id % 11 = 0) missing from events group by all)
+  select event_type, frame, n, missing, (sum(n) over w)::bigint n_so_far, (sum(missing) over w)::bigint missing_so_far from f window w as (partition by event_type order by frame)""")
+def running_missing_frames(spark, d):
+    e = table(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 11 != 0, F.col("value")))
+    e = e.withColumn("frame", F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 10_000_000).cast("long"))
+    return latest.running_missing_at(e, "event_type", "frame", "value", scan.width(e, ["event_type"], "frame"))
+
+
+@query("""select event_id, user_id, count(*) over w nth, count(*) filter (event_id % 11 = 0) over w missing_so_far, (sum(value) over w)::decimal(18,2)::double value_so_far, max(value) over w most, arg_max(case when event_id % 3 = 0 then event_type end, case when event_id % 3 = 0 then event_id end) over (w rows between unbounded preceding and 1 preceding) last_third
+  from events window w as (partition by event_type order by event_id)""")
+def running_rows(spark, d):
+    """Counts, sums, greatest and last values along each type's events: few keys, each cut into many parts."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    i = F.col("event_id")
+    ran = scan.scan(
+        e, ["event_type"], ["event_id"], scan.width(e, ["event_type"], "event_id"), nth=scan.total(F.lit(1)), missing_so_far=scan.total((i % 11 == 0).cast("int")),
+        value_so_far=scan.total(F.col("value").cast("decimal(18,2)")), most=scan.most(F.col("value")), last_third=scan.latest(F.when(i % 3 == 0, F.col("event_type")), upto=False),
+    )
+    return ran.select("event_id", "user_id", "nth", "missing_so_far", F.col("value_so_far").cast("double").alias("value_so_far"), "most", "last_third")
+
+
 @query("""with m as (select user_id, ts::date as dd, event_type, arg_max(value, event_id) v from events group by all),
   s as (select user_id, ts::date as dd, max(date_trunc('second', ts)) sent from events group by all)
   select m.user_id::varchar bed_id, strftime(dd, '%Y%m%d') as "day", event_type vital, v "value", s.sent message_time from m join s using (user_id, dd)""")
@@ -244,6 +265,30 @@ def continuity_score(spark, d):
     return p.select("event_id", F.round(readings.continuity_bonus(F.col("v"), F.col("prior")), 6).alias("bonus"))
 
 
+def _bonus(v: str) -> str:
+    r = f"abs({v} - state) / greatest(abs(state), 1.0)"
+    return f"case when {v} is null or state is null then 0.0 when {r} <= 0.03 then 0.25 when {r} <= 0.10 then 0.15 when {r} <= 0.30 then 0.05 else -0.10 end::double"
+
+
+def _chosen(source: str) -> str:
+    scored = f"(select *, b0 + {_bonus('v0')} s0, b1 + {_bonus('v1')} s1, b2::double s2 from ({source}))"
+    picked = f"(select *, case when s0 >= s1 and s0 >= s2 then 0 when s1 >= s2 then 1 else 2 end choice from {scored})"
+    return f"select bed, event_type, n, event_id, choice, state prior, case choice when 0 then v0 when 1 then v1 end \"value\", coalesce(case choice when 0 then v0 when 1 then v1 end, state) state from {picked}"
+
+
+@query(f"""with recursive f as (select (user_id % 6)::bigint bed, event_type, event_id, row_number() over (partition by user_id % 6, event_type order by event_id) n, case when event_id % 4 <> 0 then value end v0, value * 10 v1,
+    0.5::double + (event_id * 7 % 50) / 100::double b0, 0.5::double + (event_id * 13 % 50) / 100::double b1, 0.4::double + (event_id * 29 % 60) / 100::double b2 from events),
+  run as ({_chosen('select *, null::double state from f where n = 1')} union all {_chosen('select f.*, run.state from run join f on f.bed = run.bed and f.event_type = run.event_type and f.n = run.n + 1')})
+  select event_id, bed, event_type, choice, "value", prior, state held, "value" is null and prior is not null imputed from run""")
+def recursive_continuity(spark, d):
+    """Three candidates an event (the reading, or none on every fourth; ten times it; no number), each choice the prior of the next."""
+    i = F.col("event_id")
+    c = lambda value, low, by, of: F.struct(value.alias("value"), (F.lit(low) + (i * by % of) / 100).alias("base"))
+    candidates = F.array(c(F.when(i % 4 != 0, F.col("value")), 0.5, 7, 50), c(F.col("value") * 10, 0.5, 13, 50), c(F.lit(None).cast("double"), 0.4, 29, 60))
+    frames = table(spark, d, "events").select((F.col("user_id") % 6).alias("bed"), "event_type", "event_id", candidates.alias("candidates"))
+    return continuity.choose(frames, ["bed", "event_type"], "event_id", step=scan.width(frames, ["bed", "event_type"], "event_id", continuity.STEP))
+
+
 @query("""with c as (select l_orderkey, l_linenumber, l_quantity q, l_discount conf, l_quantity::bigint::varchar t, l_linenumber % 2 = 0 ok from lineitem),
   s as (select *, 1.5 * conf + case when ok then 0.8 else -0.4 end + 0.08 * least(length(t), 4) + 0.2 score from c)
   select l_orderkey, l_linenumber, q, round(score, 6) score from s qualify row_number() over (partition by l_orderkey order by round(score, 6) desc, l_linenumber, q) = 1""")
@@ -275,9 +320,9 @@ def capped_failures(spark, d):
 @query("""with p as (select l_orderkey, l_linenumber, l_partkey, l_quantity::bigint v, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) i from lineitem)
   select l_orderkey, i, max(v - i) over (partition by l_orderkey order by i) + i fixed from p""")
 def strictly_rising(spark, d):
-    p = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("o"), F.col("l_quantity").cast("long").alias("v"))
-    fixed = readings.strictly_rising(p, ["l_orderkey"], "o", "v")
-    return fixed.select("l_orderkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("o")).cast("long").alias("i"), "fixed")
+    p = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("v"))
+    fixed = readings.strictly_rising(p, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "v")
+    return fixed.select("l_orderkey", F.col("nth").alias("i"), "fixed")
 
 
 @query("select user_id, max(ts) ts, max(ts) < timestamp '2024-01-30' stale from events group by user_id")
