@@ -165,7 +165,44 @@ def test_validator_sources_and_lags(spark):
     assert got[3] == ("cache_dir_search", "s2", True, None) and got[5] == ("monitor_cache_fallback", None, False, "truth_dt_none") and got[6][3] == "ocr_dt_none+truth_dt_none"
     m = V.metrics(chosen, found).first()
     assert (m.total, m.fallback_used, m.nearest_fallback_used, m.dt_skipped) == (9, 3, 1, 2) and m.dt_skip_reason_counts == '{"ocr_dt_none+truth_dt_none":1,"truth_dt_none":1}'
-    assert len(m) == 21
-    lags = spark.createDataFrame([(float(x),) for x in (-10, 0, 30)], "lag_s double")
-    best = V.auto_lag(records.where("rec = 0"), cells, snapshots, truth, tol, lags).collect()
-    assert best[0].lag_s == 0.0 and best[0].match_rate == 1.0 or best[0].lag_s == -10.0
+    assert len(m) == 22
+    # The cache's own time counts, where its document has one.
+    chosen, _ = V.run(records, cells, snapshots, truth, as_time([("b", "HR", 61.0, ts(1))], "bed string, vital string, truth double, event_ts string", "event_ts"), tol)
+    got = {r.rec: (r.source, r.dt_s, r.dt_skipped) for r in chosen.collect()}
+    assert got[5] == ("monitor_cache_fallback", 4.0, None) and got[6] == ("monitor_cache_fallback", None, "ocr_dt_none")
+
+
+def _validator_case(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    t = "timestamp_ntz"
+    stamp = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    as_time = lambda rows, schema, *cols: spark.createDataFrame(rows, schema).withColumns({c: F.col(c).cast(t) for c in cols})
+    snaps = [f"s{k}" for k in range(12)]
+    snapshots = as_time([(s, stamp(rng.randint(20, 80)), rng.choice([None, stamp(50)]), rng.random() > 0.25) for s in snaps], "snap string, snapshot_ts string, event_ts string, loaded boolean", "snapshot_ts", "event_ts")
+    truth = spark.createDataFrame([(s, "b", v, float(rng.randint(0, 4))) for s in snaps for v in ("HR", "RR", "NO") if rng.random() > 0.1], "snap string, bed string, vital string, truth double")
+    records = as_time([(r, rng.choice([None, *[stamp(rng.randint(15, 90))] * 9]), rng.choice([None, "lost", *snaps]), rng.choice([None, "lost", *snaps])) for r in range(15)], "rec long, ref_ts string, path string, path_before string", "ref_ts")
+    cells = spark.createDataFrame([(r, "b", v, None, str(rng.randint(0, 4))) for r in range(15) for v in ("HR", "RR", "NO") if rng.random() > 0.1], "rec long, bed string, vital string, text string, value string")
+    cache = spark.createDataFrame([("b", "HR", 2.0)], "bed string, vital string, truth double")
+    return records, cells, snapshots, truth, cache, spark.createDataFrame([("HR", 1.0)], "vital string, tol double")
+
+
+@pytest.mark.parametrize(("seed", "settings"), [
+    (1, {"lookback_s": 5.0, "most": 2, "nearest_past": True}), (2, {"lookback_s": 8.0, "most": 0, "prefer_auto": True}), (3, {"lookback_s": 0.0, "most": 1, "nearest_past": True, "score_fields": ("HR", "NO")}),
+])
+def test_auto_lag_equals_a_run_at_each_lag(spark, seed, settings):
+    from wardline.operators import lags as L
+    from wardline.operators import validation as V
+
+    records, cells, snapshots, truth, cache, tol = _validator_case(spark, seed)
+    cache = cache if seed == 1 else None
+    grid = (-9.0, -2.5, 0.0, 3.0, 10.0)
+    got = L.auto_lag(records, cells, snapshots, truth, cache, tol, grid, V.Settings(**settings)).collect()
+    want = []
+    for lag in grid:
+        _, found = V.run(records, cells, snapshots, truth, cache, tol, V.Settings(**settings, lag_s=lag))
+        n, m, e = found.where("scored").agg(F.count("*"), F.count_if("match"), F.avg("abs_error")).first()
+        want.append((lag, n, m, round(m / n if n else 0.0, 9), round(e or 0.0, 9)))
+    assert [(r.lag_s, r.total, r.matched, round(r.match_rate, 9), round(r.mean_abs_error, 9)) for r in sorted(got, key=lambda r: r.lag_s)] == want
+    assert [r.lag_s for r in got if r.best] == [min(want, key=lambda w: (-w[3], w[4], w[0]))[0]]

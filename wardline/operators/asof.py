@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _seconds(ts: str) -> Column:
+def micros(ts: str) -> Column:
     """Whole microseconds of a zoned or zoneless time, by which bins and order agree."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
 
@@ -20,10 +20,10 @@ def range_join(left: DataFrame, right: DataFrame, left_time: str, right_time: st
     """
     width = int(lookback_s * 1_000_000)
     keys = list(keys)
-    bin_of = lambda c: F.floor(_seconds(c) / F.lit(width))
+    bin_of = lambda c: F.floor(micros(c) / F.lit(max(width, 1)))
     a = left.withColumn("_bin", F.explode(F.array(bin_of(left_time), bin_of(left_time) - 1)))
     b = right.withColumn("_bin", bin_of(right_time))
-    near = (_seconds(left_time) - _seconds(right_time)).between(0, width)
+    near = (micros(left_time) - micros(right_time)).between(0, width)
     joined = a.join(b, ["_bin", *keys], "inner").where(near).drop("_bin")
     if most is not None:
         w = Window.partitionBy("_left").orderBy(F.desc(right_time), *order)
@@ -40,8 +40,8 @@ def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, key
     """
     keys, sign = list(keys), -1 if forward else 1
     rest = [c for c in right.columns if c not in keys]
-    bucket = lambda c: F.floor(_seconds(c) / F.lit(bucket_s * 1_000_000)).cast("long")
-    at = lambda c: sign * _seconds(c)
+    bucket = lambda c: F.floor(micros(c) / F.lit(bucket_s * 1_000_000)).cast("long")
+    at = lambda c: sign * micros(c)
     payload = F.struct(*[F.col(c) for c in rest])
     r = right.where(F.col(right_time).isNotNull()).select(*keys, (sign * bucket(right_time)).alias("_b"), at(right_time).alias("_t"), F.lit(1 if strict else 0).alias("_s"), payload.alias("_r"), F.lit(None).alias("_l"))
     whole = F.struct(*[F.col(c) for c in left.columns])
@@ -69,8 +69,8 @@ def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
     rest = [c for c in right.columns if c not in keys]
     past = asof(left, right.select(*keys, *[F.col(c).alias(f"_p_{c}") for c in rest]), left_time, f"_p_{right_time}", keys, bucket_s)
     both = asof(past, right.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in rest]), left_time, f"_n_{right_time}", keys, bucket_s, forward=True)
-    back = _seconds(left_time) - _seconds(f"_p_{right_time}")
-    ahead = _seconds(f"_n_{right_time}") - _seconds(left_time)
+    back = micros(left_time) - micros(f"_p_{right_time}")
+    ahead = micros(f"_n_{right_time}") - micros(left_time)
     ahead_nearer = F.coalesce(ahead < back, back.isNull())
     use_next = ahead_nearer & (back.isNull() | (ahead <= F.lit(int(window_s * 1_000_000))))
     chosen = [F.when(use_next, F.col(f"_n_{c}")).otherwise(F.col(f"_p_{c}")).alias(c) for c in rest]

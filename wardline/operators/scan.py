@@ -69,7 +69,7 @@ def width(df: DataFrame, keys: Sequence[str], order: str, rows: int = ROWS) -> i
     sums = steps.groupBy("_g", "_k", shift(F.col("_b"), F.col("_k")).alias("_p")).agg(F.sum("_n").alias("_n"))
     largest = {r["_k"]: r["_m"] for r in sums.groupBy("_k").agg(F.max("_n").alias("_m")).collect()}  # DOUBLINGS + 1 rows
     fit = [k for k in range(DOUBLINGS + 1) if largest[k] <= rows]
-    return 1 << (finest + max(fit)) if fit else 1
+    return 1 << min(62, finest + max(fit)) if fit else 1
 
 
 def _row_window(part: WindowSpec, upto: bool) -> WindowSpec:

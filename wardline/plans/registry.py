@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reading_text as R
 from ..functions import scalars as S
-from ..operators import asof, continuity, engines, geometry, latest, messages, quantiles, readings, scan, validate, validation
+from ..operators import asof, continuity, engines, geometry, lags, latest, messages, quantiles, readings, scan, validate, validation
 
 FLAGSHIP = "match_metrics"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,8 +107,8 @@ def skip_reasons(spark, d):
   hit as (select s.*, t.truth, t.truth_ts from shifted s asof left join truth t on s.vital = t.vital and s.read_ts >= t.truth_ts)
   select lag_s, count(*) total, count(*) filter (abs(observed - truth) <= 50.0) matched, round(avg(abs(observed - truth)), 6) mean_abs_error from hit group by 1""")
 def lag_grid(spark, d):
-    lags = spark.createDataFrame([(float(x),) for x in (-600, -300, 0, 300, 600)], "lag_s double")
-    hit = asof.asof(validate.lag_grid(read_rows(spark, d), lags, "read_ts"), truth_rows(spark, d), "read_ts", "truth_ts", ["vital"])
+    few_lags = spark.createDataFrame([(float(x),) for x in (-600, -300, 0, 300, 600)], "lag_s double")
+    hit = asof.asof(validate.lag_grid(read_rows(spark, d), few_lags, "read_ts"), truth_rows(spark, d), "read_ts", "truth_ts", ["vital"])
     error = F.abs(F.col("observed") - F.col("truth"))
     return hit.groupBy("lag_s").agg(F.count("*").alias("total"), F.count_if(error <= 50.0).alias("matched"), F.round(F.avg(error), 6).alias("mean_abs_error"))
 
@@ -394,9 +394,9 @@ def anti_join(spark, d):
     return table(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("select c_custkey, coalesce(n_name, 'unknown') nation from customer left join (select * from nation where n_nationkey % 5 <> 0) on c_nationkey = n_nationkey")
+@query("select c_custkey, coalesce(n_name, 'unknown') nation from customer left join nation on c_nationkey = n_nationkey + 5")
 def dim_lookup(spark, d):
-    n = table(spark, d, "nation").where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    n = table(spark, d, "nation").select((F.col("n_nationkey") + 5).alias("c_nationkey"), "n_name")  # the least keys have none
     return table(spark, d, "customer").join(n, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", F.lit("unknown")).alias("nation"))
 
 
@@ -432,52 +432,98 @@ def truth_source(spark, d):
     return table(spark, d, "events").select("event_id", source.alias("source"))
 
 
-VALIDATOR = """h as (select *, (epoch_us(ts) // 3600000000)::bigint rec, (user_id % 6)::varchar bed, event_type vital from events),
-  truth as (select rec hr, bed, vital, arg_max(value, event_id) truth from h group by all),
-  snap as (select distinct hr, hr::varchar snap, make_timestamp(hr * 3600000000) + interval 5 minute snapshot_ts from truth),
+def validator_sql(lookback_s: int = 10_800, most: int = 2, early: bool = False, unread: bool = False, cache: bool = False, nearest: bool = False, prefer_auto: bool = False, lags: str = "values (0.0::double)") -> str:
+    """Steps of a validator run: every record at every lag."""
+    limit = f"qualify row_number() over (partition by rec, lag_s order by snapshot_ts desc) <= {most}" if most else ""
+    past = f"union all select r.rec, r.lag_s, r.ref_ts, s.hr, s.snapshot_ts, s.ok, epoch_us(r.ref_ts) - epoch_us(s.snapshot_ts), true from (select * from rec anti join inside using (rec, lag_s) where ref_ts is not null) r asof join snap s on r.ref_ts >= s.snapshot_ts" if nearest else ""
+    far = f"coalesce(abs(epoch_us(ref_ts) - epoch_us(explicit_ts)) > {lookback_s * 1_000_000}, false)"
+    rest = "'monitor_cache_fallback'" if cache else "'skipped'"
+    first = "when auto is not null then 'cache_dir_search' when explicit is not null then 'explicit_snapshot'" if prefer_auto else f"when explicit is not null and not ({far} and auto is not null) then 'explicit_snapshot' when auto is not null then 'cache_dir_search'"
+    return f"""h as (select *, (epoch_us(ts) // 3600000000)::bigint rec, ((epoch_us(ts) - 1200000000) // 3600000000)::bigint seen, (user_id % 6)::varchar bed, event_type vital from events),
+  truth as (select rec hr, bed, vital, arg_max(value, event_id) truth from h group by all), now as (select bed, vital, arg_max(value, event_id) truth from h group by all), now_at as (select max(ts) now_ts from h),
+  snap as (select distinct hr, hr::varchar snap, make_timestamp(hr * 3600000000) + interval 5 minute snapshot_ts, {"hr % 13 <> 0" if unread else "true"} ok from truth),
   cells as (select rec, bed, vital, case when i % 13 = 0 then '--' when i % 17 = 0 then '' else v::decimal(18,2)::varchar end "text", case when i % 13 <> 0 and i % 17 <> 0 then v::decimal(18,2)::double end parsed
-    from (select rec, bed, vital, max(event_id) i, arg_max(round(value + (event_id % 7) / 10.0, 2), event_id) v from h where event_id % 4 <> 0 group by all)),
-  rec as (select rec, case when rec % 11 <> 0 then make_timestamp(rec * 3600000000) + interval 10 minute end ref_ts, case rec % 3 when 0 then rec::varchar when 2 then 'missing' end path, case when rec % 5 = 0 then (rec - 7)::varchar end path_before from (select distinct rec from h)),
+    from (select seen rec, bed, vital, max(event_id) i, arg_max(round(value + (event_id % 7) / 10.0, 2), event_id) v from h group by all)),
+  lag(lag_s) as ({lags}),
+  rec as (select rec, lag_s, case when rec % 11 <> 0 then make_timestamp(rec * 3600000000) + {"to_minutes(case when rec % 4 = 1 then 3 else 10 end)" if early else "interval 10 minute"} + to_microseconds((lag_s * 1000000)::bigint) end ref_ts,
+    case rec % 3 when 0 then rec::varchar when 2 then 'missing' end path, case when rec % 5 = 0 then (rec - 7)::varchar end path_before from (select distinct rec from h), lag),
   tol(vital, tol) as (values ('click', 0.3), ('view', 0.5), ('error', 5.0)),
-  cand as (select rec, ref_ts, hr, snapshot_ts, epoch_us(ref_ts) - epoch_us(snapshot_ts) delta from rec join snap on snapshot_ts between ref_ts - interval 3 hour and ref_ts qualify row_number() over (partition by rec order by snapshot_ts desc) <= 2),
-  pair as (select cand.*, abs(c.parsed - t.truth) err, coalesce(abs(c.parsed - t.truth) <= coalesce(tol.tol, 0), false) ok from cand join truth t using (hr) left join cells c on c.rec = cand.rec and c.bed = t.bed and c.vital = t.vital left join tol on tol.vital = t.vital),
-  score as (select rec, hr, snapshot_ts, delta, count(*) filter (ok) matched, coalesce(round(avg(err), 9), 'infinity'::double) mae from pair group by all),
-  auto as (select rec, hr auto, snapshot_ts auto_ts from score qualify row_number() over (partition by rec order by matched desc, mae, delta) = 1),
-  ex as (select r.*, coalesce(a.hr, b.hr) explicit, coalesce(a.snapshot_ts, b.snapshot_ts) explicit_ts, case when a.hr is not null then 'path' when b.hr is not null then 'path_before' end key,
-    case when a.hr is not null then 0 else (path is not null)::int + (path_before is not null and b.hr is null)::int end missing from rec r left join snap a on a.snap = path left join snap b on b.snap = path_before),
-  ch as (select *, case when explicit is not null and not (coalesce(abs(epoch_us(ref_ts) - epoch_us(explicit_ts)) > 10800000000, false) and auto is not null) then 'explicit_snapshot' when auto is not null then 'cache_dir_search' else 'skipped' end source from ex left join auto using (rec)),
-  chosen as (select *, case source when 'explicit_snapshot' then explicit when 'cache_dir_search' then auto end hr, case source when 'explicit_snapshot' then coalesce((epoch_us(ref_ts) - epoch_us(explicit_ts)) / 1e6, 0.0) when 'cache_dir_search' then (epoch_us(ref_ts) - epoch_us(auto_ts)) / 1e6 end dt from ch),
-  item as (select ch.rec, t.bed, t.vital, t.truth, c."text", c.parsed, abs(c.parsed - t.truth) err, coalesce(abs(c.parsed - t.truth) <= coalesce(tol.tol, 0), false) ok from chosen ch join truth t using (hr) left join cells c on c.rec = ch.rec and c.bed = t.bed and c.vital = t.vital left join tol on tol.vital = t.vital)"""
+  inside as (select rec, lag_s, ref_ts, hr, snapshot_ts, ok, epoch_us(ref_ts) - epoch_us(snapshot_ts) delta, false nearest from rec join snap on snapshot_ts between ref_ts - interval {lookback_s} second and ref_ts {limit}),
+  cand as (from inside {past}),
+  pair as (select p.rec, p.hr, abs(c.parsed - t.truth) err, coalesce(abs(c.parsed - t.truth) <= coalesce(tol.tol, 0), false) ok from (select distinct rec, hr from cand where ok) p join truth t using (hr) left join cells c on c.rec = p.rec and c.bed = t.bed and c.vital = t.vital left join tol on tol.vital = t.vital),
+  score as (select rec, hr, count(*) filter (ok) matched, coalesce(round(avg(err), 9), 'infinity'::double) mae from pair group by all),
+  auto as (select rec, lag_s, hr auto, snapshot_ts auto_ts, nearest from cand join score using (rec, hr) where ok qualify row_number() over (partition by rec, lag_s order by matched desc, mae, delta) = 1),
+  ex as (select r.*, case when a.ok then a.hr when b.ok then b.hr end explicit, case when a.ok then a.snapshot_ts when b.ok then b.snapshot_ts end explicit_ts, case when a.ok then 'path' when b.ok then 'path_before' end key,
+    case when a.ok then 0 else (path is not null and a.hr is null)::int + (path_before is not null and b.hr is null)::int end missing, case when a.ok then 0 else coalesce((not a.ok)::int, 0) + coalesce((not b.ok)::int, 0) end load_errors
+    from rec r left join snap a on a.snap = path left join snap b on b.snap = path_before),
+  ch as (select *, case {first} else {rest} end source from ex left join auto using (rec, lag_s)),
+  chosen as (select * replace (case when {str(prefer_auto).lower()} and auto is not null then null else key end as key, case when {str(prefer_auto).lower()} and auto is not null then 0 else missing end as missing, case when {str(prefer_auto).lower()} and auto is not null then 0 else load_errors end as load_errors),
+    case source when 'explicit_snapshot' then explicit when 'cache_dir_search' then auto end hr, coalesce(nearest and source = 'cache_dir_search', false) nearest_used,
+    case source when 'explicit_snapshot' then coalesce((epoch_us(ref_ts) - epoch_us(explicit_ts)) / 1e6, 0.0) when 'cache_dir_search' then (epoch_us(ref_ts) - epoch_us(auto_ts)) / 1e6 when 'monitor_cache_fallback' then (epoch_us(ref_ts) - epoch_us(now_ts)) / 1e6 end dt from ch, now_at),
+  used as (select ch.rec, ch.lag_s, t.bed, t.vital, t.truth from chosen ch join truth t using (hr) union all select ch.rec, ch.lag_s, now.bed, now.vital, now.truth from chosen ch, now where source = 'monitor_cache_fallback'),
+  item as (select u.*, c."text", c.parsed, abs(c.parsed - u.truth) err, coalesce(abs(c.parsed - u.truth) <= coalesce(tol.tol, 0), false) ok from used u left join cells c on c.rec = u.rec and c.bed = u.bed and c.vital = u.vital left join tol on tol.vital = u.vital)"""
+
+
+VALIDATOR = validator_sql()
+METRICS_SQL = """c as (select count(*) total, count(*) filter (ok) matched, avg(err) mae, median(err) med, count(*) filter (parsed is null) missing, count(*) filter (parsed is null) invalid from item),
+  r as (select count(*) filter (key = 'path_before') snapshot_before_used, count(*) filter (key = 'path') snapshot_used, count(*) filter (source = 'explicit_snapshot') explicit_used, count(*) filter (source = 'cache_dir_search') auto_used,
+    count(*) filter (source = 'monitor_cache_fallback' or nearest_used) fallback_used, sum(missing)::bigint snapshot_missing, sum(load_errors)::bigint snapshot_load_error, count(*) filter (source = 'skipped') skipped, count(*) filter (nearest_used) nearest_fallback_used,
+    avg(abs(dt)) dm, median(abs(dt)) dd, quantile_cont(abs(dt), 0.9) dp, count(dt) dn, count(*) filter (source <> 'skipped' and dt is null) ds from chosen),
+  w as (select case when ref_ts is null then 'ocr_dt_none' else 'truth_dt_none' end why, count(*) n from chosen where source <> 'skipped' and dt is null group by 1)
+  select total, round(matched / total, 6) match_rate, round(mae, 6) mean_abs_error, round(med, 6) median_abs_error, round(missing / total, 6) missing_rate, round(invalid / total, 6) invalid_rate, snapshot_before_used, snapshot_used, explicit_used, auto_used,
+    fallback_used, snapshot_missing, snapshot_load_error, skipped skipped_truth_unavailable, case when skipped > 0 then '{"truth_unavailable":' || skipped || '}' else '{}' end skip_reason_counts, nearest_fallback_used,
+    round(dm, 6) dt_mean_seconds, round(dd, 6) dt_median_seconds, round(dp, 6) dt_p90_seconds, dn dt_evaluated, ds dt_skipped, '{' || coalesce((select string_agg('"' || why || '":' || n, ',' order by why) from w), '') || '}' dt_skip_reason_counts from c, r"""
 
 
-def validator_run(spark, d):
-    """Hours of events as snapshots of truth and as records of readings of them; records name their own hour, an hour too far back, one that is not there, or none."""
-    hour = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 3_600_000_000).cast("long")
-    h = table(spark, d, "events").select("event_id", "value", hour.alias("rec"), (F.col("user_id") % 6).cast("string").alias("bed"), F.col("event_type").alias("vital"))
+def validator_tables(spark, d, early: bool = False, unread: bool = False):
+    """Hours of events as snapshots of truth, and readings of the events from twenty minutes past each hour; records name their own hour, an hour too far back, one that is not there, or none.
+
+    ``early``: each fourth record is from before its hour's snapshot. ``unread``: each thirteenth snapshot could not be read.
+    """
+    hour = lambda late: F.floor((F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) - late) / 3_600_000_000).cast("long")
+    h = table(spark, d, "events").select("event_id", "ts", "value", hour(0).alias("rec"), hour(1_200_000_000).alias("seen"), (F.col("user_id") % 6).cast("string").alias("bed"), F.col("event_type").alias("vital"))
     at = lambda minutes: F.timestamp_add("MINUTE", (F.col("rec") * 60 + minutes).cast("int"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     truth = h.groupBy(F.col("rec").cast("string").alias("snap"), "bed", "vital").agg(F.max_by("value", "event_id").alias("truth"))
     hours = h.select("rec").distinct()
-    snapshots = hours.select(F.col("rec").cast("string").alias("snap"), at(5).alias("snapshot_ts"), F.lit(None).cast("timestamp_ntz").alias("event_ts"))
+    r = F.col("rec")
+    snapshots = hours.select(r.cast("string").alias("snap"), at(5).alias("snapshot_ts"), F.lit(None).cast("timestamp_ntz").alias("event_ts"), (r % 13 != 0 if unread else F.lit(True)).alias("loaded"))
     v = F.round(F.col("value") + (F.col("event_id") % 7) / 10, 2)
-    cells = h.where("event_id % 4 <> 0").groupBy("rec", "bed", "vital").agg(F.max("event_id").alias("i"), F.max_by(v, "event_id").cast("decimal(18,2)").cast("string").alias("v"))
+    cells = h.groupBy(F.col("seen").alias("rec"), "bed", "vital").agg(F.max("event_id").alias("i"), F.max_by(v, "event_id").cast("decimal(18,2)").cast("string").alias("v"))
     bad = (F.col("i") % 13 == 0) | (F.col("i") % 17 == 0)
     cells = cells.select("rec", "bed", "vital", F.when(F.col("i") % 13 == 0, "--").when(F.col("i") % 17 == 0, "").otherwise(F.col("v")).alias("text"), F.when(~bad, F.col("v")).alias("value"))
-    r = F.col("rec")
-    records = hours.select("rec", F.when(r % 11 != 0, at(10)).alias("ref_ts"), F.when(r % 3 == 0, r.cast("string")).when(r % 3 == 2, "missing").alias("path"), F.when(r % 5 == 0, (r - 7).cast("string")).alias("path_before"))
+    minute = F.when(r % 4 == 1, 3).otherwise(10) if early else F.lit(10)
+    records = hours.select("rec", F.when(r % 11 != 0, at(minute)).alias("ref_ts"), F.when(r % 3 == 0, r.cast("string")).when(r % 3 == 2, "missing").alias("path"), F.when(r % 5 == 0, (r - 7).cast("string")).alias("path_before"))
+    cache = h.groupBy("bed", "vital").agg(F.max_by("value", "event_id").alias("truth")).crossJoin(F.broadcast(h.agg(F.max("ts").alias("event_ts"))))  # one row
     tolerances = spark.createDataFrame([("click", 0.3), ("view", 0.5), ("error", 5.0)], "vital string, tol double")
+    return records, cells, snapshots, truth, cache, tolerances
+
+
+def validator_run(spark, d):
+    records, cells, snapshots, truth, _, tolerances = validator_tables(spark, d)
     return validation.run(records, cells, snapshots, truth, None, tolerances, validation.Settings(lookback_s=10_800, most=2))
 
 
-@query(f"""with {VALIDATOR}, c as (select count(*) total, count(*) filter (ok) matched, avg(err) mae, median(err) med, count(*) filter (parsed is null) missing from item),
-  r as (select count(*) filter (key = 'path_before') snapshot_before_used, count(*) filter (key = 'path') snapshot_used, count(*) filter (source = 'explicit_snapshot') explicit_used, count(*) filter (source = 'cache_dir_search') auto_used,
-    sum(missing)::bigint snapshot_missing, count(*) filter (source = 'skipped') skipped, avg(abs(dt)) dm, median(abs(dt)) dd, quantile_cont(abs(dt), 0.9) dp, count(dt) dn from chosen)
-  select total, round(matched / total, 6) match_rate, round(mae, 6) mean_abs_error, round(med, 6) median_abs_error, round(missing / total, 6) missing_rate, round(missing / total, 6) invalid_rate, snapshot_before_used, snapshot_used, explicit_used, auto_used,
-    0::bigint fallback_used, snapshot_missing, skipped skipped_truth_unavailable, case when skipped > 0 then '{{"truth_unavailable":' || skipped || '}}' else '{{}}' end skip_reason_counts, 0::bigint nearest_fallback_used,
-    round(dm, 6) dt_mean_seconds, round(dd, 6) dt_median_seconds, round(dp, 6) dt_p90_seconds, dn dt_evaluated, 0::bigint dt_skipped, '{{}}' dt_skip_reason_counts from c, r""")
+@query(f"with {VALIDATOR}, {METRICS_SQL}")
 def validator_metrics(spark, d):
     return validation.metrics(*validator_run(spark, d))
 
 
+FALLBACKS = {"lookback_s": 300, "most": 0, "nearest": True}
+
+
+@query(f"with {validator_sql(**FALLBACKS, early=True, unread=True, cache=True)}, {METRICS_SQL}")
+def validator_fallbacks(spark, d):
+    """With the cache, the nearest past snapshot, snapshots that cannot be read, and no limit of candidates."""
+    tables = validator_tables(spark, d, early=True, unread=True)
+    return validation.metrics(*validation.run(*tables, validation.Settings(lookback_s=300, most=0, nearest_past=True)))
+
+
+@query(f"with {validator_sql(prefer_auto=True, unread=True)}, {METRICS_SQL}")
+def validator_search_first(spark, d):
+    records, cells, snapshots, truth, _, tolerances = validator_tables(spark, d, unread=True)
+    return validation.metrics(*validation.run(records, cells, snapshots, truth, None, tolerances, validation.Settings(lookback_s=10_800, most=2, prefer_auto=True)))
+
+
 @query(f"with {VALIDATOR} select rec, source, hr::varchar snap, round(dt, 6) dt_s from chosen")
 def validator_records(spark, d):
     chosen, _ = validator_run(spark, d)
@@ -490,4 +536,28 @@ def validator_comparisons(spark, d):
     return found.select("rec", "bed", "vital", "truth", "parsed", F.round("abs_error", 6).alias("abs_error"), F.col("match").alias("matched"), "invalid_reason")
 
 
+#: Half hours to ten hours on either side: the snapshots are an hour apart.
+LAGS = [x * 1800.0 for x in range(-20, 21)]
+LAGS_SQL = "select unnest(range(-20, 21)) * 1800.0::double"
+BY_LAG = """a as (select lag_s, count(*) total, count(*) filter (ok) matched, coalesce(round(avg(err), 9), 0.0) mae from item group by lag_s),
+  b as (select lag_s, coalesce(total, 0) total, coalesce(matched, 0) matched, coalesce(matched / total, 0.0) rate, coalesce(mae, 0.0) mae from lag left join a using (lag_s))
+  select lag_s, total, matched, round(rate, 6) match_rate, round(mae, 6) mean_abs_error, row_number() over (order by rate desc, mae, lag_s) = 1 best from b"""
+
+
+def _by_lag(df):
+    return df.select("lag_s", "total", "matched", F.round("match_rate", 6).alias("match_rate"), F.round("mean_abs_error", 6).alias("mean_abs_error"), "best")
+
+
+@query(f"with {validator_sql(lags=LAGS_SQL)}, {BY_LAG}")
+def auto_lag(spark, d):
+    records, cells, snapshots, truth, _, tolerances = validator_tables(spark, d)
+    return _by_lag(lags.auto_lag(records, cells, snapshots, truth, None, tolerances, LAGS, validation.Settings(lookback_s=10_800, most=2)))
+
+
+@query(f"with {validator_sql(**FALLBACKS, early=True, unread=True, cache=True, lags=LAGS_SQL)}, {BY_LAG}")
+def auto_lag_fallbacks(spark, d):
+    tables = validator_tables(spark, d, early=True, unread=True)
+    return _by_lag(lags.auto_lag(*tables, LAGS, validation.Settings(lookback_s=300, most=0, nearest_past=True)))
+
+
 from . import forms  # noqa: E402, F401  (adds its queries)
