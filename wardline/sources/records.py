@@ -17,14 +17,21 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     prepare(spark)
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") * (1 << 20) + F.monotonically_increasing_id() % (1 << 33)).alias("line"), F.trim("value").alias("value"))
-    doc = raw.withColumn("doc", F.try_parse_json("value"))
-    return doc.withColumn("ok", _is_object(F.col("doc")))
+    return parsed(raw, "value").withColumn("ok", F.col("why").isNull())
+
+
+def parsed(lines: DataFrame, value: str) -> DataFrame:
+    """Adds ``doc`` and ``why`` a line is no record (null for one that is): blank, malformed, not an object."""
+    prepare(lines.sparkSession)
+    text = F.trim(F.coalesce(F.col(value), F.lit("")))
+    doc = F.try_parse_json(text)
+    why = F.when(text == "", "blank").when(doc.isNull(), "malformed").when(~_is_object(doc), "not_an_object")
+    return lines.withColumns({"doc": doc, "why": why})
 
 
 def rejected(spark: SparkSession, path: str) -> DataFrame:
-    """How many lines were left out, by why: blank, malformed, not an object."""
-    why = F.when(F.col("value") == "", "blank").when(F.col("doc").isNull(), "malformed").otherwise("not_an_object")
-    return _lines(spark, path).where("not ok").groupBy(why.alias("why")).agg(F.count("*").alias("n"))
+    """How many lines were left out, by why."""
+    return _lines(spark, path).where("not ok").groupBy("why").agg(F.count("*").alias("n"))
 
 
 def last_records(records: DataFrame, n: int) -> DataFrame:
