@@ -560,4 +560,4 @@ def auto_lag_fallbacks(spark, d):
     return _by_lag(lags.auto_lag(*tables, LAGS, validation.Settings(lookback_s=300, most=0, nearest_past=True)))
 
 
-from . import forms, streams  # noqa: E402, F401  (add their queries)
+from . import flows, forms, streams  # noqa: E402, F401  (add their queries)

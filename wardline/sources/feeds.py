@@ -3,20 +3,58 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import dims
-from ..operators.messages import frames
+from ..operators import scan
+from ..operators.messages import END, START
+from ..streaming.state import each_batch
 
 
-def framed_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """``path``, ``place`` and ``message`` of every frame in the files a gateway has landed; bytes that are no UTF-8 are dropped from a message."""
-    reader = (spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read).format("binaryFile")
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-    return reader.load(path).select("path", F.posexplode(frames(text)).alias("place", "message"))
+#: Bytes of a file whose frames are numbered together.
+STEP = 128 << 20
+
+
+def frame_records(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """What stands between end blocks in the files a gateway has landed: ``path``, ``size``, ``block`` and ``value``.
+
+    The end block is the reader's line separator, so a file is read in splits, however large it is, and a
+    frame that crosses a split is read by the one in which it begins. Works on streams.
+    """
+    reader = spark.readStream if stream else spark.read
+    return reader.option("lineSep", END).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def completed(records: DataFrame) -> DataFrame:
+    """``path``, ``place`` (from 0) and ``message`` of every frame of a batch of ``frame_records``.
+
+    A frame begins at the first start block after an end block. What follows a file's last end block is no
+    frame: the file's records are one byte longer than the file then, as if they had all ended. Bytes that
+    are no UTF-8 are dropped from a message.
+    """
+    rows = records.withColumns({"_id": F.monotonically_increasing_id(), "_bytes": F.octet_length("value") + 1})
+    files = rows.groupBy("path").agg((F.sum("_bytes") > F.max("size")).alias("_open"), F.max(F.struct("block", "_id")).alias("_end"))
+    last = files.where("_open").select("path", F.col("_end.block").alias("block"), F.col("_end._id").alias("_id"))
+    at = F.instr("value", START)
+    text = F.replace(F.make_valid_utf8(F.expr(f"substring(value, instr(value, '{START}') + 1)")), F.lit("\ufffd"), F.lit(""))
+    frames = rows.where(at > 0).join(last, ["path", "block", "_id"], "left_anti").select("path", "block", "_id", text.alias("message"))
+    numbered = scan.scan(frames, ["path"], ["block", "_id"], STEP, _nth=scan.total(F.lit(1)))
+    return numbered.select("path", (F.col("_nth") - 1).cast("long").alias("place"), "message")
+
+
+def framed_files(spark: SparkSession, path: str) -> DataFrame:
+    """Every frame in the files of a folder, see ``completed``."""
+    return completed(frame_records(spark, path))
+
+
+def framed_stream(spark: SparkSession, path: str, run: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Hand the frames of each batch of newly landed files to ``run``."""
+    return each_batch(frame_records(spark, path, stream=True), lambda df, k: run(completed(df), k), checkpoint, once=once)
 
 
 def message_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:

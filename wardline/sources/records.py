@@ -58,10 +58,8 @@ def _text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
-def candidate(v: Column) -> Column:
-    """Text, value, confidence and status of a candidate: an object, or a bare scalar that is its own value."""
-    own = _is_object(v)
-    text = F.when(own, _text(v, "$.text")).otherwise(_text(v, "$"))
+def candidate(v: Column, own: Column, text: Column) -> Column:
+    """Text, value, confidence and status of a candidate: an object (``own``), or a bare scalar that is its own value; ``text`` is its text."""
     value = F.coalesce(safe_float_finite(F.when(own, _text(v, "$.value")).otherwise(_text(v, "$"))), first_number(text))
     confidence = F.coalesce(safe_float_finite(_text(v, "$.confidence")), safe_float_finite(_text(v, "$.conf")))
     status = F.when(value.isNotNull(), "valid").when(F.coalesce(F.trim(text), F.lit("")) == "", "missing").otherwise("invalid")
@@ -79,16 +77,24 @@ def _first(v: Column, *paths: str) -> Column:
 
 def engine_candidates(leaves: DataFrame) -> DataFrame:
     """``easy`` and ``tess`` candidates of each leaf: own members first, then ``candidates`` (an object, or a list of which the most confident of each engine counts), then the leaf as the selected engine's."""
-    listed = F.try_variant_get("leaf", "$.candidates", "array<variant>")
-    df = leaves.withColumn("_list", listed)
-    for e, (a, b) in {"easy": ("easy", "easyocr"), "tess": ("tess", "tesseract")}.items():
-        engine = lambda x: engine_name(F.coalesce(_text(x, "$.engine"), _text(x, "$.selected_engine"), _text(x, "$.name")))
-        conf = lambda x: F.coalesce(safe_float_finite(_text(x, "$.confidence")), safe_float_finite(_text(x, "$.conf")), F.lit(-1.0))
-        own = F.filter("_list", lambda x: engine(x) == e)  # noqa: B023
-        best = F.array_max(F.transform(own, conf))
-        from_list = F.get(F.filter(own, lambda x: conf(x) == best), F.lit(0))  # noqa: B023
-        selected = F.coalesce(engine_name(_text(F.col("leaf"), "$.selected_engine")), F.lit("easy"))
-        plain = F.schema_of_variant("leaf").rlike("candidates|easy:|easyocr:|tess:|tesseract:")
-        flat = F.when((selected == e) & ~plain, F.col("leaf"))
-        df = df.withColumn(e, candidate(F.coalesce(_first(F.col("leaf"), f"$.{a}", f"$.{b}"), _first(F.col("leaf"), f"$.candidates.{a}", f"$.candidates.{b}"), from_list, flat)))
-    return df.drop("_list", "leaf")
+    # Each step is a column of its own: written into one another, the steps below would repeat those above many times over.
+    engine = lambda x: engine_name(F.coalesce(_text(x, "$.engine"), _text(x, "$.selected_engine"), _text(x, "$.name")))
+    conf = lambda x: F.coalesce(safe_float_finite(_text(x, "$.confidence")), safe_float_finite(_text(x, "$.conf")), F.lit(-1.0))
+    listed = F.transform(F.try_variant_get("leaf", "$.candidates", "array<variant>"), lambda x: F.struct(engine(x).alias("e"), conf(x).alias("c"), x.alias("x")))
+    selected = F.coalesce(engine_name(_text(F.col("leaf"), "$.selected_engine")), F.lit("easy"))
+    plain = F.schema_of_variant("leaf").rlike("candidates|easy:|easyocr:|tess:|tesseract:")
+    df = leaves.withColumns({"_list": listed, "_flat": F.when(~plain, selected)})
+    names = {"easy": ("easy", "easyocr"), "tess": ("tess", "tesseract")}
+    df = df.withColumns({f"_own_{e}": F.filter("_list", lambda x: x["e"] == e) for e in names})  # noqa: B023  (called at once)
+    df = df.withColumns({f"_most_{e}": F.array_max(F.transform(f"_own_{e}", lambda x: x["c"])) for e in names})
+
+    def found(e: str, a: str, b: str) -> Column:
+        from_list = F.get(F.filter(f"_own_{e}", lambda x: x["c"] == F.col(f"_most_{e}")), F.lit(0))["x"]
+        flat = F.when(F.col("_flat") == e, F.col("leaf"))
+        return F.coalesce(_first(F.col("leaf"), f"$.{a}", f"$.{b}"), _first(F.col("leaf"), f"$.candidates.{a}", f"$.candidates.{b}"), from_list, flat)
+
+    df = df.withColumns({f"_v_{e}": found(e, *n) for e, n in names.items()})
+    df = df.withColumns({f"_is_{e}": _is_object(F.col(f"_v_{e}")) for e in names})
+    df = df.withColumns({f"_t_{e}": F.when(F.col(f"_is_{e}"), _text(F.col(f"_v_{e}"), "$.text")).otherwise(_text(F.col(f"_v_{e}"), "$")) for e in names})
+    df = df.withColumns({e: candidate(F.col(f"_v_{e}"), F.col(f"_is_{e}"), F.col(f"_t_{e}")) for e in names})
+    return df.drop("_list", "_flat", "leaf", *[f"_{c}_{e}" for c in ("own", "most", "v", "is", "t") for e in names])

@@ -8,6 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.messages import END, START
 
 
 def json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -15,6 +18,17 @@ def json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def framed(df: DataFrame, message: str, path: str, mode: str = "append") -> None:
+    """Messages between start and end blocks, as a gateway lands them."""
+    df.select(F.concat(F.lit(START), F.col(message))).write.mode(mode).option("lineSep", f"{END}\r").text(path)
+
+
+def append_lines(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """A line per row of a stream, nulls written, each batch's files counted once."""
+    writer = stream.writeStream.outputMode("append").format("json").option("ignoreNullFields", False).option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def csv(df: DataFrame, path: str, *order: str) -> None:
     """With a header, empty for null, in order of the given columns (range-partitioned, so no task holds all)."""
     (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
