@@ -206,3 +206,20 @@ def test_auto_lag_equals_a_run_at_each_lag(spark, seed, settings):
         want.append((lag, n, m, round(m / n if n else 0.0, 9), round(e or 0.0, 9)))
     assert [(r.lag_s, r.total, r.matched, round(r.match_rate, 9), round(r.mean_abs_error, 9)) for r in sorted(got, key=lambda r: r.lag_s)] == want
     assert [r.lag_s for r in got if r.best] == [min(want, key=lambda w: (-w[3], w[4], w[0]))[0]]
+
+
+def test_compatibility_forms_of_every_character(spark):
+    import sys
+    import unicodedata
+
+    chars = [c for c in map(chr, range(1, sys.maxunicode + 1)) if not 0xD800 <= ord(c) < 0xE000]
+    wanted = {c: f for c in chars if (f := "".join(x for x in unicodedata.normalize("NFKC", c) if x in R.PLAIN))}
+    assert len(wanted) > 300 and max(map(len, wanted.values())) > 2
+    others = [c for c in chars if c not in wanted][::97]
+    rows = [(c, f"{c}7{c}") for c in [*wanted, *others]]
+    keep = lambda t: "".join(x for x in unicodedata.normalize("NFKC", t) if x in "0123456789.-")
+    for r in spark.createDataFrame(rows, "c string, t string").select("t", F.regexp_replace(R.folded(F.col("t")), r"[^0-9.\-/]", "").alias("f")).collect():
+        assert r.f == "".join(x for x in unicodedata.normalize("NFKC", r.t) if x in R.PLAIN), ascii(r.t)
+    got = spark.createDataFrame([("３⒇ ½.…",)], "t string").select(R.normalized(F.lit("CVP_M"), F.col("t")).alias("n")).first().n
+    first, *rest = keep("３⒇½.…").split(".")
+    assert got == first + "." + "".join(rest)

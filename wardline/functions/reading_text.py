@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -14,6 +17,29 @@ PLAIN = "0123456789.-/"
 FULL_WIDTH = "".join(chr(ord(c) + 0xFEE0) for c in PLAIN)
 
 
+@functools.cache
+def foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility form (NFKC) holds characters that any reading may have: those with one of them, and those with several.
+
+    Only what may stay is kept of a form. A sequence folds as its characters do: nothing of PLAIN is
+    composed with what stands beside it.
+    """
+    one, more = {}, {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if (form := "".join(x for x in unicodedata.normalize("NFKC", c) if x in PLAIN)) and form != c:
+            (one if len(form) == 1 else more)[c] = form
+    return one, more
+
+
+def folded(text: Column) -> Column:
+    """``text`` with the compatibility forms of such characters, what of them no reading may have left out: one translation, and a look-up by character where some have forms of several."""
+    one, more = foldings()
+    table = F.create_map(*[F.lit(x) for kv in more.items() for x in kv])
+    by_character = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    longer = F.when(text.rlike(f"[{''.join(more)}]"), by_character).otherwise(text)
+    return F.translate(longer, "".join(one), "".join(one.values()))
+
+
 def allowlist(vital: Column) -> Column:
     own = F.create_map(*[F.lit(x) for kv in dims.ALLOWED_CHARACTERS.items() for x in kv])
     return F.coalesce(F.element_at(own, vital), F.lit(dims.DEFAULT_CHARACTERS))
@@ -43,8 +69,8 @@ def one_point(text: Column, mark: str = ".") -> Column:
 
 
 def normalized(vital: Column, text: Column) -> Column:
-    """Plain forms of full-width characters, no spaces, only what the vital allows, one point."""
-    plain = F.replace(F.translate(F.trim(F.coalesce(text, F.lit(""))), FULL_WIDTH, PLAIN), F.lit(" "), F.lit(""))
+    """Compatibility forms of characters, no spaces, only what the vital allows, one point."""
+    plain = F.replace(folded(F.trim(F.coalesce(text, F.lit("")))), F.lit(" "), F.lit(""))
     other = F.when(vital.isin("CVP_M", "RAP_M"), r"[^0-9.\-]").when(vital.isin("TSKIN", "TRECT"), "[^0-9.]").otherwise("[^0-9]")
     return one_point(F.regexp_replace(plain, other, F.lit("")))
 

@@ -174,3 +174,14 @@ def candidate_forms(spark, d):
     )
     found = records.engine_candidates(table(spark, d, "events").select("event_id", F.try_parse_json(leaf).alias("leaf")))
     return found.select("event_id", F.col("easy.value").alias("easy_value"), F.col("easy.status").alias("easy_status"), F.col("easy.confidence").alias("easy_confidence"), F.col("tess.value").alias("tess_value"), F.col("tess.status").alias("tess_status"))
+
+
+@query("""with e as (select event_id, event_id % 5 k, event_id % 20 + 1 n, event_id % 10 d, event_id % 9 + 1 h from events)
+  select event_id, case k when 0 then n::varchar when 1 then d::varchar || d::varchar when 2 then d || '.' || h when 3 then '1' || d || '.' when 4 then h || '10' end plain from e""")
+def compatibility_forms(spark, d):
+    """Circled, bold, full-width, fraction and month characters, as numbers of a field with a point."""
+    i = F.col("event_id")
+    at = lambda n, low, k: F.element_at(F.array(*[F.lit(chr(low + x)) for x in range(k)]), (n + 1).cast("int"))
+    circled, bold, wide, month = (lambda n: at(n, 0x2460, 20)), (lambda n: at(n, 0x1D7CE, 10)), (lambda n: at(n, 0xFF10, 10)), (lambda n: at(n, 0x32C0, 9))
+    text = one_of(i, circled(i % 20), F.concat(bold(i % 10), F.lit(" "), wide(i % 10)), F.concat(wide(i % 10), F.lit("\uff0e"), at(i % 9, 0x2488, 9)), F.concat(F.lit("\u00b9"), wide(i % 10), F.lit("\u2025")), F.concat(month(i % 9), F.lit("\u2169\u2469")))
+    return table(spark, d, "events").select("event_id", R.normalized(F.lit("TSKIN"), text).alias("plain"))
