@@ -1,4 +1,4 @@
-"""Fixed values of the domain, and small dimension tables of them."""
+"""Fixed values of the domain, and small dimension tables of them. Every table here is fixed: results depend on its values as they stand."""
 
 from __future__ import annotations
 

@@ -98,6 +98,14 @@ def message_time(c: Column) -> Column:
     return iso.try_cast("timestamp_ntz")
 
 
+def shown_time(c: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` (parts may lack a leading zero) or ``yyyyMMddHHmmss`` as a zoneless time; null for anything else, and where no such time exists."""
+    packed = F.regexp_replace(c, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3 $4:$5:$6")
+    parts = [F.lpad(F.regexp_extract(packed, r"^(\d{4})-(\d{1,2})-(\d{1,2}) (\d{1,2}):(\d{1,2}):(\d{1,2})$", i), 4 if i == 1 else 2, "0") for i in range(1, 7)]
+    iso = F.format_string("%s-%s-%s %s:%s:%s", *parts)
+    return F.when(packed.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"), iso.try_cast("timestamp_ntz"))
+
+
 def iso_time(c: Column, zone: str = "+09:00") -> Column:
     """An ISO 8601 time as an instant: ``Z``, an offset, or none (then ``zone`` holds); null for anything else."""
     t = F.regexp_replace(F.trim(c), r"[zZ]$", "+00:00")

@@ -66,3 +66,34 @@ def joined_tokens(df: DataFrame, keys: list[str], order: str, text: str, confide
     mean = F.avg(F.when(F.col(confidence) >= 0, F.col(confidence))) / 100
     parts = F.array_sort(F.collect_list(F.struct(order, text)))  # of one reading
     return df.groupBy(*keys).agg(mean.alias("confidence"), F.array_join(F.transform(parts, lambda p: p[text]), "").alias("text"))
+
+
+def routed(easy: Column, tess: Column, mode: Column, low: float, fallback: Column, wanted: Column, compare: Column) -> Column:
+    """Which engine reads a field, whether the second one runs, and the value: ``selected``, ``tess_ran``, ``value``.
+
+    ``easy`` and ``tess`` are structs of ``text``, ``value``, ``conf`` and (``easy``) ``failed`` (a pass went wrong, or all were empty), null
+    where an engine found nothing. ``mode``: "easyocr" (the second engine only where the first is of no use and
+    ``fallback`` allows), "tesseract", or "both" (the second for ``wanted`` fields, and taken only where the first is of no use).
+    ``compare`` runs both always. The first is of no use without text or value, after a failure, or under confidence ``low``.
+    """
+    none = lambda c: F.coalesce(c, F.lit(True))
+    useless = easy.isNull() | none(easy["text"] == "") | easy["value"].isNull() | none(easy["failed"]) | none(easy["conf"] < low)
+    ran = compare | (mode == "tesseract") | ((mode == "both") & wanted) | ((mode == "easyocr") & fallback & useless)
+    second = ran & tess.isNotNull()
+    takes = F.when(mode == "tesseract", True).when(mode == "both", useless & second).otherwise(second)
+    return F.struct(
+        F.when(takes, "tesseract").otherwise("easyocr").alias("selected"), ran.alias("tess_ran"), F.when(takes, F.when(second, tess["value"])).otherwise(easy["value"]).alias("value")
+    )
+
+
+def best_variant(df: DataFrame, keys: list[str], place: str, text: str = "text", value: str = "value", confidence: str = "confidence", variant: str = "variant") -> DataFrame:
+    """Of each key's variants the most confident with a value, else the most confident at all; the first by ``place`` of equals.
+
+    Negative confidences count for nothing: a key with no others has an empty text, confidence 0 and variant
+    "normal". Partial maxima, no sort.
+    """
+    own = F.struct(F.col(text).alias("text"), F.col(value).alias("value"), F.col(confidence).alias("confidence"), F.col(variant).alias("variant"))
+    rank = lambda c: F.when(c & (F.col(confidence) >= 0), F.struct(F.col(confidence), -F.col(place)))
+    best = df.groupBy(*keys).agg(F.max_by(own, rank(F.col(value).isNotNull())).alias("_valid"), F.max_by(own, rank(F.lit(True))).alias("_any"))
+    nothing = F.struct(F.lit("").alias("text"), F.lit(None).cast(df.schema[value].dataType).alias("value"), F.lit(0).cast(df.schema[confidence].dataType).alias("confidence"), F.lit("normal").alias("variant"))
+    return best.select(*keys, F.coalesce("_valid", "_any", nothing).alias("_b")).select(*keys, "_b.*")

@@ -24,6 +24,7 @@ def framed(message: Column) -> Column:
 
 def acknowledgement(message_type: Column, accepted: Column, sent: Column) -> Column:
     """The reply to a message, which names its type; ``sent`` is the reply's time as yyyyMMddHHmmss."""
+    # Fixed: the wire text of replies.
     head = F.concat(F.lit("MSH|^~\\&|RECEIVER|ICU|SENDER|ICU|"), sent)
     yes = F.concat(head, F.lit("||ACK^R01|ACK"), sent, F.lit("|P|2.5\nMSA|AA|"), message_type, F.lit("|OK|Message accepted"))
     no = F.concat(head, F.lit("||ACK|NACK"), sent, F.lit("|P|2.5\nMSA|AE|UNKNOWN||Message rejected"))

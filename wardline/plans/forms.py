@@ -185,3 +185,35 @@ def compatibility_forms(spark, d):
     circled, bold, wide, month = (lambda n: at(n, 0x2460, 20)), (lambda n: at(n, 0x1D7CE, 10)), (lambda n: at(n, 0xFF10, 10)), (lambda n: at(n, 0x32C0, 9))
     text = one_of(i, circled(i % 20), F.concat(bold(i % 10), F.lit(" "), wide(i % 10)), F.concat(wide(i % 10), F.lit("\uff0e"), at(i % 9, 0x2488, 9)), F.concat(F.lit("\u00b9"), wide(i % 10), F.lit("\u2025")), F.concat(month(i % 9), F.lit("\u2169\u2469")))
     return table(spark, d, "events").select("event_id", R.normalized(F.lit("TSKIN"), text).alias("plain"))
+
+
+@query("""select event_id, case event_id % 5 when 0 then date_trunc('second', ts) when 1 then date_trunc('second', ts) when 2 then date_trunc('day', ts) + interval '3 hours 4 minutes 5 seconds' end shown from events""")
+def shown_times(spark, d):
+    """Times as a monitor writes them, packed, without leading zeros, of a day that is none, and with a zone."""
+    t = lambda f: F.date_format("ts", f)
+    text = one_of(F.col("event_id"), t("yyyy-MM-dd HH:mm:ss"), t("yyyyMMddHHmmss"), F.concat(t("yyyy-M-d"), F.lit(" 3:4:5")), F.lit("2024-02-30 00:00:00"), F.concat(t("yyyy-MM-dd HH:mm:ss"), F.lit("Z")))
+    return table(spark, d, "events").select("event_id", S.shown_time(text).alias("shown"))
+
+
+@query("""with e as (select event_id, event_id % 3 m, event_id % 17 = 0 compare, event_id % 2 = 0 fallback, event_id % 5 < 3 wanted, case when event_id % 7 <> 0 then value end ev, (event_id * 13 % 100) / 100.0::double ec, event_id % 19 = 0 failed, event_id % 23 = 0 no_easy, event_id % 4 <> 0 has_tess, value + 1 tv from events),
+  u as (select *, no_easy or ev is null or failed or ec < 0.4 useless from e), r as (select *, compare or m = 1 or (m = 2 and wanted) or (m = 0 and fallback and useless) ran from u), s as (select *, ran and has_tess both_there from r),
+  t as (select *, case when m = 1 then true when m = 2 then useless and both_there else both_there end takes from s)
+  select event_id, case when takes then 'tesseract' else 'easyocr' end selected, ran tess_ran, case when takes then case when both_there then tv end when no_easy then null else ev end "value" from t""")
+def engine_routing(spark, d):
+    """Which engine's reading counts, by mode, and whether the second runs."""
+    i = F.col("event_id")
+    easy = F.when(i % 23 != 0, F.struct(F.lit("x").alias("text"), F.when(i % 7 != 0, F.col("value")).alias("value"), ((i * 13 % 100) / 100).alias("conf"), (i % 19 == 0).alias("failed")))
+    tess = F.when(i % 4 != 0, F.struct(F.lit("x").alias("text"), (F.col("value") + 1).alias("value")))
+    route = engines.routed(easy, tess, one_of(i, "easyocr", "tesseract", "both"), 0.4, i % 2 == 0, i % 5 < 3, i % 17 == 0)
+    return table(spark, d, "events").select("event_id", route.alias("r")).select("event_id", "r.*")
+
+
+@query("""with v as (select l_orderkey k, l_linenumber n, case when l_linenumber % 3 <> 0 then l_quantity::double end x, case when l_linenumber = 5 then -1.0 else l_discount::double end c, 'v' || l_linenumber variant from lineitem),
+  b as (select *, row_number() over (partition by k order by x is null, c desc, n, x) r from v where c >= 0), a as (select k, n, variant, x, c from b where r = 1)
+  select keys.k, coalesce(variant, 'normal') variant, coalesce(c, 0.0) confidence, x is not null valid from (select distinct k from v) keys left join a using (k)""")
+def best_variants(spark, d):
+    """Of each order's lines, as variants of one reading, the most confident with a value, else the most confident."""
+    n = F.col("l_linenumber")
+    v = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), n, F.when(n % 3 != 0, F.col("l_quantity").cast("double")).alias("value"), F.when(n == 5, -1.0).otherwise(F.col("l_discount").cast("double")).alias("confidence"), F.concat(F.lit("v"), n.cast("string")).alias("variant"), F.lit("x").alias("text"))
+    best = engines.best_variant(v, ["k"], "l_linenumber")
+    return best.select("k", "variant", "confidence", F.col("value").isNotNull().alias("valid"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import iso_time, safe_float
 
+#: Fixed: how files of snapshots are named.
 NAME = r"(\d{8})_(\d{6})_(\d{3})_monitor_cache\.json$"
 NAME_OR_BEFORE = r"^(\d{8})_(\d{6})_(\d{3})(?:_before)?_monitor_cache\.json$"
 
