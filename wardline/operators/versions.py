@@ -30,6 +30,17 @@ def intervals(rows: DataFrame, keys: Sequence[str], time: str, values: Sequence[
     return out.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values], "valid_from", "valid_to")
 
 
+def changes(rows: DataFrame, keys: Sequence[str], time: str, values: Sequence[str]) -> DataFrame:
+    """Like ``intervals``, where each key has snapshots of its own: its values stand until its next row, whenever that is."""
+    own = rows.where(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.max(F.struct(*values)).alias("_v")).withColumn("_us", asof.micros(time))
+    step = scan.width(own, list(keys), "_us")
+    seen = scan.scan(own, list(keys), ["_us"], step, _b=scan.latest(F.struct(F.col("_v").alias("v")), upto=False))
+    new = seen.where(F.col("_b").isNull() | ~F.col("_b.v").eqNullSafe(F.col("_v"))).drop("_b")
+    # What ends a row is the next that begins: the last one seen, going backwards.
+    ends = scan.scan(new.withColumn("_back", -F.col("_us")), list(keys), ["_back"], step, _e=scan.latest(F.col(time), upto=False))
+    return ends.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values], F.col(time).alias("valid_from"), F.col("_e").alias("valid_to"))
+
+
 def as_of(left: DataFrame, versions: DataFrame, keys: Sequence[str], time: str, bucket_s: int = 86_400) -> DataFrame:
     """``left`` with what stood for its keys at its time (null where nothing did)."""
     rest = [c for c in versions.columns if c not in keys]

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, comparer, messages, versions
+from ..operators import asof, comparer, messages, screens, versions
 from ..sources import feeds, paths, sinks
 from ..streaming import state
-from .registry import query, table
+from .registry import GRID_SQL, query, table
 
 
 def _hour():
@@ -128,3 +128,58 @@ def comparer_statistics(spark, d):
   select engine, coalesce(nullif(substring(a, i, 1), ''), '_') truth_digit, coalesce(nullif(substring(b, i, 1), ''), '_') pred_digit, count(*) "count" from p group by all""")
 def comparer_digits(spark, d):
     return comparer.confusion(comparer_rows(spark, d))
+
+
+#: Maps of three screens, a document an hour; some are broken, some lack items.
+MAPS = """m as (select (epoch_us(ts) // 3600000000)::bigint h, user_id % 3 screen, 'BED0' || (user_id % 6 + 1) bed, case event_type when 'view' then 'VTe' when 'click' then 'HR' when 'purchase' then 'NOTE' else 'SpO2' end vital,
+    max(struct_pack(k := case when event_id % 17 = 0 then 0 else 1 end, x := (floor(value)::bigint // 40) * 60 - 40, y := (user_id % 11) * 50, w := 20 + 37 * (event_id % 5), h := 25 + 10 * (event_id % 3))) b from events group by all),
+  t as (select distinct h, screen from m where h % 7 <> 0 and h % 11 <> 0), placed as (select h, screen, bed, vital, h % 2 = 0 own, b.x - case when screen = 0 then 50 else 0 end x, b.y - case when screen = 0 then 20 else 0 end y, b.w w, b.h hh from m join t using (h, screen) where b.k = 1 and vital <> 'NOTE'),
+  f as (select *, greatest(x, 0) x1, greatest(y, 0) y1, least(x + w, 640) x2, least(y + hh, 480) y2 from placed where x + w > 0 and y + hh > 0 and x < 640 and y < 480),
+  g as (select *, case when own then x1 else x1 + floor((x2 - x1) * 0.6::double)::bigint end rx1, case when own then y1 else y1 + floor((y2 - y1) * 0.1::double)::bigint end ry1, case when own then x2 else x1 + floor((x2 - x1) * 0.98::double)::bigint end rx2_, case when own then y2 else y1 + floor((y2 - y1) * 0.92::double)::bigint end ry2_ from f),
+  i as (select *, greatest(rx2_, rx1 + 1) rx2__, greatest(ry2_, ry1 + 1) ry2 from g), laid as (select *, case when vital = 'VTe' then least(rx2__ + greatest(1, round_even((rx2__ - rx1) * 0.3::double, 0)::bigint), 640) else rx2__ end rx2 from i),
+  fr as (select event_id, user_id % 3 screen, t.h from events e asof left join t on e.user_id % 3 = t.screen and e.ts >= make_timestamp((t.h + 1) * 3600000000)),
+  c as (select event_id, 'exported' source, bed, vital, x1, y1, x2, y2, rx1, ry1, rx2, ry2 from fr join laid using (h, screen)
+    union all select event_id, 'split', bed, vital, x1, y1, x2, y2, x1, y1, x2, y2 from fr, sp where h is null)"""
+SPLIT = f"""v(vital, vi) as (values {GRID_SQL}), sp as (select 'BED0' || (bi + 1)::varchar bed, vital, (bi % 2) * 320 + (vi % 4) * 80 x1, (bi // 2) * 160 + (vi // 4) * 32 y1, x1 + 80 x2, y1 + 32 y2 from range(6) b(bi), v)"""
+
+
+def frame_cells(spark, d):
+    """Every event is a frame of one of three screens, captured in its own rectangle or the common one; the last map of its screen is laid on it."""
+    e = table(spark, d, "events").withColumn("screen", F.col("user_id") % 3)
+    vital = F.when(F.col("event_type") == "view", "VTe").when(F.col("event_type") == "click", "HR").when(F.col("event_type") == "purchase", "NOTE").otherwise("SpO2")
+    i, u = F.col("event_id"), F.col("user_id")
+    box = F.struct(F.when(i % 17 == 0, 0).otherwise(1).alias("k"), (F.floor(F.floor("value").cast("long") / 40) * 60 - 40).alias("x"), ((u % 11) * 50).alias("y"), (37 * (i % 5) + 20).alias("w"), (10 * (i % 3) + 25).alias("h"))
+    last = e.select(_hour().alias("hr"), "screen", F.concat(F.lit("BED0"), (u % 6 + 1).cast("string")).alias("bed"), vital.alias("vital"), box.alias("b")).groupBy("hr", "screen", "bed", "vital").agg(F.max("b").alias("b"))
+    end = F.timestamp_seconds((F.col("hr") + 1) * 3600)
+    widgets = last.select("hr", "screen", "bed", "vital", "b.x", "b.y", (F.col("b.w") * F.col("b.k")).alias("w"), "b.h", end.alias("at"))
+    kinds = [screens.export(widgets.where(F.col("hr") % 2 == r), ["hr", "screen"], "at", kind) for r, kind in ((0, screens.VALUE_BOXES), (1, "cells"))]
+    text = F.when(F.col("hr") % 7 == 0, F.substring("document", 1, 60)).when(F.col("hr") % 11 == 0, F.replace("document", F.lit('"items"'), F.lit('"item"'))).otherwise(F.col("document"))
+    folder = f"{state.shared_folder(spark)}/maps"
+    kinds[0].unionByName(kinds[1]).select("screen", text.alias("document")).write.parquet(folder)
+    documents = spark.read.parquet(folder)
+    us = F.unix_micros("generated_at")
+    maps = screens.load(documents, ["screen"]).withColumn("generated_at", F.timestamp_add("MICROSECOND", us, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")))
+    stood = screens.validity(maps, ["screen"])
+    rectangle = lambda *sides: F.struct(*[x.cast("int").alias(n) for n, x in zip(("left", "top", "width", "height"), sides, strict=True)])
+    s = F.col("screen")
+    rect = screens.capture(F.when(s < 2, rectangle(F.lit(50), F.lit(20), F.when(s == 0, 640).otherwise(0), F.lit(480))), rectangle(F.lit(0), F.lit(0), F.lit(640), F.lit(480)))
+    frames = e.select("event_id", "screen", F.col("ts").cast("timestamp_ntz").alias("ts"), rect.alias("r")).select("event_id", "screen", "ts", "r.*")
+    return screens.cells(frames, stood, ["screen"], "ts")
+
+
+@query(f"with {SPLIT}, {MAPS} select event_id, source, bed, vital, x1::bigint x1, y1::bigint y1, x2::bigint x2, y2::bigint y2, rx1::bigint rx1, ry1::bigint ry1, rx2::bigint rx2, ry2::bigint ry2 from c")
+def screen_maps(spark, d):
+    return frame_cells(spark, d).drop("screen", "ts", "left", "top", "width", "height")
+
+
+@query(f"""with {SPLIT}, {MAPS}, bx as (select event_id, (floor(value)::bigint * 7) % 600 u1, (event_id * 13) % 440 v1, u1 + 40 + event_id % 90 u2, v1 + 30 + event_id % 50 v2 from events),
+  o as (select event_id, source, bed, vital, (least(rx2, u2) - greatest(rx1, u1)) * (least(ry2, v2) - greatest(ry1, v1)) area from c join bx using (event_id) where least(rx2, u2) > greatest(rx1, u1) and least(ry2, v2) > greatest(ry1, v1))
+  select event_id, source, bed, vital, area::bigint area from o qualify row_number() over (partition by event_id order by area desc, bed, vital) = 1""")
+def named_boxes(spark, d):
+    """A box found on each frame takes the name of the value it shares most area with."""
+    i, value = F.col("event_id"), F.floor("value").cast("long")
+    found = table(spark, d, "events").select("event_id", (value * 7 % 600).alias("u1"), (i * 13 % 440).alias("v1")).withColumns({"u2": F.col("u1") + 40 + i % 90, "v2": F.col("v1") + 30 + i % 50})
+    read = frame_cells(spark, d).select("event_id", "source", "bed", "vital", *[F.col(f"r{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    pairs = screens.overlaps(read, found, ["event_id"])
+    best = F.min_by(F.struct("source", "bed", "vital", "area"), F.struct(-F.col("area"), F.col("bed"), F.col("vital")))
+    return pairs.groupBy("event_id").agg(best.alias("_b")).select("event_id", "_b.*")

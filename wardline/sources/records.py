@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import engine_name, first_number, iso_time, safe_float_finite
-from .snapshots import _is_object, _members, prepare
+from .snapshots import is_object, members, prepare
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +25,7 @@ def parsed(lines: DataFrame, value: str) -> DataFrame:
     prepare(lines.sparkSession)
     text = F.trim(F.coalesce(F.col(value), F.lit("")))
     doc = F.try_parse_json(text)
-    why = F.when(text == "", "blank").when(doc.isNull(), "malformed").when(~_is_object(doc), "not_an_object")
+    why = F.when(text == "", "blank").when(doc.isNull(), "malformed").when(~is_object(doc), "not_an_object")
     return lines.withColumns({"doc": doc, "why": why})
 
 
@@ -50,8 +50,8 @@ def times(records: DataFrame) -> DataFrame:
 
 def cells(records: DataFrame) -> DataFrame:
     """A row per record, bed and field with its ``leaf``."""
-    beds = _members(records.withColumn("_beds", F.try_variant_get("doc", "$.beds", "variant")).where(_is_object(F.col("_beds"))), "_beds", "bed", "_bed").where(_is_object(F.col("_bed")))
-    return _members(beds, "_bed", "field", "leaf").where("field is not null").drop("_beds", "_bed", "doc")
+    beds = members(records.withColumn("_beds", F.try_variant_get("doc", "$.beds", "variant")).where(is_object(F.col("_beds"))), "_beds", "bed", "_bed").where(is_object(F.col("_bed")))
+    return members(beds, "_bed", "field", "leaf").where("field is not null").drop("_beds", "_bed", "doc")
 
 
 def _text(v: Column, path: str) -> Column:
@@ -94,7 +94,7 @@ def engine_candidates(leaves: DataFrame) -> DataFrame:
         return F.coalesce(_first(F.col("leaf"), f"$.{a}", f"$.{b}"), _first(F.col("leaf"), f"$.candidates.{a}", f"$.candidates.{b}"), from_list, flat)
 
     df = df.withColumns({f"_v_{e}": found(e, *n) for e, n in names.items()})
-    df = df.withColumns({f"_is_{e}": _is_object(F.col(f"_v_{e}")) for e in names})
+    df = df.withColumns({f"_is_{e}": is_object(F.col(f"_v_{e}")) for e in names})
     df = df.withColumns({f"_t_{e}": F.when(F.col(f"_is_{e}"), _text(F.col(f"_v_{e}"), "$.text")).otherwise(_text(F.col(f"_v_{e}"), "$")) for e in names})
     df = df.withColumns({e: candidate(F.col(f"_v_{e}"), F.col(f"_is_{e}"), F.col(f"_t_{e}")) for e in names})
     return df.drop("_list", "_flat", "leaf", *[f"_{c}_{e}" for c in ("own", "most", "v", "is", "t") for e in names])

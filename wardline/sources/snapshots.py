@@ -38,22 +38,23 @@ def current(spark: SparkSession, path: str, previous: DataFrame | None = None) -
     return now if previous is None else now.select(F.lit(0).alias("p"), "doc").union(previous.select(F.lit(1), "doc")).orderBy("p").limit(1).select("doc")
 
 
-def _is_object(v: Column) -> Column:
+def is_object(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
-def _members(df: DataFrame, column: str, key: str, value: str) -> DataFrame:
+def members(df: DataFrame, column: str, key: str, value: str) -> DataFrame:
+    """A row for each member of an object (one of nulls for any other value)."""
     tvf = df.sparkSession.tvf.variant_explode(F.col(column).outer()).select(F.col("key").alias(key), F.col("value").alias(value))
     return df.lateralJoin(tvf)
 
 
 def truth(snapshots: DataFrame, keep_empty_beds: bool = True) -> DataFrame:
     """``path``, ``snapshot_ts``, ``bed``, ``vital``, ``truth``: members of a bed's ``vitals``, then fields directly under it that are objects with a ``value``, unless the vital is there already. Beds without either have one row without vital, or none."""
-    beds = _members(snapshots.withColumn("_beds", F.try_variant_get("doc", "$.beds", "variant")).where(_is_object(F.col("_beds"))), "_beds", "bed", "_bed").where(_is_object(F.col("_bed")))
+    beds = members(snapshots.withColumn("_beds", F.try_variant_get("doc", "$.beds", "variant")).where(is_object(F.col("_beds"))), "_beds", "bed", "_bed").where(is_object(F.col("_bed")))
     inner = beds.withColumn("_vitals", F.try_variant_get("_bed", "$.vitals", "variant"))
-    value = F.when(_is_object(F.col("_v")), F.try_variant_get("_v", "$.value", "string")).otherwise(F.try_variant_get("_v", "$", "string"))
-    nested = _members(inner.where(_is_object(F.col("_vitals"))), "_vitals", "vital", "_v").select("path", "snapshot_ts", "bed", "vital", value.alias("raw"), F.lit(0).alias("p"))
-    direct = _members(beds, "_bed", "vital", "_v").where(~F.col("vital").isin("vitals", "values") & _is_object(F.col("_v")) & F.schema_of_variant("_v").rlike(r"\bvalue:"))
+    value = F.when(is_object(F.col("_v")), F.try_variant_get("_v", "$.value", "string")).otherwise(F.try_variant_get("_v", "$", "string"))
+    nested = members(inner.where(is_object(F.col("_vitals"))), "_vitals", "vital", "_v").select("path", "snapshot_ts", "bed", "vital", value.alias("raw"), F.lit(0).alias("p"))
+    direct = members(beds, "_bed", "vital", "_v").where(~F.col("vital").isin("vitals", "values") & is_object(F.col("_v")) & F.schema_of_variant("_v").rlike(r"\bvalue:"))
     direct = direct.select("path", "snapshot_ts", "bed", "vital", F.try_variant_get("_v", "$.value", "string").alias("raw"), F.lit(1).alias("p"))
     rows = nested.unionByName(direct).where("vital is not null").groupBy("path", "snapshot_ts", "bed", "vital").agg(F.min_by("raw", "p").alias("raw"))
     if keep_empty_beds:
@@ -64,7 +65,7 @@ def truth(snapshots: DataFrame, keep_empty_beds: bool = True) -> DataFrame:
 def event_time(snapshots: DataFrame) -> DataFrame:
     """``path`` and ``event_ts``: the first time that parses of four fields, then of ``meta``, then of the first bed (by name) that has one."""
     own = [iso_time(F.try_variant_get("doc", f"$.{k}", "string")) for k in ("updated_at", "captured_at", "message_datetime", "timestamp", "meta.message_datetime")]
-    beds = _members(snapshots.withColumn("_beds", F.try_variant_get("doc", "$.beds", "variant")).where(_is_object(F.col("_beds"))), "_beds", "bed", "_bed")
+    beds = members(snapshots.withColumn("_beds", F.try_variant_get("doc", "$.beds", "variant")).where(is_object(F.col("_beds"))), "_beds", "bed", "_bed")
     of_bed = beds.select("path", "bed", iso_time(F.try_variant_get("_bed", "$.message_datetime", "string")).alias("t")).where("t is not null").groupBy("path").agg(F.min_by("t", "bed").alias("_bed_ts"))
     return snapshots.join(of_bed, "path", "left").select("path", F.coalesce(*own, F.col("_bed_ts")).alias("event_ts"))
 
