@@ -81,3 +81,33 @@ def test_bound_parts_both_kinds():
     assert I.best_bound(score, wanted, 0.999) == 0.0
     assert I.best_bound(score, np.ones(6, bool), 1.0) == -5.0
     assert I.best_bound(score, np.zeros(6, bool), 0.999) == I.best_bound(np.zeros(2), np.array([True, False]), 0.999) == float("-inf")
+
+
+def test_draw_equals_brute_force_and_is_no_fixed_bound(spark):
+    """Texts between both kinds: the same k as a bound, other documents; and each draw is of the stated weights."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choices("good", k=1) + [rng.choice("gb" if rng.random() < 0.9 else "xy") + str(rng.randint(0, 99)) for _ in range(30)]) + (" g7" * rng.randint(0, 30)), "x") for i in range(600)]
+    labels = [(i, int(t.count(" g") + rng.gauss(0, 6) > 29)) for i, t, _ in docs if i % 2]
+    d, l = spark.createDataFrame(docs, "doc_id long, text string, kept string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in I.resample(d, l).collect()}
+    score = {i: (r.log_weight + I.ROOM) / max(r.n_ngrams, 1) for i, r in got.items()}
+    seen = [(score[i], y == 1) for i, y in labels if zlib.crc32(str(i).encode()) % 2]
+    s, y = np.array([a for a, _ in seen]), np.array([b for _, b in seen])
+    bound, length = I.best_bound(s, y, I.KEEP_TARGET), np.mean([got[i].n_ngrams for i, _ in labels if zlib.crc32(str(i).encode()) % 2])
+    over = {i for i in got if score[i] >= bound}
+    noise = {r.doc_id: r.g for r in d.select("doc_id", I.gumbel(F.col("doc_id").cast("string"), F.col("text")).alias("g")).collect()}
+    key = {i: length * score[i] + noise[i] for i in got}
+    assert all(abs(key[i] - r.perturbed) < 1e-9 for i, r in got.items())
+    best = set(sorted(key, key=lambda i: -key[i])[: len(over)])
+    assert {i for i, r in got.items() if r.kept} == best != over and 0 < len(over) < len(docs)
+
+
+def test_target_labels_alone_and_a_very_long_text(spark):
+    docs, labels = made()
+    rng = random.Random(2)
+    docs += [(901, " ".join(f"g{rng.randint(0, 199)}" for _ in range(300_000)), "x"), (902, " ".join(f"b{rng.randint(0, 59)}" for _ in range(300_000)), "x")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, kept string")
+    both = {r.doc_id: r.kept for r in I.resample(d, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert both[901] and not both[902]
+    got = I.resample(d, spark.createDataFrame([(i, y) for i, y in labels if y], "doc_id long, quality int")).collect()
+    assert all(r.kept for r in got if r.doc_id < 300 and r.doc_id % 5 and r.doc_id % 2 == 0 and zlib.crc32(str(r.doc_id).encode()) % 2)

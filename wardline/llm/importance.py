@@ -3,10 +3,10 @@
 Words and word pairs are hashed into buckets. One bucket model is counted over all documents (raw),
 one over a bounded sample of labelled documents of the wanted kind (target). A document's log weight
 is the sum, over its n-grams, of log target minus log raw. Adding Gumbel noise to the weights and
-taking the k greatest samples k documents without replacement in proportion to their weights. Weights
-can be taken in proportion to a document's n-grams (sums grow with the text, so that the longest
-would always win). Where k is not given, it is the number of documents that reach the bound which
-tells labelled documents of both kinds apart best.
+taking the k greatest samples k documents without replacement in proportion to their weights. Sums grow
+with the text, so that the longest would always win: where k is not given, a document's weight is taken by
+n-gram and times the mean length of labelled documents, as if all texts were of that length, and k is
+the number of documents that reach the bound which tells labelled documents that the model has not seen apart best.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ LABELLED = 20_000
 SMOOTHING = 10_000.0
 #: Share of the labelled target documents that the bound is set to keep where none of the other kind are labelled.
 KEEP_TARGET = 0.999
-#: Room for the noise, so that texts too short to tell stay: Gumbel noise is under -3 with probability 2e-9.
-NOISE = 3.0
+#: Added to a log weight before it is taken by n-gram, so that texts too short to tell stay.
+ROOM = 3.0
 BINS = 4096
 
 
@@ -122,8 +122,8 @@ def threshold_of_top(values: DataFrame, column: str, k: int) -> float:
 
 
 def per_ngram() -> Column:
-    """The perturbed weight, with room for its noise, by n-gram."""
-    return (F.col("perturbed") + NOISE) / F.greatest(F.col("n_ngrams"), F.lit(1))
+    """The log weight by n-gram, without noise."""
+    return (F.col("log_weight") + ROOM) / F.greatest(F.col("n_ngrams"), F.lit(1))
 
 
 def best_bound(score: np.ndarray, wanted: np.ndarray, keep_target: float) -> float:
@@ -150,11 +150,12 @@ def resample(
     """Per row: id, ``n_ngrams``, ``log_weight``, ``perturbed`` (the weight with Gumbel noise) and ``kept``.
 
     ``kept`` is whether the perturbed weight is among the k greatest; ties at the k-th (rows repeated
-    with their id) are all kept. Without ``k``, weights are taken by n-gram, and k is the number of
-    documents that reach the bound which best parts labelled target documents from other labelled ones
-    (with target documents alone, the bound that the share ``keep_target`` of them reaches). The raw model is
+    with their id) are all kept. With ``k``, the weight is ``log_weight``. Without, it is the weight by n-gram (see
+    ``per_ngram``) times the mean number of n-grams of labelled documents, and k is the number of documents whose weight by n-gram, without
+    noise, reaches the bound which best parts labelled target documents from other labelled ones (with target
+    documents alone, the bound that the share ``keep_target`` of them reaches). Which documents these k are is drawn: one near the bound may go for one below it. The raw model is
     counted over all documents, the target model over one half of at most ``labelled`` labelled rows;
-    the other half chooses the bound. Null and empty texts have weight 0 and take part as such. Without labels of the wanted kind all weights are 0 and, with no ``k``, everything is kept. ``carry`` names a column of ``docs`` that comes through unchanged. Null ids and
+    the other half sets bound and length. Null and empty texts have weight 0 and take part as such. Without labels of the wanted kind all weights are 0 and, with no ``k``, everything is kept. ``carry`` names a column of ``docs`` that comes through unchanged. Null ids and
     extra columns pass without effect, an empty table gives no rows.
     """
     known = with_labels(docs, sample(labels, label_col, labelled, id_col), id_col, text_col)
@@ -162,17 +163,22 @@ def resample(
     half = remainder("_id", 2)
     p = bucket_counts(known.where((half == 0) & (F.col("y") == target)), "text")
     ratio = log_ratio(p, bucket_counts(docs, text_col)) if p.sum() else np.zeros(BUCKETS)
-    weights = weigh(docs, ratio, id_col, text_col, carry)
-    rank = F.col("perturbed") if k is not None else per_ngram()
-    if k is None:
-        bound = float("-inf")
-        if p.sum():
-            own = weigh(known.where(half == 1), ratio, "_id", "text", carry="y").select(per_ngram().alias("s"), "y").toArrow()  # at most ``labelled`` rows
+    bound, length = float("-inf"), None
+    if k is None and p.sum():
+        own = weigh(known.where(half == 1), ratio, "_id", "text", carry="y").select(per_ngram().alias("s"), "n_ngrams", "y").toArrow()  # at most ``labelled`` rows
+        if own.num_rows:
             bound = best_bound(own.column("s").to_numpy(), own.column("y").to_numpy() == target, keep_target)
-        ranks = scratch.write(weigh(docs, ratio, id_col, text_col).select(rank.alias("rank")), "ranks")
-        k = ranks.where(F.col("rank") >= F.lit(bound)).count()
-    else:
-        ranks = scratch.write(weigh(docs, ratio, id_col, text_col).select(rank.alias("rank")), "ranks")
-    least = threshold_of_top(ranks, "rank", k)
+            length = float(own.column("n_ngrams").to_numpy().mean())
+
+    def drawn(carry: str | None = None) -> DataFrame:
+        weights = weigh(docs, ratio, id_col, text_col, carry)
+        if length is None:
+            return weights
+        return weights.withColumn("perturbed", F.lit(length) * per_ngram() + (F.col("perturbed") - F.col("log_weight")))
+
+    ranks = scratch.write(drawn().select("perturbed", per_ngram().alias("plain")), "ranks")
+    if k is None:
+        k = ranks.where(F.col("plain") >= F.lit(bound)).count()
+    least = threshold_of_top(ranks, "perturbed", k)
     scratch.release(docs.sparkSession, scratch.tables_of(ranks))
-    return weights.withColumn("kept", rank >= F.lit(least))
+    return drawn(carry).withColumn("kept", F.col("perturbed") >= F.lit(least))
