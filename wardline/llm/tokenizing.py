@@ -6,6 +6,7 @@ import ctypes
 import json
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import pyarrow.compute
@@ -85,14 +86,19 @@ class ByteTokenizer:
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec.get("added_tokens") or ()]
         self.fast = self._merge_loop(spec)
 
+    @cached_property
+    def library(self):
+        """Read only when a text needs it: it holds as much memory again as the merge loop."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _merge_loop(self, spec: dict):
         model, cut = spec["model"], spec.get("pre_tokenizer") or {}
         plain = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
@@ -125,4 +131,5 @@ def byte_tokenizer(path: str) -> ByteTokenizer:
     """One per worker process and file."""
     if path not in _tokenizers:
         _tokenizers[path] = ByteTokenizer(path)
+        give_back()  # what the file's JSON took
     return _tokenizers[path]
