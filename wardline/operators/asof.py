@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import windows
+
 
 def micros(ts: str) -> Column:
     """Whole microseconds of a zoned or zoneless time, by which bins and order agree."""
@@ -15,22 +17,27 @@ def range_join(left: DataFrame, right: DataFrame, left_time: str, right_time: st
     """Pairs with ``left_time - lookback <= right_time <= left_time`` and equal ``keys``.
 
     An equi-join on bins as wide as the lookback: a left row looks into two bins, a right row stands in
-    one. ``most`` keeps the newest so many of each left row (ties by ``order``), which needs ``left`` to carry ``_left``, a unique id.
+    one. ``most`` keeps the newest so many of each left row (ties by ``order``) and makes no other pairs, which needs ``left`` to carry ``_left``, a unique id.
     Columns but the keys must differ in name.
     """
     width = int(lookback_s * 1_000_000)
     keys = list(keys)
-    bin_of = lambda c: F.floor(micros(c) / F.lit(max(width, 1)))
-    a = left.withColumn("_bin", F.explode(F.array(bin_of(left_time), bin_of(left_time) - 1)))
-    b = right.withColumn("_bin", bin_of(right_time))
-    near = (micros(left_time) - micros(right_time)).between(0, width)
-    joined = a.join(b, ["_bin", *keys], "inner").where(near).drop("_bin")
     if most is not None:
-        w = Window.partitionBy("_left").orderBy(F.desc(right_time), *order)
-        joined = joined.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= most).drop("_nth")
+        joined = windows.newest_pairs(left, right, micros(left_time), micros(right_time), width, keys, most, order)
+    else:
+        bin_of = lambda c: F.floor(micros(c) / F.lit(max(width, 1)))
+        a = left.withColumn("_bin", F.explode(F.array(bin_of(left_time), bin_of(left_time) - 1)))
+        b = right.withColumn("_bin", bin_of(right_time))
+        near = (micros(left_time) - micros(right_time)).between(0, width)
+        joined = a.join(b, ["_bin", *keys], "inner").where(near).drop("_bin")
     return joined if how == "inner" else left.join(joined.select("_left", *[c for c in joined.columns if c not in left.columns]), "_left", "left")
 
 
+def closest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, lookback_s: float, keys: list[str], left_value: str, right_value: str, order: list[Column] = ()) -> DataFrame:
+    """Of each left row (``_left``: a unique id) the pair of least ``abs(left_value - right_value)`` in the window of ``range_join`` (no error counts as infinite, not-a-number is greater), then the newest, then by ``order``. Other pairs are not made."""
+    return windows.closest_pairs(left, right, micros(left_time), micros(right_time), int(lookback_s * 1_000_000), list(keys), (left_value, right_value), order)
+
+
 def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, keys: list[str] = (), bucket_s: int = 86_400, forward: bool = False, strict: bool = False) -> DataFrame:
     """``left`` with the columns of the latest ``right`` row at or before its time (``forward``: the earliest at or after; ``strict``: not at it).
 

@@ -55,15 +55,10 @@ METRICS = """count(*) total, count(*) filter ("match") matched, count(*) filter
   round(coalesce(median(abs_error), 0.0), 6) median_abs_error, round(coalesce(quantile_cont(abs_error, 0.9), 0.0), 6) p90_abs_error"""
 
 
-def candidates(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    pairs = asof.range_join(read_rows(spark, sf_dir), truth_rows(spark, sf_dir), "read_ts", "truth_ts", LOOKBACK, ["vital"], most, [F.desc("truth_id")])
-    pairs = pairs.withColumn("dt", S.seconds_between(F.col("read_ts"), F.col("truth_ts"))).withColumn("tol", F.lit(50.0))
-    return validate.compare(pairs)
-
-
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chosen truth of each reading: its row of pairs is the least by the order of choice, kept by a partial minimum."""
-    return validate.best_pair(candidates(spark, sf_dir), ["_left"], "dt", "truth_ts")
+    """The chosen truth of each reading. A pair that matches has a smaller error than one that does not, so the nearest in value, then in time, is the choice."""
+    pairs = asof.closest(read_rows(spark, sf_dir), truth_rows(spark, sf_dir), "read_ts", "truth_ts", LOOKBACK, ["vital"], "observed", "truth", [F.asc("truth_id")])
+    return validate.compare(pairs.withColumn("dt", S.seconds_between(F.col("read_ts"), F.col("truth_ts"))).withColumn("tol", F.lit(50.0)))
 
 
 @query(f"with {TRUTH}, {READ}, {PAIRS}, {BEST} select vital, {METRICS} from best group by vital")
@@ -83,7 +78,8 @@ def best_candidate(spark, d):
 
 @query(f"with {TRUTH}, {READ}, {PAIRS} select event_id, truth_id, round(dt, 6) dt from pairs qualify row_number() over (partition by event_id order by truth_ts desc, truth_id desc) <= 3")
 def range_join_lookback(spark, d):
-    return candidates(spark, d, most=3).select(F.col("_left").alias("event_id"), "truth_id", F.round("dt", 6).alias("dt"))
+    pairs = asof.range_join(read_rows(spark, d), truth_rows(spark, d), "read_ts", "truth_ts", LOOKBACK, ["vital"], 3, [F.desc("truth_id")])
+    return pairs.select(F.col("_left").alias("event_id"), "truth_id", F.round(S.seconds_between(F.col("read_ts"), F.col("truth_ts")), 6).alias("dt"))
 
 
 @query(f"with {TRUTH}, {READ}, {PAIRS}, {BEST} select round(avg(dt), 6) mean_dt, round(median(dt), 6) median_dt, round(quantile_cont(dt, 0.9), 6) p90_dt, count(*) evaluated, (select count(*) from obs) - count(*) skipped from best")
