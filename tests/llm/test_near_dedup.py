@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from wardline.llm import near_dedup
@@ -86,3 +88,23 @@ def test_components(spark):
         up[b] = a
     assert got == {x: find(x) for x in up}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_block_holds_its_texts_arrays_part_by_part():
+    r = random.Random(4)
+    words = [f"word{r.randrange(10**6)}" for _ in range(1500)]
+    texts = []
+    for _ in range(600):
+        own = list(words)
+        own[r.randrange(len(own))] = f"other{r.randrange(10**6)}"
+        texts.append(" ".join(own).encode())
+    n = len(texts)
+    side = (np.arange(n), np.arange(n), np.full(n, 1496), np.ones((n, 64), np.int32), np.ones(n, bool))
+    near_dedup.block_links(side, side, texts[:5] * (n // 5), texts, 40, 85, 5)  # tables of powers are made once
+    tracemalloc.start()
+    found = near_dedup.block_links(side, side, texts, texts, 40, 85, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == n - 1
+    shingles_bytes = 8 * 1496 * n
+    assert peak < 10 * shingles_bytes, peak / shingles_bytes

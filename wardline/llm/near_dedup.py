@@ -20,7 +20,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,15 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from . import scratch
 from .components import connected_components
 from .textbytes import mix, shingles
-from .tokenizing import slices
+from .tokenizing import give_back, slices
 
 COORDINATES = 64
 #: Of 64 coordinates, a pair of similarity 0.85 matches in fewer than this many with probability 2.4e-6; a more alike pair, less often.
 MATCHES = 40
 #: Classes, and shingles of theirs, that meet in one block, from each side, about.
 BLOCK, BLOCK_SHINGLES = 2000, 4_000_000
+#: Bytes of text that a task has in arrays of words at once, about: these take some thirty times as much.
+AT_ONCE = 2 << 20
 #: Classes whose texts are found by a broadcast of their keys at most; more are found by a shuffle.
 FEW = 500_000
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,7 +55,7 @@ def signatures(docs: DataFrame, coordinates: int, width: int, id_col: str, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most_bytes=AT_ONCE):
                 sets = shingles([t or b"" for t in part.column(2).cast(pa.binary()).to_pylist()], width)
                 sig = np.zeros((len(sets), coordinates), np.uint64)
                 k1, k2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
@@ -121,16 +123,34 @@ def colliding(pairs: DataFrame, classes: DataFrame, matches: int, percent: int)
     return both.mapInArrow(run, "u long, v long")
 
 
+def shingles_by_parts(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """``shingles`` of many texts, AT_ONCE bytes of them at a time."""
+    start = 0
+    while start < len(texts):
+        end, total = start, 0
+        while end < len(texts) and (end == start or total + len(texts[end] or b"") <= AT_ONCE):
+            total += len(texts[end] or b"")
+            end += 1
+        yield from shingles(texts[start:end], width)
+        start = end
+
+
 class Postings:
     """How many members each of many sets shares with a given one."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: Iterable[np.ndarray]):
+        sets = list(sets)
+        self.sets = len(sets)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
         value = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        by = np.argsort(value, kind="stable")
-        self.owner, value = owner[by], value[by]
+        del sets
+        by = np.argsort(value)
+        self.owner = owner[by]
+        del owner
+        value = value[by]
+        del by
         first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.empty(0, np.int64)
-        self.value, self.start, self.sets = value[first], np.append(first, len(value)), len(sets)
+        self.value, self.start = value[first], np.append(first, len(value))
 
     def shared(self, x: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.value, x)
@@ -148,23 +168,22 @@ def block_links(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], x_texts: l
     half = coordinates // 2
     components, local = np.unique(np.concatenate([c1, c2]), return_inverse=True)
     label, l1, l2 = np.arange(len(components)), local[: len(c1)], local[len(c1) :]
-    postings, found = Postings(shingles(y_texts, width)), []
-    for a in range(0, len(n1), 256):
-        for i, own in enumerate(shingles(x_texts[a : a + 256], width), a):
-            # Rows outside stand on both sides: their pairs are looked at once.
-            able = (label[l2] != label[l1[i]]) & (~outside | (n1[i] < n2)) & (100 * np.minimum(s1[i], s2) >= percent * np.maximum(s1[i], s2))
-            at = np.flatnonzero(able)
-            count = (sig2[at, :half] == sig1[i, :half]).sum(1)
-            at, count = at[count >= matches - (coordinates - half)], count[count >= matches - (coordinates - half)]
-            at = at[count + (sig2[at, half:] == sig1[i, half:]).sum(1) >= matches]
-            if len(at) == 0:
-                continue
-            both = postings.shared(own)[at]
-            for j in at[100 * both >= percent * (len(own) + s2[at] - both)].tolist():
-                p, q = label[l1[i]], label[l2[j]]
-                if p != q:
-                    label[label == q] = p
-                    found.append((max(n1[i], n2[j]), min(n1[i], n2[j])))
+    postings, found = Postings(shingles_by_parts(y_texts, width)), []
+    for i, own in enumerate(shingles_by_parts(x_texts, width)):
+        # Rows outside stand on both sides: their pairs are looked at once.
+        able = (label[l2] != label[l1[i]]) & (~outside | (n1[i] < n2)) & (100 * np.minimum(s1[i], s2) >= percent * np.maximum(s1[i], s2))
+        at = np.flatnonzero(able)
+        count = (sig2[at, :half] == sig1[i, :half]).sum(1)
+        at, count = at[count >= matches - (coordinates - half)], count[count >= matches - (coordinates - half)]
+        at = at[count + (sig2[at, half:] == sig1[i, half:]).sum(1) >= matches]
+        if len(at) == 0:
+            continue
+        both = postings.shared(own)[at]
+        for j in at[100 * both >= percent * (len(own) + s2[at] - both)].tolist():
+            p, q = label[l1[i]], label[l2[j]]
+            if p != q:
+                label[label == q] = p
+                found.append((max(n1[i], n2[j]), min(n1[i], n2[j])))
     return found
 
 
@@ -207,6 +226,7 @@ def cluster_links(postings: DataFrame, components: DataFrame, classes: DataFrame
             if held[0] and held[1]:
                 x, y = (tuple(np.concatenate([r[k] for r in side]) for k in range(5)) for side in held)
                 found = block_links(x, y, *([t for r in side for t in r[5]] for side in held), matches, percent, width)
+                give_back()
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
@@ -232,7 +252,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most_bytes=AT_ONCE):
                 u, v = (part.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
                 one = list(dict.fromkeys(v))  # a class that many are held against stands in one row after the other
                 of = dict(zip(one, shingles(one, width), strict=True))
