@@ -19,7 +19,7 @@ NEAR_PERCENT, NEAR_MATCHES = 80, 36
 #: Passages of over 50 words that repeat across documents are cut: strings of so many bytes are looked for (51 words are shorter only where words have under three letters on average), and runs of so many words go.
 PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
 #: Rows in an Arrow batch at most: a batch of texts is a few MB then, and it stands in the JVM, on its way and in the worker, with each text twice (in its row too).
-ARROW_ROWS = 2000
+ARROW_ROWS = 512
 #: Tables that the latest stage wrote for itself; the next one deletes those that it does not read.
 _own: list[str] = []
 
@@ -62,9 +62,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates: the one of the smallest id. Rows repeated with id and text stay once; texts without words all stay, but for such repeats."""
     before = _begin(spark, docs)
     found = near_dedup.near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT, matches=NEAR_MATCHES, with_group=True).where("kept")
-    # Rows of one id may be of one group: the least text hash of the smallest id stands for it.
-    one = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
-    kept = one.union(found.where("group is null").select("doc_id", "text_hash")).distinct().select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_kept_text"))
+    # Rows of one id may be of one group: the least text hash of the smallest id stands for it. A text without a group is one by itself.
+    alone = [F.when(F.col("group").isNull(), F.col(c)).alias(f"_{c}") for c in ("doc_id", "text_hash")]
+    kept = found.groupBy("group", *alone).agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select(F.col("one.doc_id").alias("_kept"), F.col("one.text_hash").alias("_kept_text"))
     _end(before)
     whole = _whole(docs).select("_row", F.col("_row.doc_id").alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text"))
     return whole.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_text") == F.col("_kept_text")), "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")

@@ -94,3 +94,12 @@ def test_near_dedup_stage_equals_brute_force_at_80(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, D).collect())
     assert kept == sorted(r[0] for r in brute(rows, 80) if r[3])
+
+
+def test_near_duplicates_leave_a_small_plan(spark, capsys):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    out = P.drop_near_duplicates(spark, docs, D)
+    capsys.readouterr()
+    out.explain()
+    assert capsys.readouterr().out.count("Exchange") <= 12
+    assert {f.rpartition("/wardline/")[2].rpartition("-")[0].partition("-")[0] for f in out.inputFiles() if "/wardline/" in f} == {"signatures", "groups"}

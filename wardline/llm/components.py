@@ -67,7 +67,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each task first reduces its edges to a forest. Then, in rounds, a node's neighbours and the node
     are tied to the least of them, and tasks reduce again, until no edge changes. A round writes one
     table to the shared folder. A hot node is only joined on, never collected: in each task it is
-    the parent of a node once. Loops count as single nodes.
+    the parent of a node once. Loops count as single nodes. The result is such a table too, so that
+    what is built on it has none of these steps in its plan.
     """
     alone = edges.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root"))
     now = scratch.write(_forest(edges.where("u <> v").select("u", "v", F.lit(True).alias("changed"))), "edges")
@@ -82,4 +83,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not now.where("changed").limit(1).count():
             break
     found = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return found.union(now.select(F.col("v"), F.col("v"))).union(alone.join(now.select(F.col("u").alias("node")), "node", "left_anti")).distinct()
+    found = found.union(now.select(F.col("v"), F.col("v"))).union(alone.join(now.select(F.col("u").alias("node")), "node", "left_anti")).distinct()
+    found = scratch.write(found, "components")
+    scratch.release(now.sparkSession, scratch.tables_of(now))
+    return found

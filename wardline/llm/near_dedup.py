@@ -286,7 +286,7 @@ def near_duplicates(
     postings = scratch.write(prefix_postings(classes, coordinates, matches), "postings")
     # One pair a class: with the least class that it shares most prefix postings with.
     hubs = postings.where("node <> hub").groupBy(F.col("node").alias("u")).agg(F.mode("hub", True).alias("v"))
-    first = scratch.write(connected_components(confirmed(colliding(hubs, classes, matches, percent), classes, docs, percent, width, id_col, text_col)), "components")
+    first = connected_components(confirmed(colliding(hubs, classes, matches, percent), classes, docs, percent, width, id_col, text_col))
     second = cluster_links(postings, first, classes, docs, matches, percent, width, id_col, text_col)
     roots = connected_components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(second))
 
@@ -294,6 +294,7 @@ def near_duplicates(
     of_root = inside.groupBy("root").agg(F.min("least").alias("of_root"))
     named = inside.join(of_root, "root").select("node", "root", "of_root")
     of_class = classes.select("node", "k1", "k2", "least").join(named, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("group"), F.coalesce("of_root", "least").alias("component_id"))
+    of_class = scratch.write(of_class, "groups")
     found = own.drop("sig").join(of_class, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col))
     more = ["group", F.col("thash").alias("text_hash")] if with_group else []

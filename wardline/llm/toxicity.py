@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, L
 
 from .labelled import labelled, picked, remainder, with_labels
 from .textbytes import Words
-from .tokenizing import slices
+from .tokenizing import give_back, slices
 
 #: Examples of either label at most. Votes are weighted by the share of its label's rows that an example stands for.
 EXAMPLES = 2048
@@ -223,6 +223,8 @@ def toxicity(
     index = BlockMaxIndex.build(rows, len(wanted))
     del rows
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    del index
+    give_back()  # the driver has no further use for what it made the index of
 
     evidence = ArrayType(StructType([StructField(id_col, id_type), StructField("cosine", DoubleType()), StructField("label", IntegerType())]))
     schema = StructType([
