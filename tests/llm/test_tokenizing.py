@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wardline.llm import packing, registry
+from wardline.llm import packing, registry, tokenizing
 from wardline.llm.tokenizing import ByteTokenizer
 from wardline.llm.trie_bpe import TrieBpe, bpe_encode_decode
 
@@ -121,3 +121,10 @@ def test_queries_have_the_contract_columns(spark):
     d = "/root/testdata/sf0.001"
     assert registry.QUERIES["op1_best_fit_packing"](spark, d).columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert registry.QUERIES["op10_trie_bpe"](spark, d).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_tokenizers_are_forgotten_and_read_again():
+    before = tokenizing.byte_tokenizer(BYTES).encode(["the end"])
+    tokenizing.forget_tokenizers()
+    assert not tokenizing._tokenizers
+    assert tokenizing.byte_tokenizer(BYTES).encode(["the end"]) == before

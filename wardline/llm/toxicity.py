@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, L
 
 from .labelled import labelled, picked, remainder, with_labels
 from .textbytes import Words
-from .tokenizing import give_back, slices
+from .tokenizing import forget_tokenizers, give_back, slices
 
 #: Examples of either label at most. Votes are weighted by the share of its label's rows that an example stands for.
 EXAMPLES = 2048
@@ -95,6 +95,7 @@ def document_frequencies(docs: DataFrame, wanted: np.ndarray, text_col: str) ->
     """In how many of all documents each term stands, and the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tokenizers()
         found, n = np.zeros(len(wanted), np.int64), 0
         for batch in batches:
             n += batch.num_rows
@@ -233,6 +234,7 @@ def toxicity(
     ])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tokenizers()
         index = shared.value
         known: dict[tuple, tuple[float, list]] = {}
         for batch in batches:
